@@ -16,6 +16,8 @@ from ..operators.aggregates import toxic_share
 from ..operators.joins import score_join
 from ..operators.terms import doc_term_counts
 from ..operators.text import portion_text, tokenize_words
+from ..session import written
+from ..sources import read_table
 
 LANGUAGES = ("de", "en", "es", "fr")  # topic 1, 2, 3, 4
 WORD_SQL = WORD.replace("'", "''")
@@ -31,6 +33,9 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        return read_table(self.spark, f"{self.folder}/{name}.parquet", spread=True)
+
     @cached_property
     def episodes(self) -> DataFrame:
         no = F.substring("source", 4, 10).cast("int")
@@ -86,7 +91,7 @@ class Tables:
 
     @cached_property
     def subtitles(self) -> DataFrame:
-        return self.raw("conversations").select(
+        return self.texts("conversations").select(
             F.col("conv_id").alias("vid"), F.col("turn").alias("segment_id"),
             (F.col("turn") * F.lit(12.5)).alias("start"), "text",
         )
@@ -105,7 +110,7 @@ class Tables:
 
     @cached_property
     def portions(self) -> DataFrame:
-        comments = self.raw("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("video_id"), "text")
+        comments = self.texts("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("video_id"), "text")
         return portion_text(comments)
 
     @cached_property
@@ -130,11 +135,12 @@ class Tables:
     @cached_property
     def beta(self) -> DataFrame:
         """Topic = language, beta = share of the term among the language's words."""
-        words = tokenize_words(self.raw("documents").select("lang", "text"), output="term")
+        words = tokenize_words(self.texts("documents").select("lang", "text"), output="term")
         counts = words.groupBy("lang", "term").agg(F.count("*").alias("n"))
         totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
         topic = F.array_position(F.array(*[F.lit(v) for v in LANGUAGES]), F.col("lang")).cast("int")
-        return counts.join(totals, "lang").select(topic.alias("topic"), "term", (F.col("n") / F.col("total")).alias("beta"))
+        beta = counts.join(totals, "lang").select(topic.alias("topic"), "term", (F.col("n") / F.col("total")).alias("beta"))
+        return written(beta, "beta")
 
     @cached_property
     def gamma(self) -> DataFrame:
@@ -152,14 +158,14 @@ class Tables:
     @cached_property
     def source_terms(self) -> DataFrame:
         """Document-term table with the source as document."""
-        words = tokenize_words(self.raw("documents").select(F.col("source").alias("document"), "text"), output="term")
-        return doc_term_counts(words)
+        words = tokenize_words(self.texts("documents").select(F.col("source").alias("document"), "text"), output="term")
+        return written(doc_term_counts(words), "source-terms")
 
     @cached_property
     def document_terms(self) -> DataFrame:
         """Document-term table of single documents."""
-        words = tokenize_words(self.raw("documents").select(F.col("doc_id").alias("document"), "text"), output="term")
-        return doc_term_counts(words)
+        words = tokenize_words(self.texts("documents").select(F.col("doc_id").alias("document"), "text"), output="term")
+        return written(doc_term_counts(words), "document-terms")
 
     @cached_property
     def subtitle_terms(self) -> DataFrame:

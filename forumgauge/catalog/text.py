@@ -50,19 +50,19 @@ def _removal_sql() -> str:
 SELECT page_id, {_clean_sql("html", STEPS)} AS text_display FROM pages
 UNION ALL SELECT doc_id, {_clean_sql("text", STEPS)} FROM documents""")
 def _(t):
-    pages = t.raw("pages").select("page_id", F.col("html").alias("text"))
-    texts = pages.unionByName(t.raw("documents").select(F.col("doc_id").alias("page_id"), "text"))
+    pages = t.texts("pages").select("page_id", F.col("html").alias("text"))
+    texts = pages.unionByName(t.texts("documents").select(F.col("doc_id").alias("page_id"), "text"))
     return op.clean_text(texts, spaced_capitals=False).select("page_id", "text_display")
 
 
 @query("clean_text_tweets", f"SELECT doc_id, {_clean_sql('text', TWEET_STEPS)} AS text_display FROM documents")
 def _(t):
-    return op.clean_text(t.raw("documents"), profile="tweet", spaced_capitals=False).select("doc_id", "text_display")
+    return op.clean_text(t.texts("documents"), profile="tweet", spaced_capitals=False).select("doc_id", "text_display")
 
 
 @query("removal_counts", _removal_sql())
 def _(t):
-    return op.removal_counts(t.raw("pages"), "html", spaced_capitals=False)
+    return op.removal_counts(t.texts("pages"), "html", spaced_capitals=False)
 
 
 @query("portion_text", "SELECT id, group_no, md5(comments_reportion) AS portion_md5, length(comments_reportion) AS n_chars FROM portions", "portions")
@@ -76,7 +76,7 @@ def _(t):
 @query("tokenize_words", f"""
 SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS word FROM documents) GROUP BY word""")
 def _(t):
-    return count_by(op.tokenize_words(t.raw("documents"), keep=[]), "word")
+    return count_by(op.tokenize_words(t.texts("documents"), keep=[]), "word")
 
 
 NGRAMS_SQL = f"""
@@ -116,7 +116,7 @@ def _(t):
 SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS word FROM documents)
 WHERE NOT regexp_matches(word, '^[\\d.,]+$') AND word <> '' GROUP BY word""")
 def _(t):
-    return op.remove_numbers(count_by(op.tokenize_words(t.raw("documents"), keep=[]), "word"))
+    return op.remove_numbers(count_by(op.tokenize_words(t.texts("documents"), keep=[]), "word"))
 
 
 @query("lemmatize", f"""
@@ -138,4 +138,4 @@ def _(t):
 SELECT doc_id, trim(regexp_replace(part, '\s+', ' ', 'g')) AS term FROM (
   SELECT doc_id, unnest(string_split(text, ',')) AS part FROM documents)""")
 def _(t):
-    return op.explode_term_list(t.raw("documents").select("doc_id", "text"), "text")
+    return op.explode_term_list(t.texts("documents").select("doc_id", "text"), "text")

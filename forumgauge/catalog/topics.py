@@ -8,6 +8,7 @@ from ..operators import terms as dt
 from ..operators import topics as op
 from ..operators.aggregates import count_by
 from ..operators.windows import top_n_per_group
+from ..session import cut_lineage, written
 from . import query
 from .tables import LANGUAGES, WORD_SQL
 
@@ -37,7 +38,7 @@ SELECT document, term, n FROM subtitle_terms WHERE term IN (
   SELECT term FROM subtitle_terms GROUP BY term HAVING count(*) >= (1 - 0.7::DOUBLE) * (SELECT count(DISTINCT document) FROM subtitle_terms))""",
        "subtitle_terms")
 def _(t):
-    counts = dt.trim_terms(t.subtitle_terms, 0.7)
+    counts = written(dt.trim_terms(t.subtitle_terms, 0.7))
     vocab = dt.vocabulary(counts)
     return dt.from_sparse_vectors(dt.to_sparse_vectors(counts, vocab), vocab)
 
@@ -204,10 +205,10 @@ def _(t):
 
 
 def _corpus(t, sparsity=0.94):
-    counts = dt.trim_terms(t.subtitle_terms, sparsity).select("document", "term", "n")
+    counts = written(dt.trim_terms(t.subtitle_terms, sparsity).select("document", "term", "n"))
     training, heldout = op.heldout_split(counts)
     vocab = dt.vocabulary(training)
-    return training, heldout, vocab, dt.to_sparse_vectors(training, vocab)
+    return training, heldout, vocab, cut_lineage(dt.to_sparse_vectors(training, vocab))
 
 
 @query("fit_topics")

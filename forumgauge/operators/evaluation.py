@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import single
 from ..functions.wordlists import COARSE_LABELS, FINE_LABELS, OFFENSE
-from .aggregates import histogram, quantile_table, share_of_total
+from .aggregates import histogram, share_of_total
 
 CELLS = ("true_positives", "false_negatives", "false_positives", "true_negatives")
 METRICS = (
@@ -135,34 +135,38 @@ def resampled_correction(
     hence repeatable.
     """
     tests = _cell_tests(F.col(truth), F.col(predicted), positive)
-    counts = df.agg(
-        *[F.count_if(t).cast("double").alias(c) for c, t in tests.items()], F.count("*").cast("double").alias("rows")
-    )
-    tp, fn, fp, tn = (F.col(c) for c in CELLS)
-    # a row without prediction can be drawn, but is in no cell
-    counts = counts.select(F.array(tp, fn, fp, tn, F.col("rows") - tp - fn - fp - tn).alias("pool"), "rows")
-    runs = counts.select("pool", "rows", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    cells = [F.count_if(t).cast("double").alias(c) for c, t in tests.items()]
+    counts = single(df.agg(F.struct(*cells, F.count("*").cast("double").alias("rows")).alias("counts")))
+    runs = df.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), counts.alias("c"))
+    tp, fn, fp, tn = (F.col(f"c.{c}") for c in CELLS)
 
     def uniform(draw: Column) -> Column:
         text = F.concat_ws("-", F.lit(str(seed)), F.col("replicate").cast("string"), draw.cast("string"))
         return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
-    def take(state: Column, draw: Column) -> Column:
-        pool, got = state["pool"], state["got"]
-        left = F.aggregate(pool, F.lit(0.0), lambda a, b: a + b)
-        mark = F.floor(uniform(draw) * left)
-        # index of the cell the mark falls into
-        upto = F.transform(pool, lambda _, i: F.aggregate(F.slice(pool, F.lit(1), i + 1), F.lit(0.0), lambda a, b: a + b))
-        cell = F.size(F.filter(upto, lambda u: u <= mark))
-        bump = lambda xs, by: F.transform(xs, lambda x, i: F.when(i == cell, x + by).otherwise(x))
-        return F.struct((pool if replacement else bump(pool, -1.0)).alias("pool"), bump(got, 1.0).alias("got"))
+    draws = F.sequence(F.lit(1), F.lit(size) if replacement else F.least(F.lit(size), F.col("c.rows").cast("int")))
+    runs = runs.where(F.col("c.rows") > 0).select("replicate", "c", F.transform(draws, uniform).alias("draws"))
+
+    def take(state: Column, u: Column) -> Column:
+        # p1..p4 are left to draw per cell, a row without prediction makes up the rest
+        left = [state[f"p{i}"] for i in range(1, 5)]
+        mark = u * state["rows"]
+        upto = [sum(left[:i], F.lit(0.0)) for i in range(1, 5)]
+        hit = [mark < upto[0], *[(mark >= upto[i - 1]) & (mark < upto[i]) for i in range(1, 4)]]
+        one = [h.cast("double") for h in hit]
+        kept = left if replacement else [p - o for p, o in zip(left, one)]
+        return F.struct(
+            *[p.alias(f"p{i}") for i, p in enumerate(kept, start=1)],
+            (state["rows"] - (0.0 if replacement else 1.0)).alias("rows"),
+            *[(state[f"g{i}"] + one[i - 1]).alias(f"g{i}") for i in range(1, 4)],
+        )
 
-    draws = F.sequence(F.lit(1), F.lit(size) if replacement else F.least(F.lit(size), F.col("rows").cast("int")))
-    start = F.struct(F.col("pool").alias("pool"), F.array(*[F.lit(0.0)] * 5).alias("got"))
-    got = F.aggregate(draws, start, take)["got"]
-    drawn = runs.where(F.col("rows") > 0).select("replicate", got.alias("got"))
-    at = lambda i: F.get("got", i)
-    return drawn.select("replicate", F.try_divide(at(0) + at(1), at(0) + at(2)).alias("factor"))
+    start = F.struct(
+        *[p.alias(f"p{i}") for i, p in enumerate((tp, fn, fp, tn), start=1)], F.col("c.rows").alias("rows"),
+        *[F.lit(0.0).alias(f"g{i}") for i in range(1, 4)],
+    )
+    got = runs.select("replicate", F.aggregate("draws", start, take).alias("s"))
+    return got.select("replicate", F.try_divide(F.col("s.g1") + F.col("s.g2"), F.col("s.g1") + F.col("s.g3")).alias("factor"))
 
 
 def stratified_sample(df: DataFrame, n: int = 125, label: str = "label", key: str = "id") -> DataFrame:
@@ -182,11 +186,11 @@ def apply_correction(counts: DataFrame, factors: DataFrame, n: str = "n", label:
     and its 2.5 % and 97.5 % points follow from those of the factors: the counts are
     not multiplied by the number of replicates.
     """
-    points = quantile_table(factors, "factor", (0.025, 0.975))
-    mean = single(factors.agg(F.avg("factor").alias("f")))
-    low, high = single(points.agg(F.min("value").alias("f"))), single(points.agg(F.max("value").alias("f")))
+    points = F.percentile("factor", F.array(F.lit(0.025), F.lit(0.975)))  # one row per replicate
+    spread = single(factors.agg(F.struct(F.avg("factor").alias("mean"), points.alias("points")).alias("spread")))
     corrected = lambda f: F.when(F.col(label) == OFFENSE, F.col(n) * f).otherwise(F.col(n).cast("double"))
-    return counts.withColumns({"n_mean": corrected(mean), "n_low": corrected(low), "n_high": corrected(high)})
+    low, high = F.get(spread["points"], 0), F.get(spread["points"], 1)
+    return counts.withColumns({"n_mean": corrected(spread["mean"]), "n_low": corrected(low), "n_high": corrected(high)})
 
 
 def _half_up(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ordering
 from ..functions.keys import single
 from ..functions.wordlists import OFFENSE
+from ..session import written
 from .text import tokenize_words
 from .windows import top_n_per_group
 
@@ -73,7 +74,8 @@ def tf_idf(counts: DataFrame, document: str = "document", term: str = "term", to
     weighted = weighted.select(
         document, term, "n", tf.alias("tf"), F.ln(documents / F.col("__df")).alias("idf")
     ).withColumn("tf_idf", F.col("tf") * F.col("idf"))
-    return top_n_per_group(weighted, "tf_idf", top, [document]) if top else weighted
+    # finding the best and keeping them are two passes over the weighted table
+    return top_n_per_group(written(weighted), "tf_idf", top, [document]) if top else weighted
 
 
 def toxic_comment_words(scored: DataFrame, episodes: DataFrame, video: str = "video_id", text: str = "text") -> DataFrame:

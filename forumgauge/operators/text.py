@@ -10,31 +10,41 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 
 
+def _staged(df: DataFrame, column: str, options: dict) -> tuple[DataFrame, list[str]]:
+    """One column per cleaning step, ``__t0`` being the text itself."""
+    steps = tx.cleaning_steps(**options)
+    df = df.withColumn("__t0", F.col(column))
+    for i, (_, step) in enumerate(steps, start=1):
+        df = df.withColumn(f"__t{i}", step(F.col(f"__t{i - 1}")))
+    return df, [name for name, _ in steps]
+
+
 def clean_text(df: DataFrame, column: str = "text", output: str = "text_display", **options) -> DataFrame:
     """Add the cleaned text; see ``functions.text.cleaning_steps`` for the steps."""
-    return df.withColumn(output, tx.clean(F.col(column), **options))
+    staged, names = _staged(df, column, options)
+    cleaned = staged.withColumn(output, F.col(f"__t{len(names)}"))
+    return cleaned.drop(*[f"__t{i}" for i in range(len(names) + 1)])
 
 
 def removal_counts(df: DataFrame, column: str = "text", **options) -> DataFrame:
     """How many texts each cleaning step changes: ``(step_no, step, n)``, in one scan."""
-    staged = df.select(F.col(column).alias("t0"))
-    steps = tx.cleaning_steps(**options)
-    for i, (_, step) in enumerate(steps, start=1):
-        staged = staged.withColumn(f"t{i}", step(F.col(f"t{i - 1}")))
+    staged, names = _staged(df, column, options)
     changed = staged.agg(*[
-        F.count_if(F.col(f"t{i}") != F.col(f"t{i - 1}")).alias(f"n{i}") for i in range(1, len(steps) + 1)
+        F.count_if(F.col(f"__t{i}") != F.col(f"__t{i - 1}")).alias(f"n{i}") for i in range(1, len(names) + 1)
     ])
     rows = [
         F.struct(F.lit(i).alias("step_no"), F.lit(name).alias("step"), F.col(f"n{i}").alias("n"))
-        for i, (name, _) in enumerate(steps, start=1)
+        for i, name in enumerate(names, start=1)
     ]
     return changed.select(F.inline(F.array(*rows)))
 
 
 def portion_text(df: DataFrame, column: str = "text", size: int = 300, output: str = "comments_reportion") -> DataFrame:
-    """One row per portion of at most ``size`` tokens, numbered from 1. No shuffle."""
+    """One row per portion of at most ``size`` tokens, numbered from 1; an empty text has
+    none. No shuffle."""
     rest = [c for c in df.columns if c != column]
-    pieces = df.select(*rest, F.posexplode(tx.portions(F.col(column), size)).alias("__at", output))
+    tokens = df.where(F.col(column) != "").select(*rest, tx.split_tokens(F.col(column)).alias("__tokens"))
+    pieces = tokens.select(*rest, F.posexplode(tx.portions(F.col("__tokens"), size)).alias("__at", output))
     return pieces.select(*rest, (F.col("__at") + 1).alias("group_no"), output)
 
 
@@ -49,7 +59,8 @@ def tokenize_ngrams(
 ) -> DataFrame:
     """One row per n-gram within a text; a shorter text gives one row with null."""
     rest = list(keep) if keep is not None else [c for c in df.columns if c != column]
-    return df.select(*rest, F.explode_outer(tx.ngrams(F.col(column), n)).alias(output))
+    tokens = df.select(*rest, tx.words(F.col(column)).alias("__tokens"))
+    return tokens.select(*rest, F.explode_outer(tx.ngrams(F.col("__tokens"), n)).alias(output))
 
 
 def split_ngrams(df: DataFrame, column: str = "bigram") -> DataFrame:

@@ -10,14 +10,15 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ordering
 from ..functions.keys import attach, single
-from ..session import shared_dir
+from ..session import cut_lineage, written
 from .reshape import pivot_longer
 from .windows import top_n_per_group
 
@@ -28,20 +29,15 @@ def fit_topics(
     vectors: DataFrame, ks: Sequence[int] = TOPIC_NUMBERS, seed: int = 8458159, max_iter: int = 200,
     optimizer: str = "online", features: str = "features", subsampling: float = 0.05,
 ) -> dict[int, LDAModel]:
-    """One model per number of topics. Every fit is a distributed job of its own; the
-    vectors are cached for the passes over them."""
-    shared_dir(vectors.sparkSession)
-    cached = vectors.persist()
-    try:
-        return {
-            k: LDA(
-                k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol=features,
-                subsamplingRate=subsampling,
-            ).fit(cached)
-            for k in ks
-        }
-    finally:
-        cached.unpersist()
+    """One model per number of topics. Every fit is a distributed job of its own, run
+    over vectors that are written to the shared folder once."""
+    prepared = cut_lineage(vectors)
+    return {
+        k: LDA(
+            k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol=features, subsamplingRate=subsampling
+        ).fit(prepared)
+        for k in ks
+    }
 
 
 def topic_terms(model: LDAModel, vocab: DataFrame) -> DataFrame:
@@ -171,46 +167,64 @@ def heldout_likelihood(heldout: DataFrame, gamma: DataFrame, beta: DataFrame) ->
     return per_doc.agg(F.avg("ll").alias("heldout_likelihood"))
 
 
+def _dense_cells(documents: DataFrame, terms: DataFrame, tolerance: float, block: int) -> DataFrame:
+    """One row: sum of mq / (1 - q) and the number of cells with mq above the tolerance,
+    over all documents and terms.
+
+    A blocked matrix product: documents and terms are hashed into blocks of bounded
+    size, and each pair of blocks is one group that multiplies two small matrices.
+    """
+    rows = max(1, -(-documents.count() // block))
+    columns = max(1, -(-terms.count() // block))
+    bucket = lambda key, count: F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = documents.select("m", "values", bucket("document", rows).alias("r"), every(columns).alias("c"))
+    right = terms.select("values", every(rows).alias("r"), bucket("term", columns).alias("c"))
+
+    def multiply(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if docs.empty or words.empty:
+            return pd.DataFrame({"dense": [0.0], "cells": [0]})
+        q = np.stack(docs["values"]) @ np.stack(words["values"]).T
+        mq = docs["m"].to_numpy(dtype=float)[:, None] * q
+        ratio = np.divide(mq, 1 - q, out=np.zeros_like(mq), where=q < 1)
+        return pd.DataFrame({"dense": [ratio.sum()], "cells": [int((mq > tolerance).sum())]})
+
+    grouped = left.groupBy("r", "c").cogroup(right.groupBy("r", "c"))
+    parts = grouped.applyInPandas(multiply, "dense double, cells bigint")
+    return parts.agg(F.sum("dense").alias("dense"), F.sum("cells").alias("cells"))
+
+
 def residual_dispersion(
-    counts: DataFrame, gamma: DataFrame, beta: DataFrame, tolerance: float = 0.01, block_terms: int = 2048
+    counts: DataFrame, gamma: DataFrame, beta: DataFrame, tolerance: float = 0.01, block: int = 2048
 ) -> DataFrame:
     """One row: dispersion of the residuals, near 1 for enough topics.
 
     Sum of (x - mq)^2 / (mq(1 - q)) over all cells, divided by (cells with mq above the
     tolerance) - terms - documents * (topics - 1). Cells with x = 0 are not stored:
     expanding the square splits the sum into a part over stored cells and a part that
-    depends on a document only through its mixture and length, evaluated against the
-    vocabulary in blocks.
+    depends on a document only through its mixture and length.
     """
     topics = [r[0] for r in beta.select("topic").distinct().orderBy("topic").collect()]  # one row per topic
-    terms = _by_topic(beta, "term", "beta")
+    aligned = F.transform(
+        F.array(*[F.lit(t) for t in topics]), lambda t: F.coalesce(F.try_element_at("values", t), F.lit(0.0))
+    ).alias("values")
+    # both tables enter several plans and the block counts, so they are written once
+    terms = written(_by_topic(beta, "term", "beta").select("term", aligned))
     known = counts.join(terms.select("term"), "term", "left_semi")
     lengths = known.groupBy("document").agg(F.sum("n").alias("m"))
-    cells = _fitted(known, gamma, beta).join(lengths, "document").where((F.col("q") > 0) & (F.col("q") < 1))
+    documents = written(_by_topic(gamma, "document", "gamma").select("document", aligned).join(lengths, "document"))
+    cells = (
+        known.join(documents.withColumnRenamed("values", "g"), "document").join(terms, "term")
+        .select("n", "m", F.aggregate(F.zip_with("g", "values", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("q"))
+        .where((F.col("q") > 0) & (F.col("q") < 1))
+    )
     mq = F.col("m") * F.col("q")
     stored = cells.agg(F.sum((F.col("n") * F.col("n") - 2 * F.col("n") * mq) / (mq * (1 - F.col("q")))).alias("s"))
-
-    aligned = lambda values: F.transform(
-        F.array(*[F.lit(t) for t in topics]), lambda t: F.coalesce(F.try_element_at(values, t), F.lit(0.0))
-    )
-    numbered = ordering.position(terms.select("term", aligned(F.col("values")).alias("b")), [F.col("term").asc()], "at")
-    block = F.floor((F.col("at") - 1) / block_terms).cast("int")
-    blocks = numbered.groupBy(block.alias("block")).agg(F.collect_list("b").alias("bs"), F.count("*").alias("v"))
-    documents = _by_topic(gamma, "document", "gamma").join(lengths, "document").select(
-        "m", aligned(F.col("values")).alias("g")
-    )
-    last = single(blocks.agg(F.max("block").alias("last")))
-    spread = documents.withColumn("block", F.explode(F.sequence(F.lit(0), last))).join(blocks, "block")
-    dot: Column = lambda b: F.aggregate(F.zip_with("g", b, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    qs = spread.select("m", F.transform("bs", dot).alias("qs"))
-    whole = qs.agg(
-        F.sum(F.aggregate("qs", F.lit(0.0), lambda a, q: a + F.when(q < 1, F.col("m") * q / (1 - q)).otherwise(0.0))).alias("dense"),
-        F.sum(F.size(F.filter("qs", lambda q: F.col("m") * q > tolerance))).alias("cells"),
-    )
     freedom = F.col("cells") - single(terms.agg(F.count("*").alias("v"))) - single(
-        lengths.agg(F.count("*").alias("d"))
+        documents.agg(F.count("*").alias("d"))
     ) * (len(topics) - 1)
-    return whole.select(F.try_divide(F.col("dense") + single(stored), freedom).alias("residual_dispersion"))
+    dense = _dense_cells(documents, terms, tolerance, block)
+    return dense.select(F.try_divide(F.col("dense") + single(stored), freedom).alias("residual_dispersion"))
 
 
 def model_bound(model: LDAModel, vectors: DataFrame, iterations: int) -> DataFrame:

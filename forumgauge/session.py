@@ -57,7 +57,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and continue from that table.
+
+    For a table that several plans read: it is computed once, later reads prune columns,
+    and its size is known to the join planner.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and continue from the written copy."""
+    """Checkpoint ``df``: like ``written``, but keeps its partitions and order."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

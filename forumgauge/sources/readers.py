@@ -33,11 +33,21 @@ def read_scores_typed(spark: SparkSession, path: str | Sequence[str], schema: T.
     return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One prepared table: Parquet by default, CSV when a schema is given."""
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, spread: bool = False
+) -> DataFrame:
+    """One prepared table: Parquet by default, CSV when a schema is given.
+
+    ``spread`` is for tables of long texts: a table in fewer pieces than there are cores
+    is redistributed first, because text work costs far more than moving the texts. A
+    table in many pieces is left as it is.
+    """
     if schema is None:
-        return spark.read.parquet(path)
-    return spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+        df = spark.read.parquet(path)
+    else:
+        df = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def read_gold_tsv(spark: SparkSession, path: str, names: Sequence[str] = ("tweet", "coarse", "fine")) -> DataFrame:
