@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import rounded
 from ..functions.wordlists import BIGRAM_FILLERS, GERMAN_STOPWORDS
 from ..operators import topk as op
+from ..plans.comments import toxicity_report
 from . import query
 from .tables import WORD_SQL
 
@@ -56,3 +57,15 @@ def _(t):
 @query("sort_by", "SELECT video_id, round(prop_offense, 6) AS prop_offense FROM shares", "shares")
 def _(t):
     return op.sort_by(rounded(t.shares.select("video_id", "prop_offense"), "prop_offense"), "-prop_offense", "video_id")
+
+
+@query("toxicity_report", """
+WITH factor AS (SELECT (count(*) FILTER (truth = 'OFFENSE'))::DOUBLE / (count(*) FILTER (predicted = 'OFFENSE')) AS f FROM annotated),
+s AS (SELECT video_id, date, n * f AS n, n * f / (n * f + other) * 100 AS prop_offense FROM factor, (
+  SELECT video_id, date, count(*) FILTER (label = 'OFFENSE') AS n, count(*) FILTER (label <> 'OFFENSE') AS other FROM scored GROUP BY video_id, date) WHERE n > 0)
+SELECT s.video_id, title, s.date, view_count, round(n, 6) AS n, round(prop_offense, 6) AS prop_offense,
+       round(CASE WHEN count(*) OVER w = 15 THEN avg(prop_offense) OVER w END, 6) AS rolling_mean
+FROM s LEFT JOIN episodes e ON s.video_id = e.video_id WINDOW w AS (ORDER BY s.date DESC, s.video_id ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)""",
+       "annotated scored episodes")
+def _(t):
+    return toxicity_report(t.episodes, t.scores, t.comments, t.annotated)
