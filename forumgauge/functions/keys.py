@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,5 +33,13 @@ def single(df: DataFrame):
     return df.scalar()
 
 
+def literal_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A handful of driver-side rows as a table that needs no Python worker."""
+    if not rows:
+        return spark.createDataFrame([], schema)
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})

@@ -9,12 +9,13 @@ recomputed after an executor loss could otherwise be cut differently.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .keys import literal_rows
 
 BLOCK = "__block"
 CHUNK = "__chunk"
@@ -57,6 +58,32 @@ def position(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> Da
     return running_total(df, F.lit(1).cast("long"), order, name)
 
 
+def at_positions(
+    df: DataFrame, amount: Column, order: Sequence[Column], wanted: Callable[[int], Sequence[int]], name: str = "position"
+) -> DataFrame:
+    """The rows that cover given positions, counting from 0, when each row stands for
+    ``amount`` (an integer) equal rows. ``wanted`` gets the total and names the positions.
+
+    The sums of the blocks, one row each, tell which blocks hold a position; only those
+    are sorted.
+    """
+    blocked = _blocks(df.withColumn("__amount", amount), order)
+    sums = blocked.groupBy(BLOCK).agg(F.sum("__amount").alias("s")).orderBy(BLOCK).collect()
+    positions = sorted(set(wanted(sum(r["s"] for r in sums))))
+    holding, before = [], 0
+    for row in sums:
+        inside = [p for p in positions if before <= p < before + row["s"]]
+        if inside:
+            holding.append((row[BLOCK], before, inside))
+        before += row["s"]
+    names, schema = (BLOCK, "__before", "__inside"), f"{BLOCK} int, __before bigint, __inside array<bigint>"
+    blocks = literal_rows(df.sparkSession, names, holding, schema)
+    within = Window.partitionBy(BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = blocked.join(F.broadcast(blocks), BLOCK).withColumn("__upto", F.col("__before") + F.sum("__amount").over(within))
+    covered = F.filter("__inside", lambda p: (p >= F.col("__upto") - F.col("__amount")) & (p < F.col("__upto")))
+    return ranked.withColumn(name, F.explode(covered)).drop(BLOCK, "__amount", "__before", "__inside", "__upto")
+
+
 def moving_mean(
     df: DataFrame,
     value: str,

@@ -6,13 +6,14 @@ per-group totals are aggregates joined back (see ``functions.keys``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import single
-from ..functions.ordering import running_total
+from ..functions.keys import literal_rows, single
+from ..functions.ordering import at_positions
 from ..functions.wordlists import OFFENSE
 from .joins import complete_grid
 
@@ -66,23 +67,28 @@ def quantile_table(
     ``method="approx"`` trades exactness for a single pass.
     """
     values = df.where(F.col(column).isNotNull())
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
     if method == "approx":
+        probs = F.array(*[F.lit(float(p)) for p in probabilities])
         found = values.agg(F.percentile_approx(column, list(map(float, probabilities)), accuracy).alias("v"))
         pairs = F.arrays_zip(probs.alias("prob"), F.col("v").cast("array<double>").alias("value"))
         return found.select(F.inline(pairs)).toDF("prob", "value")
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
     counts = values.groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ranked = running_total(counts, F.col("n"), [F.col("v").asc()], "upto", total="total")
-    wanted = F.transform(probs, lambda p: F.struct(p.alias("prob"), ((F.col("total") - 1) * p).alias("h")))
-    here = lambda at: (at >= F.col("upto") - F.col("n")) & (at < F.col("upto"))
-    hits = F.filter(wanted, lambda w: here(F.floor(w["h"])) | here(F.ceil(w["h"])))
-    found = ranked.select("v", "n", "upto", F.inline(hits))
-    low = F.max(F.when(here(F.floor("h")), F.col("v")))
-    high = F.max(F.when(here(F.ceil("h")), F.col("v")))
-    return found.groupBy("prob", "h").agg(low.alias("lo"), high.alias("hi")).select(
-        "prob", (F.col("lo") + (F.col("h") - F.floor("h")) * (F.col("hi") - F.col("lo"))).alias("value")
+    uses: list[tuple[int, str, float, float]] = []  # filled once the number of values is known
+
+    def wanted(total: int) -> list[int]:
+        for p in map(float, probabilities if total else ()):
+            h = (total - 1) * p
+            uses.extend([(math.floor(h), "low", p, h - math.floor(h)), (math.ceil(h), "high", p, h - math.floor(h))])
+        return [use[0] for use in uses]
+
+    found = at_positions(counts, F.col("n"), [F.col("v").asc()], wanted).select("position", "v")
+    names = ("position", "side", "prob", "part")
+    sides = literal_rows(df.sparkSession, names, uses, "position bigint, side string, prob double, part double")
+    low, high = (F.max(F.when(F.col("side") == side, F.col("v"))) for side in ("low", "high"))
+    return found.join(F.broadcast(sides), "position").groupBy("prob", "part").agg(low.alias("low"), high.alias("high")).select(
+        "prob", (F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).alias("value")
     )
 
 
@@ -99,7 +105,7 @@ def quantile_lookup(quantiles: DataFrame, zero: float = 0.0, targets: Sequence[f
 def share_of_total(df: DataFrame, n: str = "n", output: str = "percent", scale: float = 100.0) -> DataFrame:
     """Value as percent of the grand total."""
     total = df.agg(F.sum(n).alias("total"))
-    return df.withColumn(output, F.col(n) / single(total) * F.lit(scale))
+    return df.withColumn(output, F.try_divide(n, single(total)) * F.lit(scale))
 
 
 def toxic_share(
@@ -126,7 +132,7 @@ def toxic_share(
     else:
         raise ValueError(f"unknown scope {scope!r}")
     return counts.where(F.col("__toxic") > 0).select(
-        *keys, F.lit(OFFENSE).alias("label"), "n", (F.col("n") / base * 100).alias("prop_offense")
+        *keys, F.lit(OFFENSE).alias("label"), "n", (F.try_divide("n", base) * 100).alias("prop_offense")
     )
 
 
@@ -208,7 +214,8 @@ def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | No
 
     Each distinct value enters once with its count, and the grid has a fixed number of
     points, so the work is distinct values x points. Without ``bandwidth`` the usual
-    rule 0.9 * min(sd, IQR / 1.34) * n^(-1/5) is applied.
+    rule 0.9 * min(sd, IQR / 1.34) * n^(-1/5) is applied. A column of equal values has no
+    density (null).
     """
     known = df.where(F.col(column).isNotNull())
     if log10:
@@ -228,9 +235,9 @@ def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | No
     lo, hi = single(span.select("lo")), single(span.select("hi"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     at = counts.select("x", "n", grid.alias("i")).withColumn("at", lo + (hi - lo) * F.col("i") / (points - 1))
-    kernel = F.sum(F.col("n") * F.exp(-F.pow((F.col("at") - F.col("x")) / h, 2) / 2))
+    kernel = F.sum(F.col("n") * F.exp(-F.pow(F.try_divide(F.col("at") - F.col("x"), h), 2) / 2))
     scale = single(span.select("total")) * h * F.sqrt(F.lit(2.0) * F.pi())
-    return at.groupBy("i", "at").agg((kernel / scale).alias("density"))
+    return at.groupBy("i", "at").agg(F.try_divide(kernel, scale).alias("density"))
 
 
 def term_total(counts: DataFrame, term: str, word: str = "word") -> DataFrame:

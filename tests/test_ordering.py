@@ -70,6 +70,17 @@ def test_quantiles(spark):
     assert rough["value"] == 3.0
 
 
+def test_quantiles_of_nothing_and_of_repeats(spark, series):
+    empty = series.where("id < 0")
+    assert agg.quantile_table(empty, "value").count() == 0
+    want = series.toPandas()["value"].quantile([i / 20 for i in range(21)])
+    got = {r["prob"]: r["value"] for r in agg.quantile_table(series, "value", agg.TWENTIETHS).collect()}
+    assert got == {p: pytest.approx(v) for p, v in want.items()}
+    one = spark.createDataFrame([(4.0,)] * 7, "x double")
+    assert {r["value"] for r in agg.quantile_table(one, "x").collect()} == {4.0}
+    assert agg.density(one, "x", points=8).where("density is not null").count() == 0
+
+
 def test_top_n_keeps_ties_and_null_groups(spark):
     df = spark.createDataFrame([("x", 5), ("x", 5), ("x", 3), (None, 1), (None, 1), ("y", None)], "g string, v int")
     assert sorted((r["g"] or "", r["v"]) for r in win.top_n_per_group(df, "v", 1, ["g"]).collect()) == [
