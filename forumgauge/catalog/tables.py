@@ -132,12 +132,18 @@ class Tables:
             F.when(F.col("toxic") == 1, fine(F.floor(F.col("doc_id") / 2))).otherwise("OTHER").alias("predicted"),
         ).na.fill("OTHER", ["truth", "predicted"])
 
+    @cached_property
+    def term_counts(self) -> DataFrame:
+        """Terms per source and language, from which both topics and documents are summed."""
+        texts = self.texts("documents").select("source", "lang", "text")
+        counts = tokenize_words(texts, output="term").groupBy("source", "lang", "term").agg(F.count("*").alias("n"))
+        return written(counts, "term-counts")
+
     @cached_property
     def beta(self) -> DataFrame:
         """Topic = language, beta = share of the term among the language's words."""
-        words = tokenize_words(self.texts("documents").select("lang", "text"), output="term")
-        counts = words.groupBy("lang", "term").agg(F.count("*").alias("n"))
-        totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+        counts = self.term_counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+        totals = self.term_counts.groupBy("lang").agg(F.sum("n").alias("total"))
         topic = F.array_position(F.array(*[F.lit(v) for v in LANGUAGES]), F.col("lang")).cast("int")
         beta = counts.join(totals, "lang").select(topic.alias("topic"), "term", (F.col("n") / F.col("total")).alias("beta"))
         return written(beta, "beta")
@@ -158,8 +164,7 @@ class Tables:
     @cached_property
     def source_terms(self) -> DataFrame:
         """Document-term table with the source as document."""
-        words = tokenize_words(self.texts("documents").select(F.col("source").alias("document"), "text"), output="term")
-        return written(doc_term_counts(words), "source-terms")
+        return self.term_counts.groupBy(F.col("source").alias("document"), "term").agg(F.sum("n").alias("n"))
 
     @cached_property
     def document_terms(self) -> DataFrame:

@@ -134,6 +134,39 @@ def _(t):
     return rounded(table, "estimate", "std_error", "statistic", "p_value")
 
 
+def _estimates_sql() -> str:
+    """Least squares with three predictors by Cramer's rule on their covariances."""
+    pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+    sums = ", ".join(f"covar_pop(t_{i}, t_{j}) AS c{i}{j}" for i, j in pairs)
+    sums += ", " + ", ".join(f"covar_pop(t_{i}, y) AS d{i}, avg(t_{i}) AS x{i}" for i in (1, 2, 3))
+
+    def minor(i: int, j: int) -> str:
+        (a, b), (c, d) = [r for r in (1, 2, 3) if r != i], [r for r in (1, 2, 3) if r != j]
+        sign = "" if (i + j) % 2 == 0 else "-"
+        return f"{sign}(c{a}{c} * c{b}{d} - c{a}{d} * c{b}{c})"
+
+    inverse = ", ".join(f"{minor(j, i)} / det AS v{i}{j}" for i, j in pairs)
+    slopes = ", ".join(f"v{i}1 * d1 + v{i}2 * d2 + v{i}3 * d3 AS b{i}" for i in (1, 2, 3))
+    spread = " + ".join(f"x{i} * x{j} * v{i}{j}" for i, j in pairs)
+    lines = " UNION ALL ".join(
+        f"SELECT 't_{i}' AS term, {i} AS topic, b{i} AS e, sqrt(s2 * v{i}{i} / n) AS se FROM fit" for i in (1, 2, 3)
+    )
+    return f"""WITH wide AS (SELECT document, max(prop_offense) AS y, {", ".join(f"max(gamma) FILTER (topic = {i}) AS t_{i}" for i in (1, 2, 3))}
+  FROM gamma JOIN shares ON document = video_id GROUP BY document),
+m AS (SELECT count(*) AS n, avg(y) AS my, var_pop(y) AS vy, {sums} FROM wide),
+inv AS (SELECT *, {inverse} FROM (SELECT *, c11 * {minor(1, 1)} + c12 * {minor(1, 2)} + c13 * {minor(1, 3)} AS det FROM m)),
+fit AS (SELECT *, n * (vy - b1 * d1 - b2 * d2 - b3 * d3) / (n - 4) AS s2 FROM (SELECT *, {slopes} FROM inv)),
+lines AS ({lines} UNION ALL SELECT '(Intercept)', NULL, my - b1 * x1 - b2 * x2 - b3 * x3, sqrt(s2 * (1 + {spread}) / n) FROM fit
+  UNION ALL SELECT 't_4', 4, NULL, NULL)
+SELECT term, topic, round(e, 4) AS estimate, round(se, 4) AS std_error, round(e / se, 4) AS statistic FROM lines"""
+
+
+@query("topic_regression_estimates", _estimates_sql(), "gamma shares")
+def _(t):
+    table = rel.topic_regression(t.gamma, t.shares, K, op.top_terms(t.beta, 10))
+    return rounded(table.drop("terms", "p_value"), "estimate", "std_error", "statistic", digits=4)
+
+
 SINGLE_SQL = """
 one AS (SELECT topic, regr_count(prop_offense, gamma) AS n, regr_slope(prop_offense, gamma) AS estimate, regr_intercept(prop_offense, gamma) AS intercept,
                regr_r2(prop_offense, gamma) AS r_squared, corr(prop_offense, gamma) AS correlation
