@@ -11,7 +11,7 @@ from .tables import WORD_SQL
 @query("project_columns", """
 SELECT url AS link, page_id AS page, length(html) AS n_html FROM pages""")
 def _(t):
-    pages = t.raw("pages").select("page_id", "url", F.length("html").alias("n_html"), F.lit(0).alias("thumbnail_width"))
+    pages = t.raw("pages").select("page_id", "url", F.length("html").cast("bigint").alias("n_html"), F.lit(0).alias("thumbnail_width"))
     return op.project_columns(pages, drop_containing="thumbnail", rename={"page_id": "page", "url": "link"}, first=["link"])
 
 

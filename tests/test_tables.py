@@ -31,8 +31,8 @@ def test_columns(spark):
     assert col.mean_like_ratio(likes).first()[0] == 0.75
     places = spark.createDataFrame([("v", 12.5, "wort"), ("v", 1.0, "da")], "vid string, start double, word string")
     assert col.term_occurrences(places, "wort").first()["link"] == "https://youtu.be/v?t=12"
-    link = col.episode_links(spark.createDataFrame([("NtYT-HAI2xc",)], "video_id string")).first()
-    assert link["link_id"] == "NtYT-HAI2xc"
+    link = col.episode_links(spark.createDataFrame([("aB3-x_Yz12",)], "video_id string")).first()
+    assert link["link_id"] == "aB3-x_Yz12"
 
 
 def test_flags(spark):
