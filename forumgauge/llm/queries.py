@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import simhash, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,18 @@ def query(sql: str | None = None):
     return register
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the package of public tokenizers keeps a file; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query()
 def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_token_counts(spark, sf_dir, model=None):
+    return tokens.token_counts(table(spark, sf_dir, "documents"), model or tokenizer_path("piece_bpe_32k.model"))
