@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, tokens
+from . import packing, simhash, tokens
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,17 @@ def op1_simhash(spark, sf_dir):
 @query()
 def op3_token_counts(spark, sf_dir, model=None):
     return tokens.token_counts(table(spark, sf_dir, "documents"), model or tokenizer_path("piece_bpe_32k.model"))
+
+
+def packing_options() -> dict:
+    import public_tokenizers
+
+    return {
+        "tokenizer": tokenizer_path("byte_bpe_50k.json"), "ranks": tokenizer_path("byte_bpe_50k.tiktoken"),
+        "pattern": public_tokenizers.PATTERN,
+    }
+
+
+@query()
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **packing_options())
