@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, suffix, tokens, winnow
+from . import packing, quality, secrets, simhash, suffix, tokens, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,51 @@ def op3_token_counts(spark, sf_dir, model=None):
     return tokens.token_counts(table(spark, sf_dir, "documents"), model or tokenizer_path("piece_bpe_32k.model"))
 
 
+def _duck_spans(column: str, pattern: str, kind: int, group: int = 0) -> str:
+    """SQL for the spans of a pattern: a match starts behind the pieces and matches before it."""
+    return f"""
+    SELECT row, doc_id, source, lang, {kind} AS kind, start, start + length(m[i]) AS stop, v[i] AS value
+    FROM (SELECT *, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) AS BIGINT)
+                    + CAST(coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+          FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
+                FROM (SELECT *, regexp_extract_all({column}, '{pattern}', 0) AS m, regexp_extract_all({column}, '{pattern}', {group}) AS v,
+                             regexp_split_to_array({column}, '{pattern}') AS p FROM d)))"""
+
+
+_ASSIGN = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))").replace("'", "''")
+_SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id AS row, doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+base AS (SELECT * FROM ({_duck_spans("text", _ASSIGN, 0, 2)}) WHERE length(value) >= {secrets.VALUE}
+         UNION ALL {_duck_spans("text", secrets.ACCESS, 1)} UNION ALL {_duck_spans("text", secrets.HEX, 2)}),
+mixed AS (SELECT * FROM ({_duck_spans("text", secrets.MIXED, 3)})
+          WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')),
+further AS (SELECT * FROM mixed x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = x.row AND b.start < x.stop AND x.start < b.stop)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM further),
+known AS (SELECT value, count(DISTINCT source) AS owners FROM every GROUP BY value),
+judged AS (SELECT e.*, owners FROM every e JOIN known USING (value)),
+per AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               count(*) FILTER (owners = 1) AS n_live, count(*) FILTER (owners >= {secrets.EXAMPLE_OWNERS}) AS n_examples,
+               string_agg(concat((['assign', 'access', 'hex'])[kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind) FILTER (kind < 3) AS b,
+               string_agg(concat((['assign', 'access', 'hex', 'live'])[kind + 1], ':', start, ':', stop), ',' ORDER BY start, kind)
+                   FILTER (kind < 3 OR owners = 1) AS s FROM judged GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples
+FROM d LEFT JOIN per USING (row)
+"""
+
+
+@query(_SECRETS_SQL)
+def op4_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.secrets(docs, repository=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long")
+    return found.select(
+        "doc_id", of_kind(0).alias("n_assign"), of_kind(1).alias("n_access"), of_kind(2).alias("n_hex"),
+        F.sha2(secrets.listed(F.filter("spans", lambda s: s.kind < 3)), 256).alias("base_sha256"),
+        secrets.listed(F.col("spans")).alias("spans"), "n_live", "n_examples",
+    )
+
+
 def packing_options() -> dict:
     import public_tokenizers
 
