@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, secrets, simhash, suffix, tokens, winnow
+from . import lines, packing, quality, secrets, simhash, suffix, tokens, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,6 +121,26 @@ def op8_suffix_trees(spark, sf_dir):
     return found.withColumn("kept_text", F.sha2("kept_text", 256)).withColumnRenamed("kept_text", "kept_sha256")
 
 
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)),
+u AS (SELECT x, length(x) AS n, min((doc_id, p)) AS f FROM l WHERE length(x) >= {lines.SHORTEST} GROUP BY x),
+near AS (SELECT a.x AS a, b.x AS b, a.n AS n, b.n AS m, a.f AS fa, b.f AS fb FROM u a JOIN u b ON b.n BETWEEN a.n AND a.n + 1 AND a.x <> b.x
+         WHERE levenshtein(a.x, b.x) <= 4),
+linked AS (SELECT DISTINCT CASE WHEN fa < fb THEN b ELSE a END AS x FROM near
+           WHERE len(list_filter(range(0, n + 1), lambda i: substr(a, 1, i) = substr(b, 1, i)
+                     AND substr(a, CAST(i AS INT) + CASE WHEN n = m THEN 2 ELSE 1 END) = substr(b, CAST(i AS INT) + 2))) > 0),
+gone AS (SELECT doc_id, p FROM l JOIN u USING (x) WHERE (doc_id, p) <> f OR x IN (SELECT x FROM linked)),
+per AS (SELECT doc_id, count(*) AS n, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS s FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(s, '') AS removed_lines
+FROM documents LEFT JOIN per USING (doc_id)
+""")
+def op9_line_dedup(spark, sf_dir):
+    found = lines.line_verdicts(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines")
+    )
+
+
 @query("""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
