@@ -218,3 +218,9 @@ def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = train(docs, labels, id_col, text_col)
     out = with_scores(docs.select(F.col(id_col), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")), model)
     return out.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    model = train(docs, labels, id_col, text_col)
+    return with_scores(docs, model, text_col, "__score").where(F.col("__score") >= threshold).drop("__score")

@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Sets, column_of, components, groups, slices, tiled, written
@@ -48,18 +48,22 @@ def fingerprint_of(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > len(bits)).tobytes(), "big")
 
 
+def text_print(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fingerprint`` (long, the 64 bits) of every row; a null text counts as empty."""
+    """``id_col, print, fingerprint`` (long, the 64 bits) of every row; ``print`` is a hash of the text, null as empty."""
 
     def work(batches):
         for part in slices(batches, "text"):
             texts = column_of(part, "text").to_pylist()
             found = np.array([fingerprint_of((t or "").encode()) for t in texts], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column_of(part, "id"), pa.array(found)], ["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([column_of(part, "id"), column_of(part, "print"), pa.array(found)], ["id", "print", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return out.mapInArrow(work, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_print(text_col).alias("print"))
+    return out.mapInArrow(work, f"id {kind}, print long, fingerprint long").withColumnRenamed("id", id_col)
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -188,12 +192,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other; repeated rows are returned once each; a null id is no candidate
     for ``component_id`` unless it is alone. Other columns are not read. An empty table gives no rows.
     """
-    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    unique = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "fingerprints")
-    tied = components(links(unique, radius)).withColumnRenamed("node", "fingerprint")
-    named = unique.join(tied, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    prints, named = rooted(docs, id_col, text_col, radius)
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     known = named.join(lowest, "root").select("fingerprint", "component_id")
     return prints.join(known, "fingerprint").select(
         id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def rooted(docs: DataFrame, id_col: str, text_col: str, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and ``fingerprint, first, root`` of the different ones: smallest id and component."""
+    prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    unique = written(prints.groupBy("fingerprint").agg(F.min(id_col).alias("first")), "fingerprints")
+    tied = components(links(unique, radius)).withColumnRenamed("node", "fingerprint")
+    return prints, unique.join(tied, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each component, with all its columns.
+
+    A row without an id stays only if its component has no other; of rows with the same id,
+    and of repeated rows, one stays.
+    """
+    prints, named = rooted(docs, id_col, text_col, radius)
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "print")
+    best = prints.join(named, "fingerprint").groupBy("root").agg(F.min(row).alias("b")).select(
+        F.col("b.none").alias("__none"), F.coalesce(F.col("b.id").cast("string"), F.lit("")).alias("__id"), F.col("b.print").alias("__print"))
+    keys = ["__none", "__id", "__print"]
+    keyed = docs.withColumns({
+        "__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__print": text_print(text_col)})
+    return keyed.join(best, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -169,3 +169,13 @@ def contamination(
         F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.coalesce("items", F.array().cast(f"array<{kind}>")).alias("items"), ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """``docs`` without the rows whose text is contaminated; a verdict depends on the text alone, which md5 names here."""
+    named = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("name"), F.col(text_col).alias("text"))
+    found = contamination(named, items, "name", "text", item_col, item_text_col).where("contaminated").select("name").distinct()
+    bad = written(found.withColumnRenamed("name", "__name"), "contaminated")
+    return docs.join(bad, F.md5(F.coalesce(docs[text_col], F.lit(""))) == F.col("__name"), "left_anti")
