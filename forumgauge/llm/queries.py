@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, quality, secrets, simhash, suffix, tokens, winnow
+from . import lattice, lines, packing, quality, secrets, simhash, suffix, tokens, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_lattice(spark, sf_dir):
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op3_token_counts(spark, sf_dir, model=None):
     return tokens.token_counts(table(spark, sf_dir, "documents"), model or tokenizer_path("piece_bpe_32k.model"))
