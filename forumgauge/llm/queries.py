@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lattice, lines, packing, quality, secrets, simhash, suffix, tokens, winnow
+from . import lattice, lines, packing, quality, secrets, simhash, suffix, tokens, warc, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +105,22 @@ def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), **packing_options())
 
 
+@query(r"""
+WITH r AS (SELECT page_id, concat('WARC/1.0', crlf, 'WARC-Type: resource', crlf, 'WARC-Record-ID: <urn:page:', page_id, '>', crlf,
+                  'WARC-Date: 1970-01-01T00:00:00Z', crlf, 'WARC-Target-URI: ', coalesce(url, ''), crlf, 'Content-Type: text/html', crlf,
+                  'Content-Length: ', strlen(coalesce(html, '')), crlf, crlf, coalesce(html, ''), crlf, crlf) AS record
+           FROM pages, (SELECT chr(13) || chr(10) AS crlf))
+SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha256, page_id % 97 <> 13 AS intact FROM r
+""")
+def op6_warc_audit(spark, sf_dir):
+    """The pages against a replica in which one record in 97 has another first character."""
+    held = warc.records(table(spark, sf_dir, "pages"))
+    damaged = F.concat(F.lit("#"), F.expr("substr(record, 2)"))
+    replica = held.withColumn("record", F.when(F.col("id") % 97 == 13, damaged).otherwise(F.col("record")))
+    found = warc.audit(held, replica)
+    return found.select(F.col("id").alias("page_id"), "length", F.col("hash").alias("sha256"), "intact")
+
+
 @query()
 def op7_quality_pu(spark, sf_dir):
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
