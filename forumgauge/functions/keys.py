@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,18 @@ def attach(df: DataFrame, keys: Sequence[str], **figures) -> DataFrame:
     return join_null_safe(df, grouped, keys, "inner")
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, rank: str) -> DataFrame:
+    """The first ``n`` rows of each group in an order, with their rank from 1.
+
+    Every input partition ranks its own part of a group first, so no task sorts more than
+    ``n`` rows of a group from each partition, however large ``n`` or the group is.
+    """
+    part = Window.partitionBy(*keys, "__part").orderBy(*order)
+    own = df.withColumn("__part", F.spark_partition_id()).withColumn("__own", F.row_number().over(part))
+    near = own.where(F.col("__own") <= n).drop("__part", "__own")
+    return near.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
 def single(df: DataFrame):
     """The only value of a one-row, one-column frame, as a scalar subquery."""
     return df.scalar()

@@ -43,8 +43,10 @@ def label_summary(df: DataFrame, label: str = "label", likes: str = "like_count"
 def completeness_check(episodes: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows per episode by whether they lack a score; an episode without any scored
     comment counts as one row that lacks it."""
-    joined = episodes.select("video_id").join(scores.select("video_id", "score"), "video_id", "left")
-    return joined.groupBy("video_id", F.col("score").isNull().alias("na_score")).agg(F.count("*").alias("n"))
+    counted = scores.groupBy("video_id", F.col("score").isNull().alias("na_score")).agg(F.count("*").alias("n"))
+    joined = episodes.groupBy("video_id").agg(F.count("*").alias("rows")).join(counted, "video_id", "left")
+    found = joined.select("video_id", F.coalesce("na_score", F.lit(True)).alias("na_score"), (F.col("rows") * F.coalesce("n", F.lit(1))).alias("n"))
+    return found.groupBy("video_id", "na_score").agg(F.sum("n").alias("n"))
 
 
 def coverage_ratio(analysed: DataFrame, episodes: DataFrame, reported: str = "comment_count") -> DataFrame:

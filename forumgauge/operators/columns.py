@@ -62,7 +62,7 @@ def term_occurrences(tokens: DataFrame, term: str, vid: str = "vid", start: str
 def episode_links(df: DataFrame, vid: str = "video_id") -> DataFrame:
     """A watch link from the id, and the id recovered from that link."""
     link = F.concat(F.lit(WATCH_URL), F.col(vid).cast("string"))
-    return df.withColumn("link", link).withColumn("link_id", F.regexp_extract("link", r"([^v=]+)$", 1))
+    return df.withColumn("link", link).withColumn("link_id", F.regexp_extract("link", r"[?&]v=([^&]*)", 1))
 
 
 def calendar_parts(df: DataFrame, key: str, timestamp: str) -> DataFrame:

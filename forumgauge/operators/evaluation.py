@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import single
+from ..functions.keys import first_rows, single
 from ..functions.wordlists import COARSE_LABELS, FINE_LABELS, OFFENSE
 from .aggregates import histogram, share_of_total
 
@@ -175,8 +175,8 @@ def stratified_sample(df: DataFrame, n: int = 125, label: str = "label", key: st
     The limit is applied within every task before the shuffle, so a label that holds
     most of the table hands on n rows per task.
     """
-    order = Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string").cast("binary")), key)
-    return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
+    order = [F.md5(F.col(key).cast("string").cast("binary")), F.col(key)]
+    return first_rows(df, [label], order, n, "__r").drop("__r")
 
 
 def apply_correction(counts: DataFrame, factors: DataFrame, n: str = "n", label: str = "label") -> DataFrame:

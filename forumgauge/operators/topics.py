@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import attach, single
+from ..functions.keys import attach, first_rows, single
 from ..session import cut_lineage, written
 from .reshape import pivot_longer
 from .windows import top_n_per_group
@@ -27,7 +27,7 @@ TOPIC_NUMBERS = (10, 15, 20, 25, 30)
 
 def fit_topics(
     vectors: DataFrame, ks: Sequence[int] = TOPIC_NUMBERS, seed: int = 8458159, max_iter: int = 200,
-    optimizer: str = "online", features: str = "features", subsampling: float = 0.05,
+    optimizer: str = "online", features: str = "features", subsampling: float = 1.0,
 ) -> dict[int, LDAModel]:
     """One model per number of topics. Every fit is a distributed job of its own, run
     over vectors that are written to the shared folder once."""
@@ -69,8 +69,7 @@ def top_terms(beta: DataFrame, n: int = 10, output: str = "terms") -> DataFrame:
 
 def _leading(beta: DataFrame, m: int) -> DataFrame:
     """Exactly ``m`` terms per topic with their rank from 1."""
-    order = Window.partitionBy("topic").orderBy(F.desc("beta"), "term")
-    return beta.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)
+    return first_rows(beta, ["topic"], [F.desc("beta"), F.col("term")], m, "rank")
 
 
 def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataFrame:
@@ -85,7 +84,7 @@ def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataF
         raise ValueError("at most 62 leading terms fit a mask")
     leading = _leading(beta, m).select("topic", "term", "rank")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("rank") - 1)
-    present = counts.join(leading, "term").groupBy("document", "topic").agg(F.sum(bit).alias("mask"))
+    present = counts.join(leading, "term").groupBy("document", "topic").agg(F.bit_or(bit).alias("mask"))
     masks = present.groupBy("topic", "mask").agg(F.count("*").alias("n"))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(2, m + 1) for j in range(1, i)
@@ -98,10 +97,11 @@ def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataF
     # pairs beyond a topic's vocabulary have no documents and no ratio
     score = F.ln(F.try_divide(F.col("both") + 1, F.col("one")))
     sized = leading.groupBy("topic").agg(F.max("rank").alias("last"))
-    return (
+    scored = (
         per_pair.join(sized, "topic").where(F.col("pair.i") <= F.col("last"))
         .groupBy("topic").agg(F.sum(score).alias("semantic_coherence"))
     )
+    return sized.select("topic").join(scored, "topic", "left")  # no leading term in any document: null
 
 
 def exclusivity(beta: DataFrame, m: int = 10, weight: float = 0.7) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordering
-from ..functions.keys import attach, join_null_safe, single
+from ..functions.keys import attach, first_rows, join_null_safe, single
 
 
 def rolling_mean(
@@ -48,8 +48,7 @@ def top_n_per_group(df: DataFrame, value: str, n: int, keys: Sequence[str] = ())
     if not keys:
         smallest = df.select(value).orderBy(F.desc(value)).limit(n).agg(F.min(value).alias("cut"))
         return df.where(F.col(value) >= single(smallest))
-    best = Window.partitionBy(*keys).orderBy(F.desc(value))
-    largest = df.select(*keys, value).withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= n)
+    largest = first_rows(df.select(*keys, value), keys, [F.desc(value)], n, "__r")
     cut = largest.groupBy(*keys).agg(F.min(value).alias("__cut"))
     return join_null_safe(df, cut, keys, "inner").where(F.col(value) >= F.col("__cut")).drop("__cut")
 

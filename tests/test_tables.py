@@ -137,3 +137,28 @@ def test_listing_and_sorting(spark):
     df = spark.createDataFrame([(2, OFF), (1, OFF), (3, OTH)], "id int, label string")
     assert [r["id"] for r in topk.toxic_listing(df, ["id"], limit=1).collect()] == [1]
     assert [r["id"] for r in topk.sort_by(df, "-id").collect()] == [3, 2, 1]
+
+
+def test_link_id_may_hold_any_letter(spark):
+    from forumgauge.operators import columns
+
+    rows = columns.episode_links(spark.createDataFrame([("abvcd",), ("v=x",), (None,)], "video_id string")).collect()
+    assert [r.link_id for r in rows] == ["abvcd", "v=x", None]
+
+
+def test_coherence_survives_repeated_cells_and_absent_terms(spark):
+    from forumgauge.operators import topics
+
+    beta = spark.createDataFrame([(1, "a", 0.6), (1, "b", 0.4), (2, "y", 0.7), (2, "z", 0.3)], "topic int, term string, beta double")
+    counts = spark.createDataFrame([("d", "a", 1), ("d", "a", 1)], "document string, term string, n int")
+    found = {r.topic: r.semantic_coherence for r in topics.semantic_coherence(beta, counts).collect()}
+    assert found == {1: 0.0, 2: None}
+
+
+def test_top_rows_are_limited_before_the_shuffle_for_any_n(spark):
+    from forumgauge.operators import windows
+
+    df = spark.range(0, 5000, 1, 4).selectExpr("id % 2 AS k", "id AS x")
+    assert windows.top_n_per_group(df, "x", 1001, ["k"]).count() == 2002
+    plan = windows.top_n_per_group(df, "x", 1001, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__own") and "__part" in plan
