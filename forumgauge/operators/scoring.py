@@ -8,7 +8,7 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +49,10 @@ class LexiconScorer:
 
 
 class PipelineScorer:
-    """Bag of words and logistic regression, trained on a labelled table."""
+    """Hashed bag of words and logistic regression, trained on a labelled table.
+
+    Words are hashed to ``features`` columns, so none is left out and no vocabulary is held on the driver.
+    """
 
     def __init__(self, model: PipelineModel):
         self.model = model
@@ -57,13 +60,13 @@ class PipelineScorer:
     @classmethod
     def train(
         cls, labelled: DataFrame, text: str = "text", label: str = "label",
-        vocabulary: int = 20000, min_docs: int = 2, iterations: int = 20, penalty: float = 0.01,
+        features: int = 1 << 18, iterations: int = 20, penalty: float = 0.01,
     ) -> PipelineScorer:
         rows = labelled.select(
             tx.words(F.col(text)).alias("__words"), (F.col(label) == OFFENSE).cast("double").alias("__y")
         )
         stages = [
-            CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary, minDF=min_docs),
+            HashingTF(inputCol="__words", outputCol="__counts", numFeatures=features),
             LogisticRegression(
                 featuresCol="__counts", labelCol="__y", maxIter=iterations, regParam=penalty,
                 rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction",
