@@ -165,11 +165,11 @@ def _(t):
 x AS (SELECT n, log10(n::DOUBLE) AS x FROM authors),
 s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS m,
       0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM x)
-SELECT i, round(lo + (hi - lo) * i / 127, 6) AS at, round(sum(exp(-pow((lo + (hi - lo) * i / 127 - x) / h, 2) / 2)) / (m * h * sqrt(2 * pi())), 6) AS density
-FROM (SELECT CAST(unnest(range(128)) AS INT) AS i), s, x GROUP BY i, lo, hi, m, h""", "author_comments")
+SELECT i, round(lo + (hi - lo) * i / 511, 6) AS at, round(sum(exp(-pow((lo + (hi - lo) * i / 511 - x) / h, 2) / 2)) / (m * h * sqrt(2 * pi())), 6) AS density
+FROM (SELECT CAST(unnest(range(512)) AS INT) AS i), s, x GROUP BY i, lo, hi, m, h""", "author_comments")
 def _(t):
     authors = op.count_by(t.author_comments, "author_id")
-    return rounded(op.density(authors, "n", points=128, log10=True), "at", "density")
+    return rounded(op.density(authors, "n", points=512, log10=True), "at", "density")
 
 
 @query("term_total", "SELECT CAST(sum(n) AS BIGINT) AS n FROM subtitle_terms WHERE term = 'the'", "subtitle_terms")
