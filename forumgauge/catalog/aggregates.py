@@ -39,6 +39,17 @@ def _(t):
 
 
 @query("completeness_check", """
+WITH e AS (SELECT video_id FROM episodes UNION ALL SELECT 'unscored-' || video_id FROM episodes)
+SELECT e.video_id, score IS NULL AS na_score, count(*) AS n FROM e
+LEFT JOIN (SELECT video_id, CASE WHEN CAST(id AS BIGINT) % 5 > 0 THEN score END AS score FROM scores) s ON e.video_id = s.video_id GROUP BY 1, 2""", "episodes scores")
+def _(t):
+    # some scores are missing, and every episode has a twin without scores
+    ids = t.episodes.select("video_id")
+    both = ids.unionByName(ids.select(F.concat(F.lit("unscored-"), "video_id").alias("video_id")))
+    return op.completeness_check(both, t.scores.select("video_id", F.when(F.col("id") % 5 > 0, F.col("score")).alias("score")))
+
+
+@query("completeness_check_comments", """
 SELECT c.video_id, score IS NULL AS na_score, count(*) AS n FROM (SELECT id AS video_id FROM comments) c
 LEFT JOIN (SELECT id AS video_id, score FROM scores) s ON c.video_id = s.video_id GROUP BY 1, 2""", "comments scores")
 def _(t):
@@ -164,9 +175,12 @@ def _(t):
 @query("density", f"""{AUTHORS_SQL},
 x AS (SELECT n, log10(n::DOUBLE) AS x FROM authors),
 s AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS m,
-      0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM x)
-SELECT i, round(lo + (hi - lo) * i / 511, 6) AS at, round(sum(exp(-pow((lo + (hi - lo) * i / 511 - x) / h, 2) / 2)) / (m * h * sqrt(2 * pi())), 6) AS density
-FROM (SELECT CAST(unnest(range(512)) AS INT) AS i), s, x GROUP BY i, lo, hi, m, h""", "author_comments")
+      0.9 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS h FROM x),
+p AS (SELECT (x - lo) / (hi - lo) * 8192 AS p FROM x, s),
+c AS (SELECT cell, sum(n) AS n FROM (SELECT floor(p) AS cell, 1 - (p - floor(p)) AS n FROM p UNION ALL SELECT floor(p) + 1, p - floor(p) FROM p) GROUP BY cell HAVING sum(n) > 0)
+SELECT i, round(lo + (hi - lo) * i / 511, 6) AS at,
+       round(sum(n * exp(-pow((lo + (hi - lo) * i / 511 - (lo + (hi - lo) * cell / 8192)) / h, 2) / 2)) / (m * h * sqrt(2 * pi())), 6) AS density
+FROM (SELECT CAST(unnest(range(512)) AS INT) AS i), s, c GROUP BY i, lo, hi, m, h""", "author_comments")
 def _(t):
     authors = op.count_by(t.author_comments, "author_id")
     return rounded(op.density(authors, "n", points=512, log10=True), "at", "density")
@@ -196,7 +210,7 @@ WITH top5 AS (SELECT video_id FROM shares QUALIFY rank() OVER (ORDER BY prop_off
 ranked AS (SELECT *, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS r FROM beta),
 terms AS (SELECT DISTINCT term FROM ranked WHERE r <= 8),
 c AS (SELECT document AS vid, s.term, s.n FROM source_terms s WHERE document IN (SELECT video_id FROM top5))
-SELECT t.term, c.vid, coalesce(c.n, 1) AS n FROM terms t LEFT JOIN c ON t.term = c.term""", "shares beta source_terms")
+SELECT t.term, c.vid, coalesce(c.n, 0) AS n FROM terms t LEFT JOIN c ON t.term = c.term""", "shares beta source_terms")
 def _(t):
     terms = explode_term_list(top_terms(t.beta, 8).select("terms"), "terms", "term").distinct()
     worst = top_episodes(t.shares, t.episodes, 5).select("video_id")

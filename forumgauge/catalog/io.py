@@ -31,28 +31,40 @@ def _(t):
 
 
 @query("read_scores_typed", """
-SELECT CAST(id AS VARCHAR) AS id, video_id, group_no, label, round(score, 6) AS score FROM portion_scores""", "portion_scores")
+SELECT CAST(p.id AS VARCHAR) AS id, p.video_id, p.group_no, label, round(score, 6) AS score, md5(comments_reportion) AS portion_md5
+FROM portion_scores s JOIN portions p ON s.id = p.id AND s.group_no = p.group_no""", "portion_scores portions")
 def _(t):
     path = scratch_path(t.spark, "scores")
     columns = [F.col(c).cast("string") for c in ("label", "score")]
-    t.portion_scores.select(
-        *columns, F.lit("").alias("comments_reportion"), F.col("id").cast("string"), "video_id", "group_no"
-    ).write.options(**CSV_OUT).csv(path)
-    return rounded(src.read_scores_typed(t.spark, path).drop("comments_reportion"), "score")
+    scored = t.portion_scores.select("id", "group_no", "label", "score").join(t.portions, ["id", "group_no"])
+    scored.select(*columns, "comments_reportion", F.col("id").cast("string"), "video_id", "group_no").write.options(**CSV_OUT).csv(path)
+    read = src.read_scores_typed(t.spark, path)
+    read = read.withColumn("portion_md5", F.md5(F.col("comments_reportion").cast("binary")))
+    return rounded(read.drop("comments_reportion"), "score")
 
 
-@query("read_table", "SELECT id, video_id, author_id, like_count FROM comments", "comments")
+@query("read_table", """
+SELECT 'parquet' AS format, doc_id AS id, source AS kind, md5(text) AS text_md5 FROM documents
+UNION ALL SELECT 'csv', conv_id, role, md5(text) FROM conversations""")
 def _(t):
-    return t.comments.select("id", "video_id", "author_id", "like_count")
+    path = scratch_path(t.spark, "prepared")
+    t.raw("conversations").select("conv_id", "role", "text").write.options(**CSV_OUT).csv(path)
+    schema = t.raw("conversations").select("conv_id", "role", "text").schema
+    csv = src.read_table(t.spark, path, schema, multiline=True).select(F.lit("csv").alias("format"), F.col("conv_id").alias("id"), F.col("role").alias("kind"), "text")
+    parquet = src.read_table(t.spark, f"{t.folder}/documents.parquet").select(
+        F.lit("parquet").alias("format"), F.col("doc_id").alias("id"), F.col("source").alias("kind"), "text")
+    return parquet.unionByName(csv).select("format", "id", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("read_gold_tsv", """
-SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS tweet_no, CAST(doc_id AS VARCHAR) AS tweet, lang AS coarse, source AS fine FROM documents""")
+SELECT CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS tweet_no, md5(regexp_replace(text, '[\\t\\n\\r]', ' ', 'g')) AS tweet_md5,
+       lang AS coarse, source AS fine FROM documents""")
 def _(t):
     path = scratch_path(t.spark, "gold")
-    line = F.concat_ws("\t", F.col("doc_id").cast("string"), "lang", "source")
+    line = F.concat_ws("\t", F.regexp_replace("text", r"[\t\n\r]", " "), "lang", "source")
     t.raw("documents").orderBy("doc_id").select(line.alias("value")).write.text(path)
-    return src.read_gold_tsv(t.spark, path)
+    read = src.read_gold_tsv(t.spark, path)
+    return read.select("tweet_no", F.md5(F.col("tweet").cast("binary")).alias("tweet_md5"), "coarse", "fine")
 
 
 @query("write_table", "SELECT id, label, video_id, round(score, 6) AS score FROM scores", "scores")
@@ -72,13 +84,15 @@ def _(t):
     return results.unionByName(errors.withColumn("outcome", F.lit("errors")))
 
 
-@query("save_load_model")
+@query("save_load_model", "SELECT doc_id AS id, true AS unchanged FROM documents")
 def _(t):
     texts = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
     scorer = PipelineScorer.train(t.scores.select("id", "label").join(texts, "id"))
     path = src.save_model(scorer.model, scratch_path(t.spark, "model"))
     loaded = PipelineScorer(src.load_model(path))
-    return rounded(loaded.score(texts, "text").select("id", "label", "score"), "score")
+    before = scorer.score(texts, "text").select("id", F.col("label").alias("l"), F.col("score").alias("s"))
+    after = loaded.score(texts, "text").select("id", "label", "score")
+    return after.join(before, "id").select("id", ((F.col("label") == F.col("l")) & (F.col("score") == F.col("s"))).alias("unchanged"))
 
 
 @query("drop_nested_columns", "SELECT event_id, user_id FROM events")

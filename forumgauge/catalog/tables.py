@@ -148,6 +148,11 @@ class Tables:
         beta = counts.join(totals, "lang").select(topic.alias("topic"), "term", (F.col("n") / F.col("total")).alias("beta"))
         return written(beta, "beta")
 
+    @cached_property
+    def frequent_beta(self) -> DataFrame:
+        """The same topics without their rarest terms."""
+        return self.beta.where(F.col("beta") >= 0.0001)
+
     @cached_property
     def gamma(self) -> DataFrame:
         """Document = source, gamma = share of each language in its characters."""
@@ -236,6 +241,7 @@ CTES: dict[str, tuple[str, str]] = {
         GROUP BY lang, term"""),
     "beta": ("language_terms", """
         SELECT topic, term, n / (sum(n) OVER (PARTITION BY topic))::DOUBLE AS beta FROM language_terms"""),
+    "frequent_beta": ("beta", "SELECT * FROM beta WHERE beta >= 0.0001"),
     "gamma": ("", """
         SELECT source AS document, topic,
                coalesce(sum(n_chars) FILTER (lang = ['de', 'en', 'es', 'fr'][topic]), 0)::DOUBLE / sum(n_chars)::DOUBLE AS gamma

@@ -1,5 +1,7 @@
 """Queries for corpus preparation."""
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -22,6 +24,16 @@ STEPS = [
     ("whitespace", r"\s+", " "), ("quadruple_quotes", '""""', ""), ("dots", tx.DOTS, ""), ("quotes", '"', ""),
     ("emoticons", tx.EMOTICON, ""), ("emoji", tx.EMOJI, tx.NO_BREAK_SPACE),
 ]
+# A run of single capitals between blanks, and the run without its inner blanks.
+SPACED = r"(?:^|\s)[A-Z](?:\s[A-Z]){2,}(?:\s|$)"
+
+
+def _joined_sql(column: str) -> str:
+    join = r"regexp_extract(m, '^\s?') || regexp_replace(m, '\s', '', 'g') || regexp_extract(m, '\s?$')"
+    marked = f"string_split(regexp_replace({column}, '({SPACED})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"  # every second part is a run
+    return f"array_to_string(list_transform({marked}, lambda m, i: CASE WHEN i % 2 = 0 THEN {join} ELSE m END), '')"
+
+
 TWEET_STEPS = [*STEPS[:4], ("hashes", "#", ""), *STEPS[4:], ("handle_tails", r"@\S+", "")]
 
 
@@ -30,39 +42,53 @@ def _step_sql(column: str, pattern: str, by: str) -> str:
 
 
 def _clean_sql(column: str, steps: list[tuple[str, str, str]]) -> str:
+    column = _joined_sql(column)
     for _, pattern, by in steps:
         column = _step_sql(column, pattern, by)
     return column
 
 
+# Every text also spells its first letters, so that there are runs to join.
+def _spelled_sql(column: str) -> str:
+    return f"{column} || ' ' || regexp_replace(translate(substr({column}, 1, 12), '{ascii_lowercase}', '{ascii_uppercase}'), '([A-Z])', '\\1 ', 'g')"
+
+
+def spelled(column: str):
+    first = F.regexp_replace(F.translate(F.substring(column, 1, 12), ascii_lowercase, ascii_uppercase), "([A-Z])", "$1 ")
+    return F.concat(F.col(column), F.lit(" "), first)
+
+
 def _removal_sql() -> str:
-    staged = "SELECT html AS t0 FROM pages"
-    for i, (_, pattern, by) in enumerate(STEPS, start=1):
+    staged = f"SELECT {_spelled_sql('html')} AS t0 FROM pages"
+    staged = f"SELECT *, {_joined_sql('t0')} AS t1 FROM ({staged})"
+    for i, (_, pattern, by) in enumerate(STEPS, start=2):
         staged = f"SELECT *, {_step_sql(f't{i - 1}', pattern, by)} AS t{i} FROM ({staged})"
     rows = " UNION ALL ".join(
         f"SELECT {i} AS step_no, '{name}' AS step, count(*) FILTER (t{i} <> t{i - 1}) AS n FROM staged"
-        for i, (name, _, _) in enumerate(STEPS, start=1)
+        for i, (name, _, _) in enumerate([("spaced_capitals", "", ""), *STEPS], start=1)
     )
     return f"WITH staged AS ({staged}) {rows}"
 
 
 @query("clean_text", f"""
-SELECT page_id, {_clean_sql("html", STEPS)} AS text_display FROM pages
-UNION ALL SELECT doc_id, {_clean_sql("text", STEPS)} FROM documents""")
+SELECT page_id, {_clean_sql("text", STEPS)} AS text_display FROM (
+  SELECT page_id, {_spelled_sql("html")} AS text FROM pages UNION ALL SELECT doc_id, {_spelled_sql("text")} FROM documents)""")
 def _(t):
     pages = t.texts("pages").select("page_id", F.col("html").alias("text"))
     texts = pages.unionByName(t.texts("documents").select(F.col("doc_id").alias("page_id"), "text"))
-    return op.clean_text(texts, spaced_capitals=False).select("page_id", "text_display")
+    return op.clean_text(texts.withColumn("text", spelled("text"))).select("page_id", "text_display")
 
 
-@query("clean_text_tweets", f"SELECT doc_id, {_clean_sql('text', TWEET_STEPS)} AS text_display FROM documents")
+@query("clean_text_tweets", f"""
+SELECT doc_id, {_clean_sql('text', TWEET_STEPS)} AS text_display FROM (SELECT doc_id, {_spelled_sql('text')} AS text FROM documents)""")
 def _(t):
-    return op.clean_text(t.texts("documents"), profile="tweet", spaced_capitals=False).select("doc_id", "text_display")
+    texts = t.texts("documents").withColumn("text", spelled("text"))
+    return op.clean_text(texts, profile="tweet").select("doc_id", "text_display")
 
 
 @query("removal_counts", _removal_sql())
 def _(t):
-    return op.removal_counts(t.texts("pages"), "html", spaced_capitals=False)
+    return op.removal_counts(t.texts("pages").withColumn("html", spelled("html")), "html")
 
 
 @query("portion_text", "SELECT id, group_no, md5(comments_reportion) AS portion_md5, length(comments_reportion) AS n_chars FROM portions", "portions")

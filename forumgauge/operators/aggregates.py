@@ -211,11 +211,15 @@ def histogram(
     return binned.select(*by, "bin", (start + F.col("bin") * step).alias("bin_start"), "n")
 
 
+#: Cells of the grid onto which ``density`` bins its values.
+DENSITY_CELLS = 8192
+
+
 def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | None = None, log10: bool = False):
     """Gaussian kernel density on an even grid from minimum to maximum.
 
-    Each distinct value enters once with its count, and the grid has a fixed number of
-    points, so the work is distinct values x points. Without ``bandwidth`` the usual
+    Values are binned onto a finer grid of ``DENSITY_CELLS`` cells with linear weights, as is
+    usual for such estimates; only bins and points are multiplied, whatever the number of values. Without ``bandwidth`` the usual
     rule 0.9 * min(sd, IQR / 1.34) * n^(-1/5) is applied. A column of equal values has no
     density (null).
     """
@@ -224,8 +228,7 @@ def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | No
         known = known.where(F.col(column) > 0)
     value = F.col(column).cast("double")
     value = F.log10(value) if log10 else value
-    counts = known.groupBy(value.alias("x")).agg(F.count("*").alias("n"))
-    span = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))
+    span = known.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("total"))
     if bandwidth is None:
         moments = known.agg(F.stddev(value).alias("sd"), F.count("*").alias("m"))
         quartiles = quantile_table(known.select(value.alias("x")), "x", (0.25, 0.75))
@@ -235,6 +238,14 @@ def density(df: DataFrame, column: str, points: int = 512, bandwidth: float | No
     else:
         h = F.lit(float(bandwidth))
     lo, hi = single(span.select("lo")), single(span.select("hi"))
+    place = F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.0)) * DENSITY_CELLS
+    cell = F.floor(place)
+    sums = known.groupBy(cell.alias("cell")).agg(F.sum(place - cell).alias("up"), F.count("*").alias("n"))
+    shares = F.array(
+        F.struct(F.col("cell"), (F.col("n") - F.col("up")).alias("n")), F.struct((F.col("cell") + 1).alias("cell"), F.col("up").alias("n")),
+    )
+    counts = sums.select(F.explode(shares).alias("s")).groupBy("s.cell").agg(F.sum("s.n").alias("n")).where("n > 0")
+    counts = counts.select((lo + (hi - lo) * F.col("cell") / DENSITY_CELLS).alias("x"), "n")
     grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     at = counts.select("x", "n", grid.alias("i")).withColumn("at", lo + (hi - lo) * F.col("i") / (points - 1))
     kernel = F.sum(F.col("n") * F.exp(-F.pow(F.try_divide(F.col("at") - F.col("x"), h), 2) / 2))
@@ -257,9 +268,12 @@ def mention_timeline(tokens: DataFrame, terms: Sequence[str], word: str = "word"
     return count_by(chosen, date, word).withColumn("sqrt_n", F.sqrt("n"))
 
 
-def term_document_counts(terms: DataFrame, tokens: DataFrame, document: str = "vid", term: str = "term", word: str = "word"):
+def term_document_counts(
+    terms: DataFrame, tokens: DataFrame, document: str = "vid", term: str = "term", word: str = "word", unused: int = 0,
+):
     """How often each of a few terms occurs in each episode; an unused term stays with
-    a null episode. Tokens are counted before the join."""
+    a null episode and the count ``unused`` (the original analysis had 1). Tokens are counted
+    before the join."""
     counts = count_by(tokens, document, word)
     joined = terms.select(term).join(counts, F.col(term) == F.col(word), "left")
-    return joined.select(term, document, F.coalesce("n", F.lit(1)).alias("n"))
+    return joined.select(term, document, F.coalesce("n", F.lit(unused)).cast("bigint").alias("n"))

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import single
 from ..functions.wordlists import COARSE_LABELS
 
 SAMPLE_ID = "12345"
@@ -66,18 +67,27 @@ def annotation_join(annotated: DataFrame, scored: DataFrame, text: str = "text")
 
 
 def complete_grid(
-    df: DataFrame, entity: str, label: str = "label", labels: Sequence[str] = COARSE_LABELS
+    df: DataFrame, entity: str, label: str = "label", labels: Sequence[str] = COARSE_LABELS, rest: str | None = None
 ) -> DataFrame:
     """``(entity, label, n)`` for every entity and every label, zero where absent.
 
-    The labels are a short known list, so one aggregate counts them side by side and
-    the result is unfolded; no grid has to be built and joined. Null is an entity.
+    ``labels`` come first; labels of the data that are not among them follow, unless
+    ``rest`` names a label under which all of those are counted. Null is an entity, and
+    null labels are not counted. Labels are few, so the counts per entity are gathered
+    in a map of one entry per label and unfolded; no grid has to be built and joined.
     """
-    counts = df.groupBy(entity).agg(*[
-        F.count_if(F.col(label) == v).alias(f"__n{i}") for i, v in enumerate(labels)
-    ])
-    cells = [F.struct(F.lit(v).alias("label"), F.col(f"__n{i}").alias("n")) for i, v in enumerate(labels)]
-    return counts.select(entity, F.inline(F.array(*cells)))
+    known = F.col(label).isNotNull()
+    if rest is not None:
+        listed = F.col(label).isin(list(labels))
+        df = df.withColumn(label, F.when(listed | ~known, F.col(label)).otherwise(rest))
+        labels = (*labels, rest)
+    counts = df.groupBy(entity, F.col(label).alias("__label")).agg(F.count_if(known).alias("__n"))
+    cell = F.when(F.col("__label").isNotNull(), F.struct("__label", "__n"))
+    per_entity = counts.groupBy(entity).agg(F.map_from_entries(F.collect_list(cell)).alias("__map"))
+    found = single(counts.agg(F.array_sort(F.collect_set("__label")).alias("a")))
+    every = F.array_union(F.array(*[F.lit(v) for v in labels]), F.coalesce(found, F.array().cast("array<string>")))
+    spread = per_entity.select(entity, "__map", F.explode(every).alias("label"))
+    return spread.select(entity, "label", F.coalesce(F.try_element_at("__map", F.col("label")), F.lit(0)).alias("n"))
 
 
 def topic_share_join(gamma: DataFrame, shares: DataFrame, document: str = "document", video: str = "video_id"):

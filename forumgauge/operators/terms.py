@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,10 @@ from .text import tokenize_words
 from .windows import top_n_per_group
 
 
+#: Terms a vocabulary may have where it is needed in one place.
+VOCABULARY = 2_000_000
+
+
 def doc_term_counts(tokens: DataFrame, document: str = "document", term: str = "term") -> DataFrame:
     """Occurrences of each term per document; combined within tasks before the shuffle."""
     return tokens.groupBy(document, term).agg(F.count("*").alias("n"))
@@ -39,25 +43,31 @@ def vocabulary(counts: DataFrame, term: str = "term") -> DataFrame:
     return numbered.withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
-@F.udf(VectorUDT())
-def _sparse(size, cells):
-    return Vectors.sparse(size, [c["idx"] for c in cells], [c["n"] for c in cells])
-
-
 def to_sparse_vectors(counts: DataFrame, vocab: DataFrame, document: str = "document", term: str = "term"):
-    """``(document, features)`` for Spark ML. A document holds at most one cell per
-    vocabulary term, which trimming keeps bounded."""
-    size = vocab.agg(F.count("*").cast("int").alias("n"))
-    cells = F.sort_array(F.collect_list(F.struct("idx", F.col("n").cast("double").alias("n"))))
-    indexed = counts.join(vocab, term).groupBy(document).agg(cells.alias("cells"))
-    return indexed.select(document, _sparse(single(size), "cells").alias("features"))
+    """``(document, features)`` for Spark ML, built in the JVM from the repeated terms of a
+    document. Documents without a term of the vocabulary have no row.
 
+    The model needs the vocabulary in one place, so one of over ``VOCABULARY`` terms is
+    refused: trim the terms first.
+    """
+    rows = vocab.select(term).orderBy("idx").limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
+        raise ValueError(f"more than {VOCABULARY} terms: trim the terms")
+    known = counts.join(vocab.select(term), term, "left_semi")
+    if not rows:
+        rows = [[""]]  # an empty vocabulary meets no documents
+    repeated = F.flatten(F.collect_list(F.array_repeat(F.col(term), F.col("n").cast("int"))))
+    words = known.groupBy(document).agg(repeated.alias("__terms"))
+    model = CountVectorizerModel.from_vocabulary([r[0] for r in rows], inputCol="__terms", outputCol="features", minTF=1.0)
+    return model.transform(words).select(document, "features")
 
-def from_sparse_vectors(vectors: DataFrame, vocab: DataFrame, document: str = "document") -> DataFrame:
-    """Back to the long table."""
-    from pyspark.ml.functions import vector_to_array
 
-    cells = vectors.select(document, F.posexplode(vector_to_array("features")).alias("idx", "n")).where("n > 0")
+def from_sparse_vectors(vectors: DataFrame, vocab: DataFrame, document: str = "document") -> DataFrame:
+    """Back to the long table. Only stored cells are unfolded."""
+    stored = F.unwrap_udt("features")
+    places = F.coalesce(stored["indices"], F.sequence(F.lit(0), F.size(stored["values"]) - 1))
+    cells = F.explode(F.arrays_zip(places.alias("idx"), stored["values"].alias("n")))
+    cells = vectors.select(document, cells.alias("c")).select(document, "c.idx", "c.n").where("n > 0")
     return cells.join(vocab, "idx").select(document, "term", F.col("n").cast("bigint").alias("n"))
 
 

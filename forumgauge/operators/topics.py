@@ -23,18 +23,34 @@ from .reshape import pivot_longer
 from .windows import top_n_per_group
 
 TOPIC_NUMBERS = (10, 15, 20, 25, 30)
+#: Cells (topics x terms) a model may have: Spark's LDA keeps them on the driver.
+MODEL_CELLS = 100_000_000
+#: Leading terms per mask of ``semantic_coherence``.
+MASK = 62
 
 
 def fit_topics(
     vectors: DataFrame, ks: Sequence[int] = TOPIC_NUMBERS, seed: int = 8458159, max_iter: int = 200,
-    optimizer: str = "online", features: str = "features", subsampling: float = 1.0,
+    optimizer: str = "online", features: str = "features", subsampling: float = 1.0, offset: float = 1024.0,
 ) -> dict[int, LDAModel]:
     """One model per number of topics. Every fit is a distributed job of its own, run
-    over vectors that are written to the shared folder once."""
+    over vectors that are written to the shared folder once.
+
+    Every iteration reads all documents, unless ``subsampling`` is below 1. A large ``offset``
+    keeps most of the model in each of the many iterations; with full passes and an offset
+    of 1, some 30 iterations are enough.
+
+    A model of topics x terms is held on the driver, so a vocabulary too large for that
+    is refused: trim the terms first.
+    """
     prepared = cut_lineage(vectors)
+    row = prepared.select(features).head()
+    terms = row[0].size if row else 0
+    if max(ks) * terms > MODEL_CELLS:
+        raise ValueError(f"{max(ks)} topics of {terms} terms exceed {MODEL_CELLS} cells: trim the terms")
     return {
         k: LDA(
-            k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol=features, subsamplingRate=subsampling
+            k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol=features, subsamplingRate=subsampling, learningOffset=offset,
         ).fit(prepared)
         for k in ks
     }
@@ -76,20 +92,24 @@ def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataF
     """Sum over pairs of leading terms of ln((documents with both + 1) / documents with
     the more probable one), per topic.
 
-    Each document contributes one bit mask of the leading terms it contains. Documents
-    with the same mask are counted together, and pairs are read off the masks, so no
-    pairs are formed per document.
+    Each document contributes one bit mask (several beyond 62 terms) of the leading terms
+    it contains. Documents with the same mask are counted together, and pairs are read off
+    the masks, so no pairs are formed per document.
     """
-    if m > 62:
-        raise ValueError("at most 62 leading terms fit a mask")
     leading = _leading(beta, m).select("topic", "term", "rank")
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("rank") - 1)
-    present = counts.join(leading, "term").groupBy("document", "topic").agg(F.bit_or(bit).alias("mask"))
-    masks = present.groupBy("topic", "mask").agg(F.count("*").alias("n"))
+    at = F.col("rank") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % MASK)
+    words = [F.bit_or(F.when(F.floor(at / MASK) == w, bit).otherwise(0)).alias(f"w{w}") for w in range(-(-m // MASK))]
+    present = counts.join(leading, "term").groupBy("document", "topic").agg(*words)
+    masks = present.groupBy("topic", F.array(*[f"w{w}" for w in range(len(words))]).alias("mask")).agg(F.count("*").alias("n"))
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(2, m + 1) for j in range(1, i)
     ])).alias("pair")
-    has = lambda r: (F.call_function("shiftright", F.col("mask"), F.col(f"pair.{r}") - 1).bitwiseAND(F.lit(1))) == 1
+    def has(r):
+        place = F.col(f"pair.{r}") - 1
+        word = F.get("mask", F.floor(place / MASK).cast("int"))
+        return F.call_function("shiftright", word, place % MASK).bitwiseAND(F.lit(1)) == 1
+
     spread = masks.select("topic", "mask", "n", pairs)
     both = F.sum(F.when(has("i") & has("j"), F.col("n")).otherwise(0))
     one = F.sum(F.when(has("j"), F.col("n")).otherwise(0))
@@ -120,8 +140,11 @@ def exclusivity(beta: DataFrame, m: int = 10, weight: float = 0.7) -> DataFrame:
         F.collect_list("beta").alias("by_beta"), F.collect_list("excl").alias("by_excl")
     )
     above = lambda marks_, v: F.size(F.filter(marks_, lambda t: t >= v))
-    placed = rated.join(marks, "topic").withColumns({
-        "beta_at": above(F.col("by_beta"), F.col("beta")), "excl_at": above(F.col("by_excl"), F.col("excl")),
+    # one entry per topic, so the terms need no join on the few topics
+    entry = F.struct("topic", F.struct("by_beta", "by_excl"))
+    known = single(marks.agg(F.map_from_entries(F.collect_list(entry)).alias("m")))
+    placed = rated.where(F.col("topic").isNotNull()).withColumn("__m", F.try_element_at(known, F.col("topic"))).withColumns({
+        "beta_at": above(F.col("__m.by_beta"), F.col("beta")), "excl_at": above(F.col("__m.by_excl"), F.col("excl")),
     })
     between = placed.groupBy("topic", "beta_at", "excl_at").agg(F.count("*").alias("n"))
     own = leading.join(marks, "topic").select(
@@ -157,14 +180,24 @@ def _fitted(counts: DataFrame, gamma: DataFrame, beta: DataFrame) -> DataFrame:
     q = F.aggregate(
         F.map_entries("g"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("b", e["key"]), F.lit(0.0))
     )
-    return counts.join(weights, "term").join(mixture, "document").select("document", "term", "n", q.alias("q"))
+    joined = counts.join(weights, "term", "left").join(mixture, "document", "left")
+    return joined.select("document", "term", "n", F.coalesce(q, F.lit(0.0)).alias("q"))
 
 
 def heldout_likelihood(heldout: DataFrame, gamma: DataFrame, beta: DataFrame) -> DataFrame:
-    """One row: mean over documents of the log-likelihood per held-out token."""
-    seen = _fitted(heldout, gamma, beta).where(F.col("q") > 0)
-    per_doc = seen.groupBy("document").agg((F.sum(F.col("n") * F.ln("q")) / F.sum("n")).alias("ll"))
-    return per_doc.agg(F.avg("ll").alias("heldout_likelihood"))
+    """One row: mean over documents of the log-likelihood per held-out token, and the tokens
+    used and skipped. A token is skipped if the model gives it no probability: its term or
+    its document is unknown to the model."""
+    used = F.col("q") > 0
+    per_doc = _fitted(heldout, gamma, beta).groupBy("document").agg(
+        F.sum(F.when(used, F.col("n") * F.ln("q"))).alias("s"),
+        F.coalesce(F.sum(F.when(used, F.col("n"))), F.lit(0)).alias("used"),
+        F.coalesce(F.sum(F.when(~used, F.col("n"))), F.lit(0)).alias("skipped"),
+    )
+    return per_doc.agg(
+        F.avg(F.try_divide("s", "used")).alias("heldout_likelihood"),
+        F.coalesce(F.sum("used"), F.lit(0)).alias("tokens_used"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("tokens_skipped"),
+    )
 
 
 def _dense_cells(documents: DataFrame, terms: DataFrame, tolerance: float, block: int) -> DataFrame:
@@ -245,13 +278,14 @@ def k_diagnostics(
     metrics = ["exclusivity", "lower_bound", "residuals", "semantic_coherence", "heldout_likelihood"]
     rows = []
     for k, model in models.items():
-        beta, gamma = topic_terms(model, vocab), topic_docs(model, vectors)
+        # read by four figures; written, so that inference over the documents runs once
+        beta, gamma = written(topic_terms(model, vocab), "beta"), written(topic_docs(model, vectors), "gamma")
         row = model_bound(model, vectors, iterations).select("K", F.col("lbound").alias("lower_bound"))
         rows.append(row.withColumns({
             "exclusivity": single(exclusivity(beta, m).agg(F.avg("exclusivity").alias("x"))),
             "residuals": single(residual_dispersion(counts, gamma, beta)),
             "semantic_coherence": single(semantic_coherence(beta, counts, m).agg(F.avg("semantic_coherence").alias("x"))),
-            "heldout_likelihood": single(heldout_likelihood(heldout, gamma, beta)),
+            "heldout_likelihood": single(heldout_likelihood(heldout, gamma, beta).select("heldout_likelihood")),
         }))
     wide = reduce(DataFrame.unionByName, rows)
     return pivot_longer(wide.select("K", *metrics), ["K"], metrics)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
 
     It is whatever the session names in ``spark.checkpoint.dir``. Only a local
     session without that setting gets a folder of its own, since a folder on one
-    machine is lost together with that machine.
+    machine is lost together with that machine; it is deleted when Python ends. The
+    owner of a named folder clears it after the session.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,9 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="forumgauge-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     context.setCheckpointDir(own)
     return context.getCheckpointDir()
 

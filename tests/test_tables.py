@@ -68,6 +68,11 @@ def test_grid_is_zero_filled_for_null_authors_too(spark):
     df = spark.createDataFrame([("a", OTH), (None, OFF)], "author_id string, label string")
     grid = {(r["author_id"], r["label"]): r["n"] for r in joins.complete_grid(df, "author_id").collect()}
     assert grid == {("a", OFF): 0, ("a", OTH): 1, (None, OFF): 1, (None, OTH): 0}
+    other = spark.createDataFrame([("a", OTH), ("b", "SPAM"), ("b", None)], "author_id string, label string")
+    every = {(r["author_id"], r["label"]): r["n"] for r in joins.complete_grid(other, "author_id").collect()}
+    assert every == {(a, l): int((a, l) in (("a", OTH), ("b", "SPAM"))) for a in "ab" for l in (OFF, OTH, "SPAM")}
+    rest = {(r["author_id"], r["label"]): r["n"] for r in joins.complete_grid(other, "author_id", rest="REST").collect()}
+    assert rest[("b", "REST")] == 1 and len(rest) == 6
     shares = {r["author_id"]: r["prop_offense"] for r in agg.author_toxic_share(df).collect()}
     assert shares == {"a": 0.0, None: 100.0}
 
@@ -103,7 +108,8 @@ def test_term_document_counts_keep_unused_terms(spark):
     terms = spark.createDataFrame([("a",), ("z",)], "term string")
     tokens = spark.createDataFrame([("v", "a"), ("v", "a"), ("w", "a")], "vid string, word string")
     got = sorted((r["term"], r["vid"] or "", r["n"]) for r in agg.term_document_counts(terms, tokens).collect())
-    assert got == [("a", "v", 2), ("a", "w", 1), ("z", "", 1)]
+    assert got == [("a", "v", 2), ("a", "w", 1), ("z", "", 0)]
+    assert agg.term_document_counts(terms, tokens, unused=1).where("term = 'z'").first()["n"] == 1
 
 
 def test_quantile_lookup(spark):

@@ -69,6 +69,29 @@ def test_coherence_by_hand(spark):
     assert tp.semantic_coherence(beta, counts, 10).first()["semantic_coherence"] == pytest.approx(want)
 
 
+def test_coherence_beyond_one_mask(spark):
+    beta = spark.createDataFrame([(1, f"t{i:03}", 1 / (i + 2)) for i in range(70)], "topic int, term string, beta double")
+    counts = spark.createDataFrame([(d, f"t{i:03}", 1) for d in range(6) for i in range(70) if d == 0 or i % (d + 1) == 0], "document int, term string, n int")
+    held = {f"t{i:03}": {d for d in range(6) if d == 0 or i % (d + 1) == 0} for i in range(70)}
+    names = sorted(held)
+    want = sum(math.log((len(held[a] & held[b]) + 1) / len(held[b])) for i, a in enumerate(names) for b in names[:i])
+    assert tp.semantic_coherence(beta, counts, 70).first()["semantic_coherence"] == pytest.approx(want)
+
+
+def test_heldout_tokens_without_a_model_are_counted(spark):
+    beta = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "topic int, term string, beta double")
+    gamma = spark.createDataFrame([("d", 1, 1.0), ("e", 1, 1.0)], "document string, topic int, gamma double")
+    held = spark.createDataFrame([("d", "a", 2), ("d", "new", 3), ("e", "new", 4), ("f", "a", 5)], "document string, term string, n int")
+    got = tp.heldout_likelihood(held, gamma, beta).first()
+    assert got[0] == pytest.approx(math.log(0.5)) and (got[1], got[2]) == (2, 12)
+
+
+def test_large_vocabularies_are_refused(corpus, monkeypatch):
+    monkeypatch.setattr(tp, "MODEL_CELLS", 10)
+    with pytest.raises(ValueError, match="trim"):
+        tp.fit_topics(corpus.vectors, ks=(3,))
+
+
 @pytest.mark.parametrize("block", [1, 2, 2048])
 def test_dispersion_by_hand(spark, block):
     beta = spark.createDataFrame([(1, "a", .5), (1, "b", .3), (1, "c", .2), (2, "a", .1), (2, "b", .1), (2, "c", .8)],
