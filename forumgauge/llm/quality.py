@@ -174,6 +174,7 @@ def training_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, s
     """Figures of at most ``sample`` documents of ``ids``, chosen by a hash of the id."""
     chosen = ids.where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most `sample` ids
+    held = held.groupBy("id").agg(F.min("text").alias("text"))  # rows that share an id count once
 
     @F.arrow_udf("array<double>")
     def rows(texts: pa.Array) -> pa.Array:
@@ -181,8 +182,8 @@ def training_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, s
         found = [figures(column_of(part, "text")) for part in slices([batch])]
         return pa.array(list(np.concatenate(found)) if found else [], pa.list_(pa.float64()))
 
-    found = [r[1] for r in sorted(held.select("id", rows("text").alias("f")).collect())]
-    return np.array(found[: 2 * sample]).reshape(-1, len(FIGURES))
+    found = [r[1] for r in sorted(held.select("id", rows("text").alias("f")).collect())]  # at most `sample` rows
+    return np.array(found).reshape(-1, len(FIGURES))
 
 
 def held_out(id_col: str) -> Column:

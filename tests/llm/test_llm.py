@@ -172,6 +172,8 @@ def test_quality(spark, table, folder):
     assert len(found) == docs.count() + 3 and found.score.between(0, 1).all()
     assert not quality.classified(docs, labels.limit(0)).where("score <> 0.5").count()
     assert quality.classified(docs.limit(0), labels).count() == 0
+    repeated = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, None)], SCHEMA)
+    assert len(quality.training_rows(repeated, spark.createDataFrame([(1,), (1,), (2,), (None,)], "id long"), "doc_id", "text", 5)) == 2
 
 
 def test_quality_held_out(spark):
