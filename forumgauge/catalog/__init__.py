@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
 
 
 def load() -> None:
-    from . import aggregates, columns, evaluation, io, joins, reshape, scoring, text, topics, topk, windows  # noqa: F401
+    from . import aggregates, analyses, columns, evaluation, io, joins, reshape, scoring, text, topics, topk, windows  # noqa: F401

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded
-from ..functions.wordlists import FINE_LABELS
+from ..functions.wordlists import COARSE_LABELS, FINE_LABELS
 from ..operators import evaluation as op
 from ..operators.aggregates import count_by
 from . import query
@@ -112,21 +112,31 @@ def _(t):
     return rounded(op.apply_correction(counts, op.resampled_correction(t.annotated)), "n_mean", "n_low", "n_high")
 
 
-@query("multiclass_report", """
-WITH c AS (
+def _report_sql(table: str, labels) -> str:
+    values = ", ".join(f"('{v}')" for v in labels)
+    return f"""WITH c AS (
   SELECT label, count(*) FILTER (truth = label AND predicted = label)::DOUBLE AS tp, count(*) FILTER (truth <> label AND predicted = label) AS fp,
          count(*) FILTER (truth = label AND predicted <> label) AS fn
-  FROM fine_pairs, (VALUES ('ABUSE'), ('INSULT'), ('OTHER'), ('PROFANITY')) v(label) GROUP BY label),
+  FROM {table}, (VALUES {values}) v(label) GROUP BY label),
 pr AS (SELECT label, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c),
+hit AS (SELECT count(*) FILTER (truth = predicted) AS correct, count(*) AS total FROM {table}),
 rows AS (SELECT label AS category, p, r FROM pr UNION ALL SELECT 'AVERAGE', avg(p), avg(r) FROM pr)
 SELECT category, floor(p * 100 * 100 + 0.5) / 100 AS precision, floor(r * 100 * 100 + 0.5) / 100 AS recall,
        floor(coalesce(2 * p * r / nullif(p + r, 0), 0) * 100 * 100 + 0.5) / 100 AS fscore,
-       round((SELECT count(*) FILTER (truth = predicted) * 100.0::DOUBLE / count(*) FROM fine_pairs), 6) AS accuracy
-FROM rows""", "fine_pairs")
+       round(correct * 100.0::DOUBLE / total, 6) AS accuracy, correct, total
+FROM rows, hit"""
+
+
+@query("multiclass_report", _report_sql("fine_pairs", FINE_LABELS), "fine_pairs")
 def _(t):
     return rounded(op.multiclass_report(t.fine_pairs, FINE_LABELS), "accuracy")
 
 
+@query("multiclass_report_coarse", _report_sql("annotated", COARSE_LABELS), "annotated")
+def _(t):
+    return rounded(op.multiclass_report(t.annotated, COARSE_LABELS), "accuracy")
+
+
 @query("validate_predictions", """
 WITH pairs AS (SELECT f.*, d.lang, l.toxic, l.quality FROM fine_pairs f JOIN documents d ON f.id = d.doc_id JOIN labels l ON l.doc_id = f.id)
 SELECT 'predictions' AS file, 'label_3' AS rule, lang AS detail, count(*) AS n FROM documents GROUP BY lang

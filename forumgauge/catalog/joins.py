@@ -88,6 +88,17 @@ def _(t):
     return rounded(joined.select("topic", "date", "gamma", "video_id", "prop_offense"), "gamma", "prop_offense")
 
 
+@query("topic_date_join_video", """
+SELECT g.topic, g.document AS video_id, round(g.gamma, 6) AS gamma, e.title, round(s.prop_offense, 6) AS prop_offense
+FROM gamma g LEFT JOIN episodes e ON g.document = e.video_id LEFT JOIN shares s ON s.video_id = g.document AND s.date = e.date""",
+       "gamma shares episodes")
+def _(t):
+    dates = t.episodes.select("video_id", "date")
+    rows = t.gamma.withColumnRenamed("document", "video_id").join(dates, "video_id")
+    joined = op.topic_date_join(rows, t.episodes.select("video_id", "date", "title"), t.shares, on="video_id")
+    return rounded(joined.select("topic", "video_id", "gamma", "title", "prop_offense"), "gamma", "prop_offense")
+
+
 @query("top_terms_join", """
 WITH ranked AS (SELECT *, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS r FROM beta),
 terms AS (SELECT topic, string_agg(term, ', ' ORDER BY beta DESC, term) AS terms FROM ranked WHERE r <= 8 GROUP BY topic)

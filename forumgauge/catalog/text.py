@@ -86,6 +86,14 @@ def _(t):
     return op.clean_text(texts, profile="tweet").select("doc_id", "text_display")
 
 
+@query("clean_text_emails_first", f"""
+SELECT doc_id, {_clean_sql('text', [STEPS[3], *STEPS[:3], *STEPS[4:]])} AS text_display
+FROM (SELECT doc_id, text || ' Write to some.body@example.org or @somebody' AS text FROM documents)""")
+def _(t):
+    texts = t.texts("documents").withColumn("text", F.concat("text", F.lit(" Write to some.body@example.org or @somebody")))
+    return op.clean_text(texts, emails_first=True).select("doc_id", "text_display")
+
+
 @query("removal_counts", _removal_sql())
 def _(t):
     return op.removal_counts(t.texts("pages").withColumn("html", spelled("html")), "html")
@@ -135,7 +143,7 @@ WITH stop AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD_SQL}
 SELECT vid, word, count(*) AS n FROM subtitle_words WHERE word NOT IN (SELECT w FROM stop) GROUP BY vid, word""", "subtitle_words")
 def _(t):
     stop = op.tokenize_words(t.raw("benchmark"), keep=[])
-    return count_by(op.remove_stopwords(t.subtitle_words, stop), "vid", "word")
+    return op.remove_stopwords(count_by(t.subtitle_words, "vid", "word"), stop)
 
 
 @query("remove_numbers", f"""
@@ -149,7 +157,14 @@ def _(t):
 SELECT vid, coalesce(lemma, w.word) AS word, count(*) AS n FROM subtitle_words w LEFT JOIN {LEMMA_SQL} ON w.word = lemmas.word GROUP BY 1, 2""", "subtitle_words")
 def _(t):
     dictionary = t.spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string")
-    return count_by(op.lemmatize(t.subtitle_words, dictionary), "vid", "word")
+    return op.lemmatize(count_by(t.subtitle_words, "vid", "word"), dictionary, count="n")
+
+
+@query("lemmatize_tokens", f"""
+SELECT vid, segment_id, coalesce(lemma, w.word) AS word, count(*) AS n FROM subtitle_words w LEFT JOIN {LEMMA_SQL} ON w.word = lemmas.word GROUP BY 1, 2, 3""", "subtitle_words")
+def _(t):
+    dictionary = t.spark.createDataFrame(list(LEMMAS.items()), "word string, lemma string")
+    return count_by(op.lemmatize(t.subtitle_words, dictionary), "vid", "segment_id", "word")
 
 
 @query("remove_terms_regex", f"""

@@ -226,6 +226,13 @@ def _(t):
     return rounded(daily, "gamma", "ci_ll", "ci_ul")
 
 
+@query("topics_over_time_chosen", f"""WITH {DAILY_SQL}
+SELECT d.topic, date, n, round(gamma, 6) AS gamma, terms FROM daily d LEFT JOIN terms t ON d.topic = t.topic WHERE d.topic IN (2, 4)""", "gamma beta shares")
+def _(t):
+    daily = rel.topics_over_time(t.gamma, t.shares, op.top_terms(t.beta, 8), topics=(2, 4))
+    return rounded(daily.select("topic", "date", "n", "gamma", "terms"), "gamma")
+
+
 @query("topic_ranking", f"""WITH {DAILY_SQL}
 SELECT d.topic, terms, round(sum(gamma), 6) AS sum_gamma FROM daily d LEFT JOIN terms t ON d.topic = t.topic GROUP BY d.topic, terms""", "gamma beta shares")
 def _(t):

@@ -198,10 +198,11 @@ def _half_up(value: Column) -> Column:
 
 
 def multiclass_report(df: DataFrame, labels: Sequence[str] = FINE_LABELS, truth: str = "truth", predicted: str = "predicted"):
-    """``(category, precision, recall, fscore, accuracy)`` in percent, rounded half up.
+    """``(category, precision, recall, fscore, accuracy)`` in percent, rounded half up, and
+    the numbers ``correct`` and ``total``.
 
     One row per label and a row AVERAGE, whose F-score is that of the averaged precision
-    and recall. Undefined figures count as zero. Accuracy (unrounded) is on every row.
+    and recall. Undefined figures count as zero. Accuracy (unrounded) and the numbers are on every row.
     """
     pairs = df.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
     hits = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
@@ -226,7 +227,7 @@ def multiclass_report(df: DataFrame, labels: Sequence[str] = FINE_LABELS, truth:
         f = zero(F.try_divide(2 * pr * re, pr + re))
         return F.struct(
             F.lit(name).alias("category"), _half_up(pr).alias("precision"),
-            _half_up(re).alias("recall"), _half_up(f).alias("fscore"), accuracy,
+            _half_up(re).alias("recall"), _half_up(f).alias("fscore"), accuracy, "correct", "total",
         )
 
     lines = [line(v, str(i)) for i, v in enumerate(labels)] + [line("AVERAGE", "_avg")]

@@ -43,9 +43,11 @@ def portion_text(df: DataFrame, column: str = "text", size: int = 300, output: s
     """One row per portion of at most ``size`` tokens, numbered from 1; an empty text has
     none. No shuffle."""
     rest = [c for c in df.columns if c != column]
-    tokens = df.where(F.col(column) != "").select(*rest, tx.split_tokens(F.col(column)).alias("__tokens"))
-    pieces = tokens.select(*rest, F.posexplode(tx.portions(F.col("__tokens"), size)).alias("__at", output))
-    return pieces.select(*rest, (F.col("__at") + 1).alias("group_no"), output)
+    # a condition on the text would be pushed below the steps that made it and repeat them all, so empty texts go last
+    some = F.when(F.col(column) != "", tx.split_tokens(F.col(column)))
+    cut = F.when(F.col("__tokens").isNotNull(), tx.portions(F.col("__tokens"), size))
+    pieces = df.select(*rest, some.alias("__tokens")).select(*rest, F.posexplode_outer(cut).alias("__at", output))
+    return pieces.where(F.col("__at").isNotNull()).select(*rest, (F.col("__at") + 1).alias("group_no"), output)
 
 
 def tokenize_words(df: DataFrame, column: str = "text", output: str = "word", keep: Sequence[str] | None = None):
@@ -98,11 +100,18 @@ def remove_numbers(df: DataFrame, column: str = "word") -> DataFrame:
     return df.where(~F.col(column).rlike(r"^[\d.,]+$") & (F.col(column) != ""))
 
 
-def lemmatize(df: DataFrame, dictionary: DataFrame, column: str = "word") -> DataFrame:
-    """Replace each word by its lemma where the ``(word, lemma)`` dictionary has one."""
+def lemmatize(df: DataFrame, dictionary: DataFrame, column: str = "word", count: str | None = None) -> DataFrame:
+    """Replace each word by its lemma where the ``(word, lemma)`` dictionary has one.
+
+    On large corpora pass counted words and name their ``count`` column: a frequent word then
+    meets the dictionary once per group, and counts of words with the same lemma are added.
+    """
     lemmas = dictionary.select(F.col("word").alias("__word"), F.col("lemma").alias("__lemma"))
     joined = df.join(lemmas, F.col(column) == F.col("__word"), "left")
-    return joined.withColumn(column, F.coalesce("__lemma", column)).drop("__word", "__lemma")
+    replaced = joined.withColumn(column, F.coalesce("__lemma", column)).drop("__word", "__lemma")
+    if count is None:
+        return replaced
+    return replaced.groupBy(*[c for c in df.columns if c != count]).agg(F.sum(count).alias(count))
 
 
 def remove_terms_regex(df: DataFrame, patterns: Sequence[str], column: str = "term", anchored: bool = False):

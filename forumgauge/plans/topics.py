@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import relate
 from ..operators.terms import doc_term_counts, to_sparse_vectors, trim_terms, vocabulary
@@ -31,12 +32,17 @@ def prepare(
     texts: DataFrame, stopwords: Sequence[str] | DataFrame, dictionary: DataFrame | None = None,
     sparsity: float = 0.94, document: str = "document", text: str = "text",
 ) -> Corpus:
-    """Tokens without stop words and numbers, lemmas, counts, frequent terms."""
-    words = remove_numbers(remove_stopwords(tokenize_words(texts.select(document, text), text), stopwords))
+    """Counts of words, without stop words and numbers, of lemmas, of frequent terms.
+
+    Words are counted before anything is joined to them. The counts before trimming, which
+    may be as large as the corpus, are shuffled but never written.
+    """
+    words = tokenize_words(texts.select(F.col(document).alias("document"), F.col(text).alias("text")), "text", output="term")
+    counts = doc_term_counts(words)
+    counts = remove_numbers(remove_stopwords(counts, stopwords, ["term"]), "term")
     if dictionary is not None:
-        words = lemmatize(words, dictionary)
-    counts = written(doc_term_counts(words.withColumnsRenamed({document: "document", "word": "term"})))
-    training, heldout = heldout_split(trim_terms(counts, sparsity).select("document", "term", "n"))
+        counts = lemmatize(counts, dictionary, "term", count="n")
+    training, heldout = heldout_split(written(trim_terms(counts, sparsity).select("document", "term", "n")))
     training, heldout = written(training), written(heldout)
     vocab = written(vocabulary(training))
     return Corpus(training, heldout, vocab, written(to_sparse_vectors(training, vocab)))
