@@ -96,7 +96,7 @@ def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataF
     it contains. Documents with the same mask are counted together, and pairs are read off
     the masks, so no pairs are formed per document.
     """
-    leading = _leading(beta, m).select("topic", "term", "rank")
+    leading = written(_leading(beta, m).select("topic", "term", "rank"), "leading")
     at = F.col("rank") - 1
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % MASK)
     words = [F.bit_or(F.when(F.floor(at / MASK) == w, bit).otherwise(0)).alias(f"w{w}") for w in range(-(-m // MASK))]
@@ -135,7 +135,8 @@ def exclusivity(beta: DataFrame, m: int = 10, weight: float = 0.7) -> DataFrame:
     rated = attach(beta, ["term"], __sum=F.sum("beta"))
     # rounded, so that equal ratios stay equal whatever the order of summation
     rated = rated.withColumn("excl", F.round(F.try_divide("beta", "__sum"), 12))
-    leading = _leading(rated, m).select("topic", "term", "beta", "excl")
+    # m rows per topic that three plans read; finding them is a pass over the whole table
+    leading = written(_leading(rated, m).select("topic", "term", "beta", "excl"), "leading")
     marks = leading.groupBy("topic").agg(
         F.collect_list("beta").alias("by_beta"), F.collect_list("excl").alias("by_excl")
     )
