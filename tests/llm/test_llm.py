@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from forumgauge.llm import lattice, lines, packing, quality, secrets, simhash, suffix, tokens, warc, winnow
+from forumgauge.llm import lattice, lines, packing, quality, secrets, shingles, simhash, suffix, tokens, warc, winnow
 from forumgauge.llm.common import components, written
 from forumgauge.llm.queries import packing_options, tokenizer_path
 
@@ -77,6 +77,34 @@ def test_tiles_of_a_large_group(spark, monkeypatch):
     assert len({r.root for r in components(simhash.links(prints)).collect()}) == 1
 
 
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_near_copies_by_five_word_shingles(spark, monkeypatch, tile):
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "TILE", tile)
+    rng = np.random.default_rng(4)
+    rows, alike = [], []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        copy = list(words)
+        for at in rng.choice(120, k % 7, replace=False):
+            copy[at] = "new"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+        alike.append(jaccard(*[t for _, t in rows[-2:]]))
+    rows += [(400, None), (401, ""), (402, "a b"), (403, "a b"), (None, rows[0][1]), (404, rows[2][1])]
+    rows += [(500 + i, " ".join(["same"] * 3 + [f"s{j}" for j in range(100)] + [f"end{i}"])) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(0) for c in ("id", "print", "node", "n", "root", "key")})
+    assert sum(0.8 <= a < 0.95 for a in alike) > 20 and sum(a < 0.8 for a in alike) > 20
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, df, "")
+    expected = [i for k, a in enumerate(alike) for i in ([2 * k] if a >= 0.8 else [2 * k, 2 * k + 1])] + [400, 402, 500]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == expected
+
+
 def test_lattice(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 64))
