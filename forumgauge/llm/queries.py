@@ -156,7 +156,16 @@ SELECT doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS
 FROM documents LEFT JOIN per USING (doc_id)
 """)
 def op9_line_dedup(spark, sf_dir):
-    found = lines.line_verdicts(table(spark, sf_dir, "documents"))
+    return _listed_lines(lines.line_verdicts(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op9_line_dedup_by_length(spark, sf_dir):
+    """Edits up to a tenth of the line, and equal lines of any length but none."""
+    return _listed_lines(lines.line_verdicts(table(spark, sf_dir, "documents"), share=lines.SHARE, floor=1))
+
+
+def _listed_lines(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines")
     )

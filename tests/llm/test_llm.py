@@ -248,6 +248,53 @@ def test_lines(spark):
     assert kept.count() == len(rows) and lines.line_verdicts(df.limit(0)).count() == 0
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def planted_variants(scattered):
+    """Lines of 8 to 60 words, and each with 2 to 10 edits, in at most ``scattered`` words where that many fit."""
+    rng = np.random.default_rng(6)
+    out = []
+    for k in range(120):
+        words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range((8, 12, 19, 20, 25, 29, 30, 45, 60)[k % 9])]
+        other = list(words)
+        places = rng.choice(len(words), min(scattered, len(words) // 10 or 1), replace=False)
+        for e in range(2 + k % 9):
+            at = places[e % len(places)]
+            w, c = other[at], rng.integers(0, len(other[at])) if other[at] else 0
+            other[at] = (w[:c] + "X" + w[c + 1 :], w[:c] + "Y" + w[c:], w[:c] + w[c + 1 :] if len(w) > 1 else w)[e % 3]
+        if k % 10 == 3:
+            other.insert(int(places[0]), "or")
+            other = other if len(places) == 1 else words[: places[0]] + ["or"] + words[places[0] :]
+        out.append((" ".join(words), " ".join(other)))
+    return out
+
+
+def test_lines_by_length(spark):
+    import corpus_pipeline
+
+    pairs = planted_variants(3)
+    rows = [(i, line) for k, pair in enumerate(pairs) for i, line in ((2 * k, pair[0]), (2 * k + 1, pair[1]))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: list(r.removed) for r in lines.line_verdicts(df, share=lines.SHARE, floor=1).collect()}
+    words = [len(max(p, key=len).split()) for p in pairs]
+    allowed = [max(1, max(map(len, p)) // 10) for p in pairs]
+    near = [edit_distance(*p) <= a for p, a in zip(pairs, allowed)]
+    found = [got[2 * k + 1] == [0] for k in range(len(pairs))]
+    assert not any(got[2 * k] for k in range(len(pairs)))
+    assert not any(f and not n for f, n in zip(found, near))
+    assert sum(near) > 60 and all(f for f, n, w in zip(found, near, words) if n and w >= 20)
+    assert not any(r.removed for k, r in enumerate(lines.line_verdicts(df).collect()) if edit_distance(*pairs[r.doc_id // 2]) > 1)
+    repeated = spark.createDataFrame([(1, "Les.\n\n\nmore"), (2, "Les.\n\nother"), (None, None)], SCHEMA)
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, repeated, "").collect()} == {1: "Les.\n\n\nmore", 2: "\nother", None: None}
+
+
 def test_winnow(spark, docs):
     items = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(50, 70))), (2, "cödé 😀"), (3, None), (4, "!!"), (5, "a b c")], "item_id long, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, sorted(r["items"]), r.contaminated) for r in winnow.contamination(docs, items).collect()}
