@@ -16,6 +16,7 @@ from ..operators.aggregates import toxic_share
 from ..operators.joins import score_join
 from ..operators.terms import doc_term_counts
 from ..operators.text import portion_text, tokenize_words
+from ..operators.topics import heldout_split
 from ..session import written
 from ..sources import read_table
 
@@ -153,6 +154,16 @@ class Tables:
         """The same topics without their rarest terms."""
         return self.beta.where(F.col("beta") >= 0.0001)
 
+    @cached_property
+    def training_beta(self) -> DataFrame:
+        """The same topics from the training cells of the sources alone, with all their terms."""
+        cells = self.term_counts.withColumn("document", F.col("source"))
+        training, _ = heldout_split(cells)
+        counts = training.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+        totals = training.groupBy("lang").agg(F.sum("n").alias("total"))
+        topic = F.array_position(F.array(*[F.lit(v) for v in LANGUAGES]), F.col("lang")).cast("int")
+        return counts.join(totals, "lang").select(topic.alias("topic"), "term", (F.col("n") / F.col("total")).alias("beta"))
+
     @cached_property
     def gamma(self) -> DataFrame:
         """Document = source, gamma = share of each language in its characters."""
@@ -242,6 +253,13 @@ CTES: dict[str, tuple[str, str]] = {
     "beta": ("language_terms", """
         SELECT topic, term, n / (sum(n) OVER (PARTITION BY topic))::DOUBLE AS beta FROM language_terms"""),
     "frequent_beta": ("beta", "SELECT * FROM beta WHERE beta >= 0.0001"),
+    "training_terms": ("", f"""
+        SELECT list_position(['de', 'en', 'es', 'fr'], lang) AS topic, term, count(*) AS n
+        FROM (SELECT source, lang, unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS term FROM documents)
+        WHERE ('0x' || substr(md5('42-' || source || '-' || term), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= 0.25
+        GROUP BY lang, term"""),
+    "training_beta": ("training_terms", """
+        SELECT topic, term, n / (sum(n) OVER (PARTITION BY topic))::DOUBLE AS beta FROM training_terms"""),
     "gamma": ("", """
         SELECT source AS document, topic,
                coalesce(sum(n_chars) FILTER (lang = ['de', 'en', 'es', 'fr'][topic]), 0)::DOUBLE / sum(n_chars)::DOUBLE AS gamma

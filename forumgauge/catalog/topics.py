@@ -111,6 +111,28 @@ def _(t):
     return rounded(op.heldout_likelihood(heldout, t.gamma, t.frequent_beta), "heldout_likelihood")
 
 
+def _heldout_sql(model: str) -> str:
+    return f"""
+WITH held AS (SELECT * FROM source_terms WHERE ('0x' || substr(md5('42-' || document || '-' || term), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25),
+q AS (SELECT h.document, h.term, h.n, sum(g.gamma * b.beta) AS q FROM held h JOIN gamma g ON g.document = h.document
+      JOIN {model} b ON b.term = h.term AND b.topic = g.topic GROUP BY h.document, h.term, h.n HAVING sum(g.gamma * b.beta) > 0)
+SELECT round(avg(ll), 6) AS heldout_likelihood, CAST(sum(n) AS BIGINT) AS tokens_used, CAST((SELECT sum(n) FROM held) - sum(n) AS BIGINT) AS tokens_skipped
+FROM (SELECT document, sum(n * ln(q)) / sum(n) AS ll, sum(n) AS n FROM q GROUP BY document)"""
+
+
+@query("heldout_likelihood_whole_model", _heldout_sql("beta"), "source_terms gamma beta")
+def _(t):
+    _, heldout = op.heldout_split(t.source_terms)
+    return rounded(op.heldout_likelihood(heldout, t.gamma, t.beta), "heldout_likelihood")
+
+
+@query("heldout_likelihood_of_training", _heldout_sql("training_beta"), "source_terms gamma training_beta")
+def _(t):
+    # the model has not seen the held-out cells, so terms that occur in them alone are skipped
+    _, heldout = op.heldout_split(t.source_terms)
+    return rounded(op.heldout_likelihood(heldout, t.gamma, t.training_beta), "heldout_likelihood")
+
+
 @query("residual_dispersion", """
 WITH m AS (SELECT document, sum(n)::DOUBLE AS m FROM source_terms GROUP BY document),
 q AS (SELECT g.document, b.term, sum(g.gamma * b.beta) AS q FROM gamma g JOIN beta b ON b.topic = g.topic GROUP BY g.document, b.term),

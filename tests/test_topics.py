@@ -163,3 +163,15 @@ def test_episode_topics_from_text_to_regression(spark, corpus):
     coefficients, found = topics_and_toxicity(models[3], 3, corpus, episodes, shares, alpha=2.0)
     assert coefficients.count() == 4
     assert found.count() > 0
+
+
+def test_heldout_likelihood_uses_the_whole_model(spark, folder):
+    import __spark_entry__ as entry
+    from forumgauge.catalog.tables import Tables
+
+    queries, tables = entry.queries(), Tables(spark, folder)
+    held = tp.heldout_split(tables.source_terms)[1].agg(F.sum("n")).head()[0]
+    whole = queries["heldout_likelihood_whole_model"](spark, folder).head()
+    assert (whole.tokens_used, whole.tokens_skipped) == (held, 0)
+    trained = queries["heldout_likelihood_of_training"](spark, folder).head()
+    assert trained.tokens_used + trained.tokens_skipped == held and 0 < trained.tokens_skipped
