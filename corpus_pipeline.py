@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forumgauge.llm import lines, packing, quality, shingles, winnow
+from forumgauge.llm import lines, packing, quality, simhash, winnow
 from forumgauge.llm.common import table, written
 from forumgauge.llm.queries import packing_options
 
@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies: 0.8 of five-word shingles or more."""
-    return shingles.one_of_each(docs)
+    """Keep the document with the smallest id of each group whose fingerprints are linked by few differing bits."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
