@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, lattice, lines, packing, quality, secrets, simhash, suffix, tokens, warc, winnow
+from . import divergence, lattice, lines, packing, quality, secrets, simhash, suffix, suffixarray, tokens, warc, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,21 @@ WHERE part = 'pair' OR rank <= {divergence.TOP}
 """)
 def op11_divergence(spark, sf_dir):
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+h AS (SELECT row, i, md5(substr(x, CAST(2 * i + 1 AS BIGINT), 800)) AS h FROM (SELECT row, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+again AS (SELECT row, i FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
+part AS (SELECT row, i, sum(new) OVER (PARTITION BY row ORDER BY i) AS run
+         FROM (SELECT row, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM again)),
+span AS (SELECT row, min(i) AS a, max(i) + 400 AS b FROM part GROUP BY row, run),
+kept AS (SELECT row, sum(b - a) AS n, count(*) AS spans, list(a ORDER BY a) AS froms, list(b ORDER BY a) AS tos FROM span GROUP BY row)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN x ELSE substr(x, 1, CAST(2 * froms[1] AS BIGINT)) || array_to_string(list_transform(range(1, spans + 1),
+         lambda k: substr(x, CAST(2 * tos[k] + 1 AS BIGINT), CAST(2 * (coalesce(froms[k + 1], length(x) // 2) - tos[k]) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (row)
+""")
+def op12_suffix_array(spark, sf_dir):
+    found = suffixarray.without_repeated_bytes(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
