@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, lattice, lines, packing, quality, secrets, simhash, suffix, suffixarray, tokens, warc, winnow
+from . import alignment, divergence, lattice, lines, packing, quality, secrets, simhash, suffix, suffixarray, tokens, warc, winnow
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +237,10 @@ FROM d LEFT JOIN kept USING (row)
 def op12_suffix_array(spark, sf_dir):
     found = suffixarray.without_repeated_bytes(table(spark, sf_dir, "documents"))
     return found.withColumn("kept", F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+@query()
+def op13_alignment(spark, sf_dir):
+    found = alignment.alignment_scores(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
