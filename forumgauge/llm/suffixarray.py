@@ -7,8 +7,8 @@ common. Neighbouring suffixes of a text mostly have the same key and travel as o
 the first of them to the end of the last. Keys that occur once are dropped before any text moves, and
 equal cells are one class.
 
-Each remaining key is a small text of its own (its classes behind each other), whose suffix array is
-built by grouping: suffixes that begin with the same Lyndon word form a group; groups are taken in descending
+Each remaining key is a small text of its own (what its classes share with each other, one behind the
+other), whose suffix array is built by grouping: suffixes that begin with the same Lyndon word form a group; groups are taken in descending
 order, and each lengthens the words of the suffixes its members point back to (the previous smaller
 ones), which splits their groups; then the groups are read once in ascending order, and each suffix
 puts those that point to it in their places. No names are given and no text is sorted again.
@@ -148,6 +148,49 @@ def repeated_starts(texts: list[bytes], copies: list[int], size: int) -> list[li
     return out
 
 
+def _alike(a: bytes, b: bytes) -> int:
+    """The length of the common beginning."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+
+def reaches(contexts: list[bytes]) -> list[int]:
+    """For each string, the longest beginning it shares with another one: its neighbours in order have it."""
+    order = sorted(range(len(contexts)), key=contexts.__getitem__)
+    out = [0] * len(contexts)
+    for i, j in zip(order, order[1:]):
+        n = _alike(contexts[i], contexts[j])
+        out[i], out[j] = max(out[i], n), max(out[j], n)
+    return out
+
+
+def repeated_in_key(pieces: list[bytes], low: list[int], copies: list[int], size: int) -> list[list[tuple[int, int]]]:
+    """The runs of repeated starts of the pieces of a key, which have the same gram at ``low``.
+
+    Equal windows have the gram in the same place, so only what a piece shares with another one, to the left
+    and to the right of it, can repeat. The rest is cut off, and pieces that are now equal are one text of the array.
+    """
+    left = reaches([p[:a][::-1] for p, a in zip(pieces, low)])
+    right = reaches([p[a:] for p, a in zip(pieces, low)])
+    begin = [a - x for a, x in zip(low, left)]
+    texts: dict[bytes, int] = {}
+    cut = [p[b : a + y] for p, a, b, y in zip(pieces, low, begin, right)]
+    for c in cut:
+        if len(c) >= size:
+            texts[c] = texts.get(c, 0) + 1
+    found = {}
+    if len(texts) == 1:  # all that is left is equal
+        found = {t: [(0, len(t) - size)] if n > 1 else [] for t, n in texts.items()}
+    elif texts:
+        found = dict(zip(texts, repeated_starts(list(texts), list(texts.values()), size)))
+    out = []
+    for piece, c, b, n in zip(pieces, cut, begin, copies):
+        out.append([(0, len(piece) - size)] if n > 1 else [(x + b, y + b) for x, y in found.get(c, ())])
+    return out
+
+
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` consecutive values, by doubling."""
     have = 1
@@ -234,14 +277,14 @@ def _by_array(classes: DataFrame, size: int) -> DataFrame:
     def work(batches):
         for block in groups(batches, ["key"], 2048):
             key = block.column("key").to_numpy()
-            pieces, n = block.column("piece").to_pylist(), block.column("n").to_pylist()
+            pieces, low, n = (block.column(c).to_pylist() for c in ("piece", "low", "n"))
             cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True]))).tolist()
-            found = [r for a, b in zip(cut, cut[1:]) for r in repeated_starts(pieces[a:b], n[a:b], size)]
+            found = [r for a, b in zip(cut, cut[1:]) for r in repeated_in_key(pieces[a:b], low[a:b], n[a:b], size)]
             ranges = pa.array([[{"first": a, "last": b} for a, b in r] for r in found], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
             out = pa.Table.from_arrays([*(block.column(c) for c in CLASS), ranges], [*CLASS, "ranges"])
             yield from out.filter(pa.array([bool(r) for r in found])).to_batches()
 
-    dealt = classes.select(*CLASS, "n", "piece").repartition("key").sortWithinPartitions(*CLASS)
+    dealt = classes.select(*CLASS, "n", "low", "piece").repartition("key").sortWithinPartitions(*CLASS)
     return dealt.mapInArrow(work, "key long, d1 long, d2 long, ranges array<struct<first:long,last:long>>")
 
 
