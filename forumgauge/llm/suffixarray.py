@@ -322,7 +322,7 @@ def _split(classes: DataFrame, size: int) -> DataFrame:
 
 def decided(classes: DataFrame, size: int) -> DataFrame:
     """``key, d1, d2, ranges``: the starts of each class, from 0, whose window occurs more than once."""
-    sizes = classes.groupBy("key").agg(F.count("*").alias("many"))
+    sizes = written(classes.groupBy("key").agg(F.count("*").alias("many")), "sizes")  # read back, so that a hot key of the join can be split
     known = written(classes.join(sizes, "key"), "classes")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.octet_length("piece") - size).cast("long").alias("last")))
     alone = known.where("many = 1 AND n > 1").select(*CLASS, whole.alias("ranges"))
@@ -345,6 +345,7 @@ def repeated_spans(source: DataFrame, size: int, gram: int) -> DataFrame:
     cells = texts.select("print", "m", "id", F.inline("cells"))
     same = lambda c: F.min(c) == F.max(c)
     shared = cells.groupBy("key").agg(F.sum("m").alias("total"), (same("d1") & same("d2")).alias("one")).where("total > 1").select("key", "one")
+    shared = written(shared, "shared")  # read back, so that a hot key of the join can be split
     live = written(cells.join(shared, "key"), "live")
     wanted = live.where("NOT one").groupBy(*CLASS).agg(F.sum("m").alias("n"), F.min(F.struct("print", "id", "first", "last", "at")).alias("f"))
     pieces = written(_pieces(source, wanted.select(*CLASS, "n", "f.*"), size, gram), "pieces")
