@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from .common import column_of, slices, written
 #: Pairs of the broadcast table at most.
 PAIRS = 1 << 18
 #: Units whose tokens a worker keeps; beyond, it starts afresh.
-UNITS = 400_000
+UNITS = 300_000
 #: Links of a group that are listed one by one; those of larger groups are counted by their different tokens.
 LISTED = 1 << 14
 _coders: dict[tuple[str, str], Coders] = {}
@@ -45,7 +44,8 @@ class Coders:
     """Two tokenizers: a byte-level BPE file of the tokenizers library (A) and a sentencepiece model (B) that marks blanks.
 
     Neither joins a visible character with a blank behind it, so a text is the sum of its units (a blank
-    and what follows up to the next single blank), whose tokens are remembered.
+    and what follows up to the next single blank), and a group never crosses from one to the next. Units met for the first time
+    are aligned, many behind each other; what was found is remembered.
     """
 
     _cut = re.compile(r"(?<=\S)(?= \S)")
@@ -68,14 +68,37 @@ class Coders:
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
         self.a_names, self.b_names = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
-        self.units: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.units: dict[str, tuple | None] = {}
 
     def whole(self, a: list[int], b: list[int], text: str) -> bool:
         raw = text.encode()
         return b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The ids of both for each text behind a blank; none for an empty text, or one whose bytes either does not give back."""
+    def _learn(self, new: list[str]) -> None:
+        """Encode units and align them together, as one pair of long arrays of ends; a unit begins and ends with a group."""
+        first = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        second = self.b.encode([u[1:] for u in new], num_threads=1)
+        kept = []
+        for u, a, b in zip(new, first, second):
+            if self.whole(a, b, u):
+                kept.append((u, a, b))
+            else:
+                self.units[u] = None
+        ids_a, ids_b = (np.array([i for k in kept for i in k[side]], np.int64) for side in (1, 2))
+        upto_a, upto_b = meet(np.cumsum(self.a_sizes[ids_a]).tolist(), np.cumsum(self.b_sizes[ids_b]).tolist())
+        names = _named(self, ids_a, ids_b, upto_a, upto_b)
+        upto_a, upto_b = np.array(upto_a, np.int64), np.array(upto_b, np.int64)
+        pairs, times, upto_link = linked(ids_a, ids_b, upto_a, upto_b)
+        last = np.searchsorted(upto_a, np.cumsum([len(k[1]) for k in kept])) + 1  # behind a unit's last group
+        at_link = np.concatenate(([0], upto_link))
+        before = 0
+        for (u, a, b), behind in zip(kept, last.tolist()):
+            links = slice(at_link[before], at_link[behind])
+            self.units[u] = (len(a), len(b), behind - before, ";".join(names[before:behind]), pairs[links].tobytes(), times[links].tobytes())
+            before = behind
+
+    def aligned(self, texts: list[str]) -> list[list[tuple] | None]:
+        """What is known of the units of each text behind a blank; none for an empty text, or one whose bytes either tokenizer does not give back."""
         split = [self._cut.split(" " + t) if t else [] for t in texts]
         needed = set().union(*split)
         new = [u for u in needed if u not in self.units]
@@ -83,19 +106,9 @@ class Coders:
             self.units.clear()
             new = list(needed)
         for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            first = [e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            second = self.b.encode([u[1:] for u in some], num_threads=1)
-            for u, a, b in zip(some, first, second):
-                self.units[u] = (array("i", a).tobytes(), array("i", b).tobytes(), self.whole(a, b, u))
-        out = []
-        for units in split:
-            found = [self.units[u] for u in units]
-            if all(f[2] for f in found) and found:
-                out.append(tuple(np.frombuffer(b"".join([f[k] for f in found]), np.int32) for k in (0, 1)))
-            else:
-                out.append((np.zeros(0, np.int32), np.zeros(0, np.int32)))
-        return out
+            self._learn(new[at : at + 5000])
+        found = [[self.units[u] for u in units] for units in split]
+        return [None if not f or None in f else f for f in found]
 
 
 def coders(byte_path: str, piece_path: str) -> Coders:
@@ -152,31 +165,40 @@ def meet(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return upto_a, upto_b
 
 
-def linked(ids_a: np.ndarray, ids_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different linked pairs (as a * 2^32 + b) and how often each is linked."""
-    start_a, start_b = np.append(0, upto_a[:-1]), np.append(0, upto_b[:-1])
+def linked(ids_a: np.ndarray, ids_b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linked pairs (as a * 2^32 + b) in the order of groups, how often each is linked, and where each group's end.
+
+    The links of a group stand one by one; a group with very many has its different pairs, with their numbers.
+    """
+    start_a, start_b = np.append(0, upto_a[:-1]).astype(np.int64), np.append(0, upto_b[:-1]).astype(np.int64)
     n_b, size = upto_b - start_b, (upto_a - start_a) * (upto_b - start_b)
-    small = np.flatnonzero(size <= LISTED)
-    group = np.repeat(small, size[small])
-    turn = np.arange(len(group)) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
-    first = ids_a[start_a[group] + turn // n_b[group]].astype(np.int64)
-    pairs, times = [(first << 32) + ids_b[start_b[group] + turn % n_b[group]]], [np.ones(len(group), np.int64)]
-    for g in np.flatnonzero(size > LISTED).tolist():
+    listed = np.where(size <= LISTED, size, 0)
+    group = np.repeat(np.arange(len(size)), listed)
+    turn = np.arange(len(group)) - np.repeat(np.cumsum(listed) - listed, listed)
+    pairs = (ids_a[start_a[group] + turn // n_b[group]].astype(np.int64) << 32) + ids_b[start_b[group] + turn % n_b[group]]
+    times = np.ones(len(group), np.int64)
+    large = np.flatnonzero(size > LISTED)
+    if not len(large):
+        return pairs, times, np.cumsum(size)
+    at, more_pairs, more_times, count = np.cumsum(listed), [], [], listed.copy()
+    for g in large.tolist():
         a, many_a = np.unique(ids_a[start_a[g] : upto_a[g]], return_counts=True)
         b, many_b = np.unique(ids_b[start_b[g] : upto_b[g]], return_counts=True)
-        pairs.append(((a.astype(np.int64) << 32)[:, None] + b).ravel())
-        times.append((many_a[:, None] * many_b).ravel())
-    different, place = np.unique(np.concatenate(pairs), return_inverse=True)
-    return different, np.bincount(place, np.concatenate(times), len(different)).astype(np.int64)
+        more_pairs.append(((a.astype(np.int64) << 32)[:, None] + b).ravel())
+        more_times.append((many_a[:, None] * many_b).ravel())
+        count[g] = len(more_pairs[-1])
+    place = np.repeat(at[large], count[large])
+    return np.insert(pairs, place, np.concatenate(more_pairs)), np.insert(times, place, np.concatenate(more_times)), np.cumsum(count)
 
 
-def _named(machine: Coders, ids_a: np.ndarray, ids_b: np.ndarray, upto_a: list[int], upto_b: list[int]) -> str:
+def _named(machine: Coders, ids_a: np.ndarray, ids_b: np.ndarray, upto_a: list[int], upto_b: list[int]) -> list[str]:
+    """Each group as ``a1,a2|b1,b2``."""
     a, b = [machine.a_names[i] for i in ids_a.tolist()], [machine.b_names[i] for i in ids_b.tolist()]
     out, i, j = [], 0, 0
     for p, q in zip(upto_a, upto_b):
         out.append(f"{a[i]}|{b[j]}" if p - i == q - j == 1 else f"{','.join(a[i:p])}|{','.join(b[j:q])}")
         i, j = p, q
-    return ";".join(out)
+    return out
 
 
 def aligned(
@@ -192,20 +214,21 @@ def aligned(
         machine = coders(byte_path, piece_path)
         for part in slices(batches, limit=1 << 20):
             rows, a, b, times, ends = [], [], [], [], [0]
-            for ids_a, ids_b in machine.encode([t or "" for t in column_of(part, "text").to_pylist()]):
-                if not len(ids_a):
+            for units in machine.aligned([t or "" for t in column_of(part, "text").to_pylist()]):
+                if units is None:
                     rows.append((0, 0, 0, 0, ""))
                     ends.append(ends[-1])
                     continue
-                upto_a, upto_b = meet(np.cumsum(machine.a_sizes[ids_a]).tolist(), np.cumsum(machine.b_sizes[ids_b]).tolist())
-                names = _named(machine, ids_a, ids_b, upto_a, upto_b)
+                n_a, n_b, n_groups, names, pairs, many = zip(*units)
+                names = ";".join(names)
                 names = hashlib.sha256(names.encode()).hexdigest() if digest else names
-                pairs, many = linked(ids_a, ids_b, np.array(upto_a), np.array(upto_b))
-                rows.append((len(ids_a), len(ids_b), len(upto_a), int(many.sum()), names))
+                many = np.frombuffer(b"".join(many), np.int64)
+                rows.append((sum(n_a), sum(n_b), sum(n_groups), int(many.sum()), names))
                 if links:
+                    pairs, place = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_inverse=True)
                     a.append((pairs >> 32).astype(np.int32))
                     b.append((pairs & 0xFFFFFFFF).astype(np.int32))
-                    times.append(many)
+                    times.append(np.bincount(place, many, len(pairs)).astype(np.int64))
                 ends.append(ends[-1] + len(pairs) * links)
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()])]
             columns.insert(0, column_of(part, "id"))
