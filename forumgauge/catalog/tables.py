@@ -149,11 +149,6 @@ class Tables:
         beta = counts.join(totals, "lang").select(topic.alias("topic"), "term", (F.col("n") / F.col("total")).alias("beta"))
         return written(beta, "beta")
 
-    @cached_property
-    def frequent_beta(self) -> DataFrame:
-        """The same topics without their rarest terms."""
-        return self.beta.where(F.col("beta") >= 0.0001)
-
     @cached_property
     def training_beta(self) -> DataFrame:
         """The same topics from the training cells of the sources alone, with all their terms."""
@@ -252,7 +247,6 @@ CTES: dict[str, tuple[str, str]] = {
         GROUP BY lang, term"""),
     "beta": ("language_terms", """
         SELECT topic, term, n / (sum(n) OVER (PARTITION BY topic))::DOUBLE AS beta FROM language_terms"""),
-    "frequent_beta": ("beta", "SELECT * FROM beta WHERE beta >= 0.0001"),
     "training_terms": ("", f"""
         SELECT list_position(['de', 'en', 'es', 'fr'], lang) AS topic, term, count(*) AS n
         FROM (SELECT source, lang, unnest(regexp_extract_all(lower(text), '{WORD_SQL}')) AS term FROM documents)

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import rounded, single
+from ..functions.wordlists import COMMENT_FILLERS
 from ..operators import relate as rel
 from ..operators import terms as dt
 from ..operators import topics as op
 from ..operators.aggregates import count_by
 from ..operators.windows import top_n_per_group
-from ..session import cut_lineage, written
+from ..plans.topics import compare_topic_numbers, prepare, topics_and_toxicity
+from ..session import written
 from . import query
 from .tables import LANGUAGES, WORD_SQL
 
 K = len(LANGUAGES)
-# Full passes over the documents; with an offset of 1 each may replace most of the model.
-ITERATIONS = 30
+ITERATIONS = 200
 TERMS_SQL = """
 terms AS (SELECT topic, string_agg(term, ', ' ORDER BY beta DESC, term) AS terms
           FROM (SELECT *, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS r FROM beta) WHERE r <= 8 GROUP BY topic)"""
@@ -98,19 +99,6 @@ def _(t):
     return rounded(op.exclusivity(t.beta), "exclusivity")
 
 
-@query("heldout_likelihood", """
-WITH held AS (SELECT * FROM source_terms WHERE ('0x' || substr(md5('42-' || document || '-' || term), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25),
-q AS (SELECT h.document, h.term, h.n, sum(g.gamma * b.beta) AS q FROM held h JOIN gamma g ON g.document = h.document
-      JOIN frequent_beta b ON b.term = h.term AND b.topic = g.topic GROUP BY h.document, h.term, h.n HAVING sum(g.gamma * b.beta) > 0)
-SELECT round(avg(ll), 6) AS heldout_likelihood, CAST(sum(n) AS BIGINT) AS tokens_used, CAST((SELECT sum(n) FROM held) - sum(n) AS BIGINT) AS tokens_skipped
-FROM (SELECT document, sum(n * ln(q)) / sum(n) AS ll, sum(n) AS n FROM q GROUP BY document)""",
-       "source_terms gamma frequent_beta")
-def _(t):
-    # a model of the more frequent terms only, so that some held-out tokens are skipped
-    _, heldout = op.heldout_split(t.source_terms)
-    return rounded(op.heldout_likelihood(heldout, t.gamma, t.frequent_beta), "heldout_likelihood")
-
-
 def _heldout_sql(model: str) -> str:
     return f"""
 WITH held AS (SELECT * FROM source_terms WHERE ('0x' || substr(md5('42-' || document || '-' || term), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25),
@@ -120,7 +108,7 @@ SELECT round(avg(ll), 6) AS heldout_likelihood, CAST(sum(n) AS BIGINT) AS tokens
 FROM (SELECT document, sum(n * ln(q)) / sum(n) AS ll, sum(n) AS n FROM q GROUP BY document)"""
 
 
-@query("heldout_likelihood_whole_model", _heldout_sql("beta"), "source_terms gamma beta")
+@query("heldout_likelihood", _heldout_sql("beta"), "source_terms gamma beta")
 def _(t):
     _, heldout = op.heldout_split(t.source_terms)
     return rounded(op.heldout_likelihood(heldout, t.gamma, t.beta), "heldout_likelihood")
@@ -297,57 +285,92 @@ ks AS (SELECT unnest([10, 15, 20, 25, 30]) AS "K")"""
 
 def _models(t, sparsity=0.94):
     counts = written(dt.trim_terms(t.subtitle_terms, sparsity).select("document", "term", "n"))
-    training, heldout = op.heldout_split(counts)
+    training, heldout = (written(part) for part in op.heldout_split(counts))
     vocab = written(dt.vocabulary(training))
-    vectors = cut_lineage(dt.to_sparse_vectors(training, vocab))
-    return training, heldout, vocab, vectors, op.fit_topics(vectors, max_iter=ITERATIONS, offset=1.0)
+    return training, heldout, vocab, op.fit_topics(dt.term_vectors(training, vocab), max_iter=ITERATIONS)
+
 
+def _bounds(t, models):
+    return reduce(DataFrame.unionByName, [op.model_bound(m, t.spark) for m in models.values()])
 
-def _every_k(models, table):
-    """The union over all models of ``table(K, model)``."""
-    return reduce(DataFrame.unionByName, [table(k, m).withColumn("K", F.lit(k)) for k, m in models.items()])
+
+# the likelihood of the training cells if all documents had the same words: every model must be better than that
+ONE_TOPIC = """(SELECT sum(n * ln(n / total)) FROM (SELECT sum(n)::DOUBLE AS n FROM training GROUP BY term), (SELECT sum(n)::DOUBLE AS total FROM training))"""
 
 
 @query("fit_topics", f"""WITH {TRAINING_SQL}
-SELECT "K", (SELECT count(DISTINCT document) FROM training) AS documents, (SELECT count(DISTINCT term) FROM training) AS terms, true AS bound_is_negative FROM ks""",
+SELECT "K", (SELECT count(DISTINCT document) FROM training) AS documents, (SELECT count(DISTINCT term) FROM training) AS terms,
+       CAST((SELECT sum(n) FROM training) AS BIGINT) AS tokens, round({ONE_TOPIC}, 4) AS one_topic, true AS better_than_one_topic FROM ks""",
        "subtitle_terms")
 def _(t):
-    *_, vectors, models = _models(t)
-    documents = vectors.agg(F.count("*").alias("documents"))
-    return _every_k(models, lambda k, m: op.model_bound(m, vectors, ITERATIONS).select(
-        single(documents).alias("documents"), F.lit(m.vocabSize()).cast("bigint").alias("terms"), (F.col("bound") < 0).alias("bound_is_negative")))
+    training, _, vocab, models = _models(t)
+    per_term = training.groupBy("term").agg(F.sum("n").alias("n"))
+    total = single(training.agg(F.sum("n")))
+    fit = models[10].fit
+    held = fit.slices.select(F.explode("docs").alias("d")).select("d.document", F.explode("d.n").alias("n")).agg(
+        F.count_distinct("document").alias("documents"), F.sum("n").cast("bigint").alias("tokens"))
+    terms = single(op.topic_terms(models[10], vocab).agg(F.count_distinct("term")))
+    one = single(per_term.agg(F.sum(F.col("n") * F.ln(F.col("n") / total))))
+    rows = _bounds(t, models).select("K", "bound").crossJoin(held)  # one row of totals
+    return rounded(rows.select("K", "documents", terms.alias("terms"), "tokens", one.alias("one_topic"), (F.col("bound") > one).alias("better_than_one_topic")), "one_topic", digits=4)
 
 
 @query("topic_terms", f"""WITH {TRAINING_SQL}
 SELECT "K", CAST(unnest(range(1, "K" + 1)) AS INT) AS topic, (SELECT count(DISTINCT term) FROM training) AS terms, 1.0::DOUBLE AS beta FROM ks""", "subtitle_terms")
 def _(t):
-    _, _, vocab, _, models = _models(t)
-    table = _every_k(models, lambda k, m: op.topic_terms(m, vocab))
+    _, _, vocab, models = _models(t)
+    table = op.every_topic_terms(models, vocab)
     return rounded(table.groupBy("K", "topic").agg(F.count_distinct("term").alias("terms"), F.sum("beta").alias("beta")), "beta")
 
 
 @query("topic_docs", f"""WITH {TRAINING_SQL}
 SELECT "K", document, CAST("K" AS BIGINT) AS topics, 1.0::DOUBLE AS gamma FROM ks, (SELECT DISTINCT document FROM training)""", "subtitle_terms")
 def _(t):
-    *_, vectors, models = _models(t)
-    table = _every_k(models, lambda k, m: op.topic_docs(m, vectors))
+    *_, models = _models(t)
+    table = op.every_topic_docs(models)
+    return rounded(table.groupBy("K", "document").agg(F.count_distinct("topic").alias("topics"), F.sum("gamma").alias("gamma")), "gamma")
+
+
+@query("topic_docs_of_others", f"""WITH {TRAINING_SQL}
+SELECT "K", document, CAST("K" AS BIGINT) AS topics, 1.0::DOUBLE AS gamma FROM ks,
+       (SELECT DISTINCT document FROM trimmed WHERE term IN (SELECT term FROM training) AND (document, term) NOT IN (SELECT (document, term) FROM training))""",
+       "subtitle_terms")
+def _(t):
+    # proportions of texts the models have not seen: the held-out cells
+    _, heldout, vocab, models = _models(t)
+    table = op.every_topic_docs(models, dt.term_vectors(heldout, vocab))
     return rounded(table.groupBy("K", "document").agg(F.count_distinct("topic").alias("topics"), F.sum("gamma").alias("gamma")), "gamma")
 
 
 @query("model_bound", f"""WITH {TRAINING_SQL}
-SELECT "K", round(lgamma("K" + 1), 6) AS lfact, round(lgamma("K" + 1), 6) AS added, true AS bound_is_negative, {ITERATIONS} AS iterations FROM ks""", "subtitle_terms")
+SELECT "K", round(lgamma("K" + 1), 6) AS lfact, round(lgamma("K" + 1), 6) AS added, true AS bound_is_negative, true AS within_limit FROM ks""", "subtitle_terms")
 def _(t):
-    *_, vectors, models = _models(t)
-    table = _every_k(models, lambda k, m: op.model_bound(m, vectors, ITERATIONS))
-    return rounded(table.select("K", "lfact", (F.col("lbound") - F.col("bound")).alias("added"), (F.col("bound") < 0).alias("bound_is_negative"), "iterations"), "lfact", "added")
+    *_, models = _models(t)
+    table = _bounds(t, models)
+    return rounded(table.select(
+        "K", "lfact", (F.col("lbound") - F.col("bound")).alias("added"), (F.col("bound") < 0).alias("bound_is_negative"),
+        F.col("iterations").between(1, ITERATIONS).alias("within_limit")), "lfact", "added")
 
 
-@query("k_diagnostics", """
-SELECT CAST(unnest([10, 15, 20, 25, 30]) AS INT) AS "K", metric, true AS in_range
-FROM (SELECT unnest(['exclusivity', 'lower_bound', 'residuals', 'semantic_coherence', 'heldout_likelihood']) AS metric)""")
+@query("prevalence_fit", """
+SELECT "K", topic, true AS is_finite FROM (SELECT "K", CAST(unnest(range(1, "K" + 1)) AS INT) AS topic FROM (SELECT unnest([10, 15]) AS "K"))""")
 def _(t):
-    training, heldout, vocab, vectors, models = _models(t)
-    table = op.k_diagnostics(models, vectors, vocab, training, heldout, ITERATIONS)
+    # year and month of a subtitle's day move the prior mean of its topics within the fit
+    counts = written(dt.trim_terms(t.subtitle_terms, 0.94).select("document", "term", "n"))
+    vocab = written(dt.vocabulary(counts))
+    day = F.date_add(F.lit("2023-11-01").cast("date"), (F.col("document") % 700).cast("int"))
+    covariates = counts.select("document").distinct().select("document", F.year(day).alias("year"), F.month(day).alias("month"))
+    models = op.fit_topics(dt.term_vectors(counts, vocab), (10, 15), ITERATIONS, covariates=covariates)
+    return rel.prior_effects(models, t.spark, ["level", "year", "month"]).select(
+        "K", "topic", (~F.isnan(F.col("year") + F.col("month") + F.col("level"))).alias("is_finite"))
+
+
+METRICS_SQL = """
+SELECT CAST(unnest([10, 15, 20, 25, 30]) AS INT) AS "K", metric, true AS in_range
+FROM (SELECT unnest(['exclusivity', 'lower_bound', 'residuals', 'semantic_coherence', 'heldout_likelihood']) AS metric)"""
+
+
+def _in_range(table):
     v = F.col("value")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     limits = (
@@ -357,18 +380,60 @@ def _(t):
     return table.select("K", "metric", (finite & limits).alias("in_range"))
 
 
-@query("coherence_vs_exclusivity", """
-WITH lead AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY beta DESC, term) AS r FROM beta QUALIFY r <= 6),
-p AS (SELECT a.topic, a.term AS ti, b.term AS tj FROM lead a JOIN lead b ON a.topic = b.topic AND a.r > b.r),
-dj AS (SELECT topic, l.term, count(*) AS n FROM lead l JOIN document_terms d ON l.term = d.term GROUP BY topic, l.term),
-dij AS (SELECT topic, ti, tj, count(*) AS n FROM p JOIN document_terms x ON x.term = ti JOIN document_terms y ON y.term = tj AND x.document = y.document GROUP BY ALL),
-coh AS (SELECT p.topic, sum(ln((coalesce(dij.n, 0) + 1)::DOUBLE / dj.n)) AS c
-  FROM p JOIN dj ON dj.topic = p.topic AND dj.term = p.tj LEFT JOIN dij ON dij.topic = p.topic AND dij.ti = p.ti AND dij.tj = p.tj GROUP BY p.topic),
-x AS (SELECT topic, term, beta, round(beta / sum(beta) OVER (PARTITION BY term), 12) AS excl FROM beta),
-r AS (SELECT topic, cume_dist() OVER (PARTITION BY topic ORDER BY beta) AS fb, cume_dist() OVER (PARTITION BY topic ORDER BY excl) AS fe,
-             row_number() OVER (PARTITION BY topic ORDER BY beta DESC, term) AS rn FROM x),
-ex AS (SELECT topic, sum(1 / (0.7 / fe + 0.3 / fb)) AS e FROM r WHERE rn <= 6 GROUP BY topic)
-SELECT 4 AS "K", coh.topic, round(c, 6) AS semantic_coherence, round(e, 6) AS exclusivity FROM coh JOIN ex ON coh.topic = ex.topic""", "beta document_terms")
+@query("k_diagnostics", METRICS_SQL)
+def _(t):
+    training, heldout, vocab, models = _models(t)
+    return _in_range(op.k_diagnostics(models, vocab, training, heldout))
+
+
+# Stand-in topics of several K: the words of the sources whose number leaves the same rest.
+PER_K_SQL = """
+kbeta AS (SELECT "K", topic, term, n / sum(n) OVER (PARTITION BY "K", topic)::DOUBLE AS beta
+          FROM (SELECT "K", CAST(substr(document, 4) AS INT) % "K" + 1 AS topic, term, sum(n)::DOUBLE AS n
+                FROM source_terms, (SELECT unnest([10, 15, 20, 25, 30]) AS "K") GROUP BY ALL))"""
+
+
+@query("coherence_vs_exclusivity", f"""WITH {PER_K_SQL},
+lead AS (SELECT "K", topic, term, row_number() OVER (PARTITION BY "K", topic ORDER BY beta DESC, term) AS r FROM kbeta QUALIFY r <= 10),
+p AS (SELECT a."K", a.topic, a.term AS ti, b.term AS tj FROM lead a JOIN lead b ON a."K" = b."K" AND a.topic = b.topic AND a.r > b.r),
+dj AS (SELECT term, count(*) AS n FROM document_terms WHERE term IN (SELECT term FROM lead) GROUP BY term),
+dij AS (SELECT ti, tj, count(*) AS n FROM (SELECT DISTINCT ti, tj FROM p) JOIN document_terms x ON x.term = ti JOIN document_terms y ON y.term = tj AND x.document = y.document GROUP BY ALL),
+coh AS (SELECT p."K", p.topic, sum(ln((coalesce(dij.n, 0) + 1)::DOUBLE / dj.n)) AS c
+  FROM p JOIN dj ON dj.term = p.tj LEFT JOIN dij ON dij.ti = p.ti AND dij.tj = p.tj GROUP BY ALL),
+x AS (SELECT "K", topic, term, beta, round(beta / sum(beta) OVER (PARTITION BY "K", term), 12) AS excl FROM kbeta),
+r AS (SELECT "K", topic, cume_dist() OVER (PARTITION BY "K", topic ORDER BY beta) AS fb, cume_dist() OVER (PARTITION BY "K", topic ORDER BY excl) AS fe,
+             row_number() OVER (PARTITION BY "K", topic ORDER BY beta DESC, term) AS rn FROM x),
+ex AS (SELECT "K", topic, sum(1 / (0.7 / fe + 0.3 / fb)) AS e FROM r WHERE rn <= 10 GROUP BY ALL)
+SELECT coh."K", coh.topic, round(c, 6) AS semantic_coherence, round(e, 6) AS exclusivity FROM coh JOIN ex ON coh."K" = ex."K" AND coh.topic = ex.topic""",
+       "source_terms document_terms")
+def _(t):
+    counts, per_k = t.source_terms, {}
+    for k in op.TOPIC_NUMBERS:
+        topic = F.substring("document", 4, 10).cast("int") % k + 1
+        own = counts.groupBy(topic.alias("topic"), "term").agg(F.sum("n").cast("double").alias("n"))
+        totals = own.groupBy("topic").agg(F.sum("n").alias("total"))
+        per_k[k] = own.join(totals, "topic").select("topic", "term", (F.col("n") / F.col("total")).alias("beta"))
+    return rounded(op.coherence_vs_exclusivity(per_k, t.document_terms), "semantic_coherence", "exclusivity")
+
+
+def _comment_corpus(t):
+    texts = t.texts("documents").select(F.col("doc_id").alias("document"), "text")
+    return prepare(texts, list(COMMENT_FILLERS), sparsity=0.7)
+
+
+@query("comment_topics_plan", METRICS_SQL)
+def _(t):
+    # the whole plan for the comments: words, fillers out, frequent terms, all five numbers of topics, their diagnostics
+    return _in_range(compare_topic_numbers(_comment_corpus(t), max_iter=ITERATIONS)[1])
+
+
+@query("comment_topics_and_toxicity", """
+SELECT '(Intercept)' AS term, NULL::INT AS topic, true AS has_estimate
+UNION ALL SELECT 't_' || topic, CAST(topic AS INT), topic < 10 FROM (SELECT unnest(range(1, 11)) AS topic)""")
 def _(t):
-    table = op.coherence_vs_exclusivity({K: t.beta}, t.document_terms, m=6)
-    return rounded(table, "semantic_coherence", "exclusivity")
+    corpus = _comment_corpus(t)
+    models = op.fit_topics(corpus.vectors, (10,), ITERATIONS)
+    shares = t.scored.select(
+        F.col("id").alias("video_id"), "date", F.when(F.col("label") == "OFFENSE", 100.0).otherwise(0.0).alias("prop_offense"))
+    table, _ = topics_and_toxicity(models[10], corpus, shares.select("video_id", "date"), shares, alpha=0.001)
+    return table.select("term", "topic", F.col("estimate").isNotNull().alias("has_estimate"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import Z_975
@@ -40,6 +40,15 @@ def prevalence_effects(gamma: DataFrame, covariates: DataFrame, key: str = "vide
     )
 
 
+def prior_effects(models, spark: SparkSession, names: Sequence[str]) -> DataFrame:
+    """``(K, topic, *names)``: how the prior mean of each topic moves, on the scale of the softmax, with each covariate of the fit
+    (one standard deviation of it), next to its level. One row per topic, so it is made on the driver."""
+    rows = [
+        (k, topic + 1, *map(float, column)) for k, model in models.items() for topic, column in enumerate(model.effects.T)
+    ]
+    return spark.createDataFrame(rows, ", ".join(["K int", "topic int", *(f"{n} double" for n in names)]))
+
+
 def topic_regression(gamma: DataFrame, shares: DataFrame, k: int, terms: DataFrame, target: str = "prop_offense"):
     """Toxic share explained by all topic proportions together.
 

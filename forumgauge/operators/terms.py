@@ -62,6 +62,14 @@ def to_sparse_vectors(counts: DataFrame, vocab: DataFrame, document: str = "docu
     return model.transform(words).select(document, "features")
 
 
+def term_vectors(counts: DataFrame, vocab: DataFrame, document: str = "document", term: str = "term") -> DataFrame:
+    """``(document, idx, n)``: places and counts of a document's terms, as arrays ordered by place. The vocabulary is joined,
+    so it may have any size. Documents without a term of the vocabulary have no row."""
+    cells = counts.join(vocab.select(F.col("term").alias(term), "idx"), term)
+    listed = cells.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.col("n").cast("double").alias("n")))).alias("c"))
+    return listed.select(F.col(document).alias("document"), F.col("c.idx").alias("idx"), F.col("c.n").alias("n"))
+
+
 def from_sparse_vectors(vectors: DataFrame, vocab: DataFrame, document: str = "document") -> DataFrame:
     """Back to the long table. Only stored cells are unfolded."""
     stored = F.unwrap_udt("features")

@@ -8,70 +8,79 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import attach, first_rows, single
-from ..session import cut_lineage, written
+from ..session import written
+from . import variational
 from .reshape import pivot_longer
 from .windows import top_n_per_group
 
 TOPIC_NUMBERS = (10, 15, 20, 25, 30)
-#: Cells (topics x terms) a model may have: Spark's LDA keeps them on the driver.
-MODEL_CELLS = 100_000_000
 #: Leading terms per mask of ``semantic_coherence``.
 MASK = 62
 
 
+@dataclass(frozen=True)
+class TopicModel:
+    """One model of a fit; the tables of models fitted together are shared."""
+
+    k: int
+    fit: variational.Fit
+
+    @property
+    def bounds(self) -> list[float]:
+        """The joint objective after each pass."""
+        return self.fit.bounds[self.k]
+
+    @property
+    def effects(self) -> np.ndarray:
+        """Prior means: a row for the level and one for each covariate, a column for each topic."""
+        return self.fit.effects[self.k]
+
+
 def fit_topics(
-    vectors: DataFrame, ks: Sequence[int] = TOPIC_NUMBERS, seed: int = 8458159, max_iter: int = 200,
-    optimizer: str = "online", features: str = "features", subsampling: float = 1.0, offset: float = 1024.0,
-) -> dict[int, LDAModel]:
-    """One model per number of topics. Every fit is a distributed job of its own, run
-    over vectors that are written to the shared folder once.
-
-    Every iteration reads all documents, unless ``subsampling`` is below 1. A large ``offset``
-    keeps most of the model in each of the many iterations; with full passes and an offset
-    of 1, some 30 iterations are enough.
-
-    A model of topics x terms is held on the driver, so a vocabulary too large for that
-    is refused: trim the terms first.
+    vectors: DataFrame, ks: Sequence[int] = TOPIC_NUMBERS, max_iter: int = 200, tolerance: float = 1e-5,
+    covariates: DataFrame | None = None, key: str = "document",
+) -> dict[int, TopicModel]:
+    """One model per number of topics, fitted side by side: each pass reads every document once for all of them.
+
+    The start is spectral (anchor terms), so a fit has no seed. Passes end when no model's objective grows by more
+    than ``tolerance`` of itself, or after ``max_iter``. ``covariates`` (``key`` and figures such as year and month)
+    move the prior mean of a document's proportions and are fitted in every pass. Nothing of the size of
+    the vocabulary or of the documents is held in one place.
     """
-    prepared = cut_lineage(vectors)
-    row = prepared.select(features).head()
-    terms = row[0].size if row else 0
-    if max(ks) * terms > MODEL_CELLS:
-        raise ValueError(f"{max(ks)} topics of {terms} terms exceed {MODEL_CELLS} cells: trim the terms")
-    return {
-        k: LDA(
-            k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol=features, subsamplingRate=subsampling, learningOffset=offset,
-        ).fit(prepared)
-        for k in ks
-    }
-
-
-def topic_terms(model: LDAModel, vocab: DataFrame) -> DataFrame:
+    fit = variational.fit(vectors, ks, max_iter, tolerance, covariates=covariates, key=key)
+    return {k: TopicModel(k, fit) for k in ks}
+
+
+def every_topic_terms(models: Mapping[int, TopicModel], vocab: DataFrame) -> DataFrame:
+    """``(K, topic, term, beta)`` of models fitted together, in one scan."""
+    return next(iter(models.values())).fit.terms(vocab)
+
+
+def every_topic_docs(models: Mapping[int, TopicModel], vectors: DataFrame | None = None) -> DataFrame:
+    """``(K, document, topic, gamma)`` of models fitted together, in one scan: of the fitted documents, or of others."""
+    fit = next(iter(models.values())).fit
+    return fit.docs() if vectors is None else fit.infer(vectors)
+
+
+def topic_terms(model: TopicModel, vocab: DataFrame) -> DataFrame:
     """``(topic, term, beta)`` with every term of the vocabulary in every topic."""
-    described = model.describeTopics(model.vocabSize())
-    cells = F.explode(F.arrays_zip("termIndices", "termWeights")).alias("cell")
-    long = described.select((F.col("topic") + 1).alias("topic"), cells)
-    long = long.select("topic", F.col("cell.termIndices").alias("idx"), F.col("cell.termWeights").alias("beta"))
-    return long.join(vocab, "idx").select("topic", "term", "beta")
-
-
-def topic_docs(model: LDAModel, vectors: DataFrame, document: str = "document") -> DataFrame:
-    """``(document, topic, gamma)``."""
-    mixed = model.transform(vectors).select(
-        F.col(document).alias("document"),
-        F.posexplode(vector_to_array("topicDistribution")).alias("at", "gamma"),
-    )
-    return mixed.select("document", (F.col("at") + 1).alias("topic"), "gamma")
+    return model.fit.terms(vocab).where(F.col("K") == model.k).select("topic", "term", "beta")
+
+
+def topic_docs(model: TopicModel, vectors: DataFrame | None = None, document: str = "document") -> DataFrame:
+    """``(document, topic, gamma)`` of the fitted documents, or of any ``vectors`` with terms of the same vocabulary."""
+    if vectors is not None and document != "document":
+        vectors = vectors.withColumnRenamed(document, "document")
+    return every_topic_docs({model.k: model}, vectors).where(F.col("K") == model.k).select("document", "topic", "gamma")
 
 
 def top_terms(beta: DataFrame, n: int = 10, output: str = "terms") -> DataFrame:
@@ -169,20 +178,29 @@ def heldout_split(counts: DataFrame, share: float = 0.25, seed: int = 42):
     return counts.where(u >= share), counts.where(u < share)
 
 
-def _by_topic(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``(key, values)``: a map topic -> value, one entry per topic of the model."""
-    return df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("topic", value))).alias("values"))
+def _topics_of(beta: DataFrame) -> list:
+    return [r[0] for r in beta.select("topic").distinct().orderBy("topic").collect()]  # one row per topic
+
+
+def _by_topic(df: DataFrame, key: str, value: str, topics: Sequence) -> DataFrame:
+    """``(key, values)``: the values in the order of ``topics``, 0 where there is none."""
+    held = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("topic", value))).alias("values"))
+    each = F.array(*[F.lit(t) for t in topics])
+    return held.select(key, F.transform(each, lambda t: F.coalesce(F.try_element_at("values", t), F.lit(0.0))).alias("values"))
+
+
+def _mixed(g: str, b: str):
+    """The sum of the products of two arrays in the same order."""
+    return F.aggregate(F.zip_with(g, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
 def _fitted(counts: DataFrame, gamma: DataFrame, beta: DataFrame) -> DataFrame:
     """``counts`` with ``q``, the modelled probability of the term in the document."""
-    mixture = _by_topic(gamma, "document", "gamma").withColumnRenamed("values", "g")
-    weights = _by_topic(beta, "term", "beta").withColumnRenamed("values", "b")
-    q = F.aggregate(
-        F.map_entries("g"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("b", e["key"]), F.lit(0.0))
-    )
+    topics = _topics_of(beta)
+    mixture = _by_topic(gamma, "document", "gamma", topics).withColumnRenamed("values", "g")
+    weights = _by_topic(beta, "term", "beta", topics).withColumnRenamed("values", "b")
     joined = counts.join(weights, "term", "left").join(mixture, "document", "left")
-    return joined.select("document", "term", "n", F.coalesce(q, F.lit(0.0)).alias("q"))
+    return joined.select("document", "term", "n", F.coalesce(_mixed("g", "b"), F.lit(0.0)).alias("q"))
 
 
 def heldout_likelihood(heldout: DataFrame, gamma: DataFrame, beta: DataFrame) -> DataFrame:
@@ -238,18 +256,15 @@ def residual_dispersion(
     expanding the square splits the sum into a part over stored cells and a part that
     depends on a document only through its mixture and length.
     """
-    topics = [r[0] for r in beta.select("topic").distinct().orderBy("topic").collect()]  # one row per topic
-    aligned = F.transform(
-        F.array(*[F.lit(t) for t in topics]), lambda t: F.coalesce(F.try_element_at("values", t), F.lit(0.0))
-    ).alias("values")
+    topics = _topics_of(beta)
     # both tables enter several plans and the block counts, so they are written once
-    terms = written(_by_topic(beta, "term", "beta").select("term", aligned))
+    terms = written(_by_topic(beta, "term", "beta", topics))
     known = counts.join(terms.select("term"), "term", "left_semi")
     lengths = known.groupBy("document").agg(F.sum("n").alias("m"))
-    documents = written(_by_topic(gamma, "document", "gamma").select("document", aligned).join(lengths, "document"))
+    documents = written(_by_topic(gamma, "document", "gamma", topics).join(lengths, "document"))
     cells = (
         known.join(documents.withColumnRenamed("values", "g"), "document").join(terms, "term")
-        .select("n", "m", F.aggregate(F.zip_with("g", "values", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x).alias("q"))
+        .select("n", "m", _mixed("g", "values").alias("q"))
         .where((F.col("q") > 0) & (F.col("q") < 1))
     )
     mq = F.col("m") * F.col("q")
@@ -261,41 +276,56 @@ def residual_dispersion(
     return dense.select(F.try_divide(F.col("dense") + single(stored), freedom).alias("residual_dispersion"))
 
 
-def model_bound(model: LDAModel, vectors: DataFrame, iterations: int) -> DataFrame:
-    """One row: K, log-likelihood bound, log K!, their sum, and iterations."""
-    k = model.getK() if hasattr(model, "getK") else model.getOrDefault("k")
-    bound, lfact = float(model.logLikelihood(vectors)), math.lgamma(k + 1)
-    return vectors.sparkSession.createDataFrame(
-        [(k, bound, lfact, bound + lfact, iterations)],
+def model_bound(model: TopicModel, spark: SparkSession) -> DataFrame:
+    """One row: K, the last joint objective, log K!, their sum, and the passes made."""
+    bound, lfact = model.bounds[-1] if model.bounds else float("nan"), math.lgamma(model.k + 1)
+    return spark.createDataFrame(
+        [(model.k, bound, lfact, bound + lfact, len(model.bounds))],
         "K int, bound double, lfact double, lbound double, iterations int",
     )
 
 
+def coherence_and_exclusivity(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataFrame:
+    """``(K, topic, semantic_coherence, exclusivity)`` from ``(K, topic, term, beta)``: all K in one scan of the counts.
+
+    Topics of different K are told apart by a number of both; for exclusivity, which compares topics
+    of the same K, terms are as well.
+    """
+    apart = F.col("K").cast("long") * (1 << 20) + F.col("topic")
+    each = written(beta.select("K", apart.alias("topic"), "term", "beta"), "beta")
+    coherence = semantic_coherence(each.drop("K"), counts, m)
+    own = each.select("topic", F.concat_ws(" ", F.col("K").cast("string"), "term").alias("term"), "beta")
+    joined = coherence.join(exclusivity(own, m), "topic")
+    return joined.select(
+        F.shiftright("topic", 20).cast("int").alias("K"), F.col("topic").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("topic"),
+        "semantic_coherence", "exclusivity")
+
+
 def k_diagnostics(
-    models: Mapping[int, LDAModel], vectors: DataFrame, vocab: DataFrame, counts: DataFrame,
-    heldout: DataFrame, iterations: int, m: int = 10,
+    models: Mapping[int, TopicModel], vocab: DataFrame, counts: DataFrame, heldout: DataFrame, m: int = 10,
 ) -> DataFrame:
-    """``(K, metric, value)``: five figures for each number of topics."""
+    """``(K, metric, value)``: five figures for each number of topics.
+
+    Topics and proportions of all K are written once, each in one scan.
+    """
     metrics = ["exclusivity", "lower_bound", "residuals", "semantic_coherence", "heldout_likelihood"]
+    spark = counts.sparkSession
+    betas, gammas = written(every_topic_terms(models, vocab), "beta"), written(every_topic_docs(models), "gamma")
+    per_topic = coherence_and_exclusivity(betas, counts, m)
+    means = written(per_topic.groupBy("K").agg(F.avg("exclusivity").alias("exclusivity"), F.avg("semantic_coherence").alias("semantic_coherence")))
     rows = []
     for k, model in models.items():
-        # read by four figures; written, so that inference over the documents runs once
-        beta, gamma = written(topic_terms(model, vocab), "beta"), written(topic_docs(model, vectors), "gamma")
-        row = model_bound(model, vectors, iterations).select("K", F.col("lbound").alias("lower_bound"))
+        beta, gamma = (t.where(F.col("K") == k).drop("K") for t in (betas, gammas))
+        row = model_bound(model, spark).select("K", F.col("lbound").alias("lower_bound"))
         rows.append(row.withColumns({
-            "exclusivity": single(exclusivity(beta, m).agg(F.avg("exclusivity").alias("x"))),
             "residuals": single(residual_dispersion(counts, gamma, beta)),
-            "semantic_coherence": single(semantic_coherence(beta, counts, m).agg(F.avg("semantic_coherence").alias("x"))),
             "heldout_likelihood": single(heldout_likelihood(heldout, gamma, beta).select("heldout_likelihood")),
         }))
-    wide = reduce(DataFrame.unionByName, rows)
+    wide = reduce(DataFrame.unionByName, rows).join(means, "K", "left")
     return pivot_longer(wide.select("K", *metrics), ["K"], metrics)
 
 
 def coherence_vs_exclusivity(per_k: Mapping[int, DataFrame], counts: DataFrame, m: int = 10) -> DataFrame:
     """``(K, topic, semantic_coherence, exclusivity)`` for a beta table per K."""
-    parts = [
-        semantic_coherence(beta, counts, m).join(exclusivity(beta, m), "topic").withColumn("K", F.lit(k))
-        for k, beta in per_k.items()
-    ]
-    return reduce(DataFrame.unionByName, parts).select("K", "topic", "semantic_coherence", "exclusivity")
+    tables = [beta.select(F.lit(k).alias("K"), "topic", "term", "beta") for k, beta in per_k.items()]
+    return coherence_and_exclusivity(reduce(DataFrame.unionByName, tables), counts, m)

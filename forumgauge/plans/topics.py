@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import LDAModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relate
-from ..operators.terms import doc_term_counts, to_sparse_vectors, trim_terms, vocabulary
+from ..operators.terms import doc_term_counts, term_vectors, trim_terms, vocabulary
 from ..operators.text import lemmatize, remove_numbers, remove_stopwords, tokenize_words
 from ..operators.topics import (
-    TOPIC_NUMBERS, fit_topics, heldout_split, k_diagnostics, top_terms, topic_docs, topic_terms,
+    TOPIC_NUMBERS, TopicModel, fit_topics, heldout_split, k_diagnostics, top_terms, topic_docs, topic_terms,
 )
 from ..session import written
 
@@ -45,19 +44,18 @@ def prepare(
     training, heldout = heldout_split(written(trim_terms(counts, sparsity).select("document", "term", "n")))
     training, heldout = written(training), written(heldout)
     vocab = written(vocabulary(training))
-    return Corpus(training, heldout, vocab, written(to_sparse_vectors(training, vocab)))
+    return Corpus(training, heldout, vocab, written(term_vectors(training, vocab)))
 
 
-def compare_topic_numbers(corpus: Corpus, ks: Sequence[int] = TOPIC_NUMBERS, max_iter: int = 200):
+def compare_topic_numbers(corpus: Corpus, ks: Sequence[int] = TOPIC_NUMBERS, max_iter: int = 200, covariates: DataFrame | None = None, key: str = "document"):
     """The models and the table of diagnostics that helps to choose between them."""
-    models = fit_topics(corpus.vectors, ks, max_iter=max_iter)
-    table = k_diagnostics(models, corpus.vectors, corpus.vocab, corpus.training, corpus.heldout, max_iter)
-    return models, table
+    models = fit_topics(corpus.vectors, ks, max_iter, covariates=covariates, key=key)
+    return models, k_diagnostics(models, corpus.vocab, corpus.training, corpus.heldout)
 
 
-def topics_and_toxicity(model: LDAModel, k: int, corpus: Corpus, episodes: DataFrame, shares: DataFrame, alpha: float = 0.001):
+def topics_and_toxicity(model: TopicModel, corpus: Corpus, episodes: DataFrame, shares: DataFrame, alpha: float = 0.001):
     """The regression of toxic share on topics, and the episodes of significant topics."""
-    gamma = written(topic_docs(model, corpus.vectors))
+    k, gamma = model.k, written(topic_docs(model))
     terms = top_terms(topic_terms(model, corpus.vocab), 8)
     table = written(relate.topic_regression(gamma, shares, k, terms))
     # at most one row per topic of the model

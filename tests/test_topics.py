@@ -86,12 +86,6 @@ def test_heldout_tokens_without_a_model_are_counted(spark):
     assert got[0] == pytest.approx(math.log(0.5)) and (got[1], got[2]) == (2, 12)
 
 
-def test_large_vocabularies_are_refused(corpus, monkeypatch):
-    monkeypatch.setattr(tp, "MODEL_CELLS", 10)
-    with pytest.raises(ValueError, match="trim"):
-        tp.fit_topics(corpus.vectors, ks=(3,))
-
-
 @pytest.mark.parametrize("block", [1, 2, 2048])
 def test_dispersion_by_hand(spark, block):
     beta = spark.createDataFrame([(1, "a", .5), (1, "b", .3), (1, "c", .2), (2, "a", .1), (2, "b", .1), (2, "c", .8)],
@@ -160,7 +154,7 @@ def test_episode_topics_from_text_to_regression(spark, corpus):
     assert all(math.isfinite(r["value"]) for r in table.collect())
     episodes = corpus.vectors.select(F.col("document").alias("video_id"), F.lit("2024-01-01").cast("date").alias("date"))
     shares = episodes.withColumn("prop_offense", (F.col("video_id") * 37 % 11).cast("double"))
-    coefficients, found = topics_and_toxicity(models[3], 3, corpus, episodes, shares, alpha=2.0)
+    coefficients, found = topics_and_toxicity(models[3], corpus, episodes, shares, alpha=2.0)
     assert coefficients.count() == 4
     assert found.count() > 0
 
@@ -171,7 +165,7 @@ def test_heldout_likelihood_uses_the_whole_model(spark, folder):
 
     queries, tables = entry.queries(), Tables(spark, folder)
     held = tp.heldout_split(tables.source_terms)[1].agg(F.sum("n")).head()[0]
-    whole = queries["heldout_likelihood_whole_model"](spark, folder).head()
+    whole = queries["heldout_likelihood"](spark, folder).head()
     assert (whole.tokens_used, whole.tokens_skipped) == (held, 0)
     trained = queries["heldout_likelihood_of_training"](spark, folder).head()
     assert trained.tokens_used + trained.tokens_skipped == held and 0 < trained.tokens_skipped
