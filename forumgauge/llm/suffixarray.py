@@ -14,7 +14,7 @@ ones), which splits their groups; then the groups are read once in ascending ord
 puts those that point to it in their places. No names are given and no text is sorted again.
 
 A key of too many classes is split by more bytes: a window reaches at least half of the free bytes
-further to the left or to the right than the gram, which makes two longer keys; after nine halvings
+further to the left or to the right than the gram, which makes two longer keys, and each of them two again; after five such rounds
 a key is a whole window. No window is dropped, and each has one key throughout.
 """
 
@@ -33,7 +33,7 @@ from .common import U64, as_long, column_of, groups, slices, utf8, window_hashes
 SIZE = 400
 GRAM = 64
 #: Classes of a key that one task puts into one suffix array.
-CLASSES = 256
+CLASSES = 1024
 #: Window starts a scan holds at once, and the bits that number them.
 STEP, PLACE_BITS = 1 << 21, 22
 CLASS = ["key", "d1", "d2"]
@@ -301,14 +301,22 @@ def halves(piece: bytes, low: int, high: int, size: int) -> list[tuple[int, int,
     return out
 
 
+def quarters(piece: bytes, low: int, high: int, size: int) -> list[tuple[int, int, int, int, bytes]]:
+    """Halves of the halves, as :func:`halves` gives them."""
+    return [
+        (2 * side + again, shift + more, a, b, part)
+        for side, shift, low, high, half in halves(piece, low, high, size) for again, more, a, b, part in halves(half, low, high, size)
+    ]
+
+
 def _split(classes: DataFrame, size: int) -> DataFrame:
-    """The halves of each class: its class (``up_*``), ``shift``, and the class, count and text of the half."""
+    """The quarters of each class: its class (``up_*``), ``shift``, and the class, count and text of the quarter."""
 
     def work(batches):
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                for side, shift, low, high, piece in halves(r["piece"], r["low"], r["high"], size):
+                for side, shift, low, high, piece in quarters(r["piece"], r["low"], r["high"], size):
                     name = blake2b(bytes([side]) + piece[low:high], digest_size=8).digest()
                     rows.append((r["key"], r["d1"], r["d2"], r["n"], shift, low, high, int(np.frombuffer(name, np.int64)[0]), piece))
             columns = list(zip(*rows)) if rows else [()] * 9
@@ -330,7 +338,7 @@ def decided(classes: DataFrame, size: int) -> DataFrame:
     rest = known.where(F.col("many") > CLASSES)
     if rest.isEmpty():
         return found
-    split = written(_split(rest, size), "halves")
+    split = written(_split(rest, size), "quarters")
     below = split.groupBy(*CLASS).agg(F.sum("n").alias("n"), F.first(F.struct("low", "high", "piece")).alias("c")).select(*CLASS, "n", "c.*")
     inner = split.select("up_key", "up_d1", "up_d2", "shift", *CLASS).join(decided(below, size), CLASS)
     moved = F.transform("ranges", lambda r: F.struct((r["first"] + F.col("shift")).alias("first"), (r["last"] + F.col("shift")).alias("last")))
