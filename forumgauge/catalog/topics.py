@@ -19,6 +19,8 @@ from .tables import LANGUAGES, WORD_SQL
 
 K = len(LANGUAGES)
 ITERATIONS = 200
+# Passes end when no objective grows by more than this share of itself.
+TOLERANCE = 1e-4
 TERMS_SQL = """
 terms AS (SELECT topic, string_agg(term, ', ' ORDER BY beta DESC, term) AS terms
           FROM (SELECT *, rank() OVER (PARTITION BY topic ORDER BY beta DESC) AS r FROM beta) WHERE r <= 8 GROUP BY topic)"""
@@ -287,7 +289,7 @@ def _models(t, sparsity=0.94):
     counts = written(dt.trim_terms(t.subtitle_terms, sparsity).select("document", "term", "n"))
     training, heldout = (written(part) for part in op.heldout_split(counts))
     vocab = written(dt.vocabulary(training))
-    return training, heldout, vocab, op.fit_topics(dt.term_vectors(training, vocab), max_iter=ITERATIONS)
+    return training, heldout, vocab, op.fit_topics(dt.term_vectors(training, vocab), max_iter=ITERATIONS, tolerance=TOLERANCE)
 
 
 def _bounds(t, models):
@@ -360,7 +362,7 @@ def _(t):
     vocab = written(dt.vocabulary(counts))
     day = F.date_add(F.lit("2023-11-01").cast("date"), (F.col("document") % 700).cast("int"))
     covariates = counts.select("document").distinct().select("document", F.year(day).alias("year"), F.month(day).alias("month"))
-    models = op.fit_topics(dt.term_vectors(counts, vocab), (10, 15), ITERATIONS, covariates=covariates)
+    models = op.fit_topics(dt.term_vectors(counts, vocab), (10, 15), ITERATIONS, TOLERANCE, covariates)
     return rel.prior_effects(models, t.spark, ["level", "year", "month"]).select(
         "K", "topic", (~F.isnan(F.col("year") + F.col("month") + F.col("level"))).alias("is_finite"))
 
@@ -424,7 +426,7 @@ def _comment_corpus(t):
 @query("comment_topics_plan", METRICS_SQL)
 def _(t):
     # the whole plan for the comments: words, fillers out, frequent terms, all five numbers of topics, their diagnostics
-    return _in_range(compare_topic_numbers(_comment_corpus(t), max_iter=ITERATIONS)[1])
+    return _in_range(compare_topic_numbers(_comment_corpus(t), max_iter=ITERATIONS, tolerance=TOLERANCE)[1])
 
 
 @query("comment_topics_and_toxicity", """
@@ -432,7 +434,7 @@ SELECT '(Intercept)' AS term, NULL::INT AS topic, true AS has_estimate
 UNION ALL SELECT 't_' || topic, CAST(topic AS INT), topic < 10 FROM (SELECT unnest(range(1, 11)) AS topic)""")
 def _(t):
     corpus = _comment_corpus(t)
-    models = op.fit_topics(corpus.vectors, (10,), ITERATIONS)
+    models = op.fit_topics(corpus.vectors, (10,), ITERATIONS, TOLERANCE)
     shares = t.scored.select(
         F.col("id").alias("video_id"), "date", F.when(F.col("label") == "OFFENSE", 100.0).otherwise(0.0).alias("prop_offense"))
     table, _ = topics_and_toxicity(models[10], corpus, shares.select("video_id", "date"), shares, alpha=0.001)

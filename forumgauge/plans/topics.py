@@ -47,9 +47,12 @@ def prepare(
     return Corpus(training, heldout, vocab, written(term_vectors(training, vocab)))
 
 
-def compare_topic_numbers(corpus: Corpus, ks: Sequence[int] = TOPIC_NUMBERS, max_iter: int = 200, covariates: DataFrame | None = None, key: str = "document"):
+def compare_topic_numbers(
+    corpus: Corpus, ks: Sequence[int] = TOPIC_NUMBERS, max_iter: int = 200, tolerance: float = 1e-5,
+    covariates: DataFrame | None = None, key: str = "document",
+):
     """The models and the table of diagnostics that helps to choose between them."""
-    models = fit_topics(corpus.vectors, ks, max_iter, covariates=covariates, key=key)
+    models = fit_topics(corpus.vectors, ks, max_iter, tolerance, covariates, key)
     return models, k_diagnostics(models, corpus.vocab, corpus.training, corpus.heldout)
 
 

@@ -153,9 +153,12 @@ def test_episode_topics_from_text_to_regression(spark, corpus):
         "exclusivity", "lower_bound", "residuals", "semantic_coherence", "heldout_likelihood"}
     assert all(math.isfinite(r["value"]) for r in table.collect())
     episodes = corpus.vectors.select(F.col("document").alias("video_id"), F.lit("2024-01-01").cast("date").alias("date"))
-    shares = episodes.withColumn("prop_offense", (F.col("video_id") * 37 % 11).cast("double"))
+    # planted: the more of the first topic, the more offense
+    first = tp.topic_docs(models[3]).where("topic = 1").select(F.col("document").alias("video_id"), "gamma")
+    shares = episodes.join(first, "video_id").withColumn("prop_offense", 100 * F.col("gamma") + F.col("video_id") * 37 % 11).drop("gamma")
     coefficients, found = topics_and_toxicity(models[3], corpus, episodes, shares, alpha=2.0)
     assert coefficients.count() == 4
+    assert {r["term"]: r["estimate"] for r in coefficients.collect()}["t_1"] > 0
     assert found.count() > 0
 
 
