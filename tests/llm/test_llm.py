@@ -295,3 +295,14 @@ def test_pipeline(spark, folder):
     assert packed.groupby("sequence_id").length.sum().max() <= 2048
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+def test_variants_of_a_number_are_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    tables = {}
+    monkeypatch.setattr(lines, "written", lambda df, label="table": tables.setdefault(label, written(df, label)))
+    numbers = rng.choice(10**8, 2000, replace=False)
+    rows = [(i, f"Entry updated by the nightly job at {n:08d} and closed") for i, n in enumerate(numbers)]
+    found = lines.line_verdicts(spark.createDataFrame(rows, SCHEMA)).where(F.size("removed") > 0).collect()
+    near = sum(1 for i, r in enumerate(rows) if any(sum(x != y for x, y in zip(r[1], s[1])) <= 1 for s in rows[:i]))
+    assert abs(len(found) - near) <= 2 and tables["pairs"].count() < 10 * len(rows)
