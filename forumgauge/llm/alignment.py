@@ -26,7 +26,7 @@ from .common import column_of, slices, written
 
 #: Pairs of the broadcast table at most.
 PAIRS = 1 << 18
-#: Units whose tokens a worker keeps; beyond, it starts afresh.
+#: Units that a worker remembers at most; half of them are given up at a time, unless they were used since.
 UNITS = 300_000
 #: Links of a group that are listed one by one; those of larger groups are counted by their different tokens.
 LISTED = 1 << 14
@@ -69,6 +69,7 @@ class Coders:
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
         self.a_names, self.b_names = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
         self.units: dict[str, tuple | None] = {}
+        self.older: dict[str, tuple | None] = {}
 
     def whole(self, a: list[int], b: list[int], text: str) -> bool:
         raw = text.encode()
@@ -101,10 +102,15 @@ class Coders:
         """What is known of the units of each text behind a blank; none for an empty text, or one whose bytes either tokenizer does not give back."""
         split = [self._cut.split(" " + t) if t else [] for t in texts]
         needed = set().union(*split)
-        new = [u for u in needed if u not in self.units]
-        if len(self.units) + len(new) > UNITS:
-            self.units.clear()
-            new = list(needed)
+        if len(self.units) + len(needed) > UNITS // 2:
+            self.units, self.older = {}, self.units  # units in use come back from the older half
+        new = []
+        for u in needed:
+            if u not in self.units:
+                if u in self.older:
+                    self.units[u] = self.older[u]
+                else:
+                    new.append(u)
         for at in range(0, len(new), 5000):
             self._learn(new[at : at + 5000])
         found = [[self.units[u] for u in units] for units in split]
