@@ -305,4 +305,35 @@ def test_variants_of_a_number_are_few_candidates(spark, monkeypatch):
     rows = [(i, f"Entry updated by the nightly job at {n:08d} and closed") for i, n in enumerate(numbers)]
     found = lines.line_verdicts(spark.createDataFrame(rows, SCHEMA)).where(F.size("removed") > 0).collect()
     near = sum(1 for i, r in enumerate(rows) if any(sum(x != y for x, y in zip(r[1], s[1])) <= 1 for s in rows[:i]))
-    assert abs(len(found) - near) <= 2 and tables["pairs"].count() < 10 * len(rows)
+    assert abs(len(found) - near) <= 2 and tables["pairs"].count() + tables["more"].count() < 10 * len(rows)
+
+
+def test_near_copies_of_a_line_are_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    tables = {}
+    monkeypatch.setattr(lines, "written", lambda df, label="table": tables.setdefault(label, written(df, label)))
+    words = ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(30)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 300):
+        changed = list(words)
+        for at in rng.choice(30, 1 + i % 3, replace=False):
+            changed[at] = changed[at][:3] + "xyz"[i % 3] + str(i % 10) + changed[at][5:]
+        rows.append((i, " ".join(changed)))
+    got = {r.doc_id: list(r.removed) for r in lines.line_verdicts(spark.createDataFrame(rows, SCHEMA), share=lines.SHARE, floor=1).collect()}
+    assert got == {i: [0] if i else [] for i, _ in rows}
+    assert tables["pairs"].count() + tables["more"].count() < 20 * len(rows)
+
+
+def test_marks_never_part_lines_within_the_edits(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(300):
+        a = "".join(rng.choice(list("enairst0123456789 x"), rng.integers(20, 200)))
+        b = list(a)
+        for _ in range(1 + i % 4):
+            at = rng.integers(0, len(b))
+            b[at : at + rng.integers(0, 2)] = list(rng.choice(list("ent059x"), rng.integers(0, 2)))
+        rows.append((a, "".join(b), edit_distance(a, "".join(b))))
+    df = spark.createDataFrame(rows, "a string, b string, d int")
+    df = df.select(lines._marks(F.col("a"), F.col("d")).alias("x"), lines._marks(F.col("b"), F.col("d")).alias("y"))
+    assert df.where(~lines._alike("x", "y")).count() == 0
