@@ -337,3 +337,16 @@ def test_marks_never_part_lines_within_the_edits(spark):
     df = spark.createDataFrame(rows, "a string, b string, d int")
     df = df.select(lines._marks(F.col("a"), F.col("d")).alias("x"), lines._marks(F.col("b"), F.col("d")).alias("y"))
     assert df.where(~lines._alike("x", "y")).count() == 0
+
+
+def test_distance_by_words_is_the_edit_distance(spark):
+    import random
+
+    draw = random.Random(3)
+    words = ["a", "b", "ab", "ba", "", "éa"]
+    line = lambda: " ".join(draw.choice(words) for _ in range(draw.randint(0, 6)))
+    rows = [(line(), line(), draw.randint(0, 6)) for _ in range(1500)] + [("x y", "x z y", 2), ("x y", "x z y", 1), ("", " ", 1), ("a ", "a", 0)]
+    both = spark.createDataFrame([r for r in rows if r[0] != r[1]], "a string, b string, m int")
+    plain = F.expr("levenshtein(a, b, m)") >= 0
+    counts = both.select(plain.alias("plain"), (lines._within(F.col("a"), F.col("b"), F.col("m")) == plain).alias("same")).groupBy("plain", "same").count().collect()
+    assert all(r["same"] for r in counts) and {r["plain"] for r in counts} == {True, False}
