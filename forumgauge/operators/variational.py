@@ -6,9 +6,10 @@ document uphill (Newton steps on the usual lower bound, halved until the documen
 then sets topics and prior means to their best values for these positions. No step can lower the joint
 objective, so it rises from pass to pass.
 
-Where the tables are: documents stand in slices of bounded size, one row each; topics are a table of blocks of
-``BLOCK`` terms, and a slice is sent the blocks its terms lie in. Slices return sums by block, which are added in
-a tree. The driver sees only sums over all documents: one number for each topic and covariate.
+Where the tables are: documents stand in slices of bounded size, one row each, with their positions, and stay
+where they are from pass to pass; topics are a table of blocks of ``BLOCK`` terms. A table of up to ``WHOLE`` blocks
+is joined to every slice; of a larger one a slice is sent the blocks its terms lie in. Sums come back by block and
+are added in a tree. The driver sees only sums over all documents: one number for each topic and covariate.
 """
 
 from __future__ import annotations
@@ -19,17 +20,23 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path, written
+from ..session import cut_lineage, scratch_path, written
 
 #: Stored cells of a slice of documents, terms of a block, and tables that one task adds up.
 SLICE_CELLS = 50_000
 BLOCK = 1024
 FAN = 32
+#: Blocks that are joined to every slice as one table; more are sent by slice.
+WHOLE = 8
+#: Slices in a partition at most, and passes after which documents and positions are written: a lost executor costs no more passes, and plans, which hold those before, stay small.
+TOGETHER = 32
+KEPT = 6
 #: Documents x terms of a slice that are multiplied at once.
-DENSE = 1 << 21
+DENSE = 1 << 18
 #: Variance of positions around their prior mean.
 VARIANCE = 1.0
 #: Random directions onto which word co-occurrence is projected.
@@ -39,6 +46,30 @@ CANDIDATE = 0.25
 _STEP = "kind string, key long, part long, payload binary, sums array<double>"
 
 
+class Counts:
+    """Counts of some documents: the filled cells of documents x terms, and where they stand among those it was cut from."""
+
+    def __init__(self, at: np.ndarray, n: np.ndarray, many: int, terms: int, cells: np.ndarray | None = None):
+        self.at, self.n, self.many, self.terms = at, n, many, terms
+        self.rows = at // max(1, terms)
+        self.cells = np.arange(len(at)) if cells is None else cells
+
+    def per_document(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, values, self.many)
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """Documents x terms with ``values`` in the filled cells."""
+        out = np.zeros(self.many * self.terms)
+        out[self.at] = values
+        return out.reshape(self.many, self.terms)
+
+    def of(self, chosen: np.ndarray) -> Counts:
+        """The counts of the chosen documents alone."""
+        keep, place = chosen[self.rows], np.cumsum(chosen) - 1
+        rows = self.rows[keep]
+        return Counts(self.at[keep] + (place[rows] - rows) * self.terms, self.n[keep], int(chosen.sum()), self.terms, self.cells[keep])
+
+
 def _list_column(rows: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The joined values of an array field, and where each row's begin and the last end."""
     lists = pc.struct_field(rows, [name])
@@ -57,14 +88,16 @@ class Slice:
         self.x = _list_column(docs, "x")[0].reshape(self.many, -1)
 
     def chunks(self):
-        """``first, last`` document and the dense counts of as many documents as fit."""
-        step = max(1, DENSE // max(1, len(self.terms)))
+        """``first, last`` document and the counts of as many documents as fit."""
+        terms = len(self.terms)
+        step = max(1, DENSE // max(1, terms))
         for a in range(0, self.many, step):
             b = min(self.many, a + step)
-            dense = np.zeros((b - a, len(self.terms)))
             cells = slice(self.ends[a], self.ends[b])
-            np.add.at(dense, (np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1])), self.at[cells]), self.n[cells])
-            yield a, b, dense
+            places = np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1])) * terms + self.at[cells]
+            full = np.bincount(places, self.n[cells], (b - a) * terms)
+            at = np.flatnonzero(full)
+            yield a, b, Counts(at, full[at], b - a, terms)
 
     def gathered(self, blocks: pa.Array, width: int) -> np.ndarray:
         """The rows of its terms from blocks of term rows."""
@@ -90,32 +123,34 @@ def softmax(eta: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def uphill(counts: np.ndarray, beta: np.ndarray, eta: np.ndarray, mean: np.ndarray, steps: int):
-    """Positions after ``steps`` steps, their proportions, the mixture's word shares, and each document's objective."""
-    total = counts.sum(axis=1, keepdims=True)
+def uphill(counts: Counts, beta: np.ndarray, eta: np.ndarray, mean: np.ndarray, steps: int):
+    """Positions after ``steps`` steps, their proportions, the mixture's share of each filled cell, and each document's objective."""
+    total = counts.per_document(counts.n)[:, None]
 
-    def judged(eta):
+    def judged(own, eta, mean):
         theta = softmax(eta)
-        share = np.maximum(theta @ beta.T, 1e-300)
-        return theta, share, (counts * np.log(share)).sum(axis=1) - ((eta - mean) ** 2).sum(axis=1) / (2 * VARIANCE)
+        share = np.maximum((theta @ beta.T).ravel()[own.at], 1e-300)
+        return theta, share, own.per_document(own.n * np.log(share)) - ((eta - mean) ** 2).sum(axis=1) / (2 * VARIANCE)
 
-    theta, share, value = judged(eta)
+    eta = eta.copy()
+    theta, share, value = judged(counts, eta, mean)
     for _ in range(steps):
-        gradient = theta * ((counts / share) @ beta) - total * theta - (eta - mean) / VARIANCE
+        gradient = theta * (counts.spread(counts.n / share) @ beta) - total * theta - (eta - mean) / VARIANCE
         inverse = 1 / (total * theta + 1 / VARIANCE)
         # the curvature of the bound is diagonal less one outer product
         u, v = inverse * gradient, inverse * theta
         move = u + v * (total * (theta * u).sum(axis=1, keepdims=True) / np.maximum(1 - total * (theta * v).sum(axis=1, keepdims=True), 1e-12))
+        left, own = np.arange(counts.many), counts
         for _ in range(8):
-            new = judged(eta + move)
-            worse = new[2] < value
-            if not worse.any():
+            tried = eta[left] + move[left]
+            new = judged(own, tried, mean[left])
+            better = new[2] >= value[left]
+            cells = better[own.rows]
+            eta[left[better]], theta[left[better]], share[own.cells[cells]], value[left[better]] = tried[better], new[0][better], new[1][cells], new[2][better]
+            left, own = left[~better], own.of(~better)
+            if not len(left):
                 break
-            move[worse] /= 2
-        better = new[2] >= value
-        eta = np.where(better[:, None], eta + move, eta)
-        theta, share = np.where(better[:, None], new[0], theta), np.where(better[:, None], new[1], share)
-        value = np.where(better, new[2], value)
+            move[left] /= 2
     return eta, theta, share, value
 
 
@@ -185,8 +220,13 @@ def _stage(df: DataFrame) -> tuple[dict[str, DataFrame], np.ndarray]:
     df.write.partitionBy("kind").parquet(path)
     kept = df.sparkSession.read.schema(_STEP).parquet(path)
     tables = {kind: kept.where(F.col("kind") == kind) for kind in ("block", "eta", "sums")}
-    per_place = tables["sums"].select(F.posexplode("sums").alias("at", "s")).groupBy("at").agg(F.sum("s").alias("s")).collect()
-    return tables, np.array([r["s"] for r in sorted(per_place)])
+    return tables, _totals(kept)
+
+
+def _totals(parts: DataFrame) -> np.ndarray:
+    """The sums over all slices."""
+    sums = parts.where(F.col("kind") == "sums").select(F.posexplode("sums").alias("at", "s"))
+    return np.array([r["s"] for r in sorted(sums.groupBy("at").agg(F.sum("s").alias("s")).collect())])
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
@@ -213,7 +253,8 @@ def cooccurrence(slices: DataFrame, many: int) -> DataFrame:
             for docs, part in zip(batch.column("docs"), batch.column("slice").to_pylist()):
                 own = Slice(docs.values)
                 signs, out = directions(own.terms), np.zeros((len(own.terms), DIRECTIONS + 1))
-                for _, _, dense in own.chunks():
+                for _, _, counts in own.chunks():
+                    dense = counts.spread(counts.n)
                     total = dense.sum(axis=1)
                     use = total > 1
                     dense, total = dense[use], total[use]
@@ -222,7 +263,7 @@ def cooccurrence(slices: DataFrame, many: int) -> DataFrame:
                     out[:, 1:] += pairs.T @ (dense @ signs) - pairs.sum(axis=0)[:, None] * signs
                 yield _rows([("block", key, part, payload, None) for key, payload in own.by_block(out)])
 
-    return written(added(slices.select("slice", "docs").mapInArrow(work, _STEP), DIRECTIONS + 1, many), "cooccurrence")
+    return written(added(_dealt(slices.select("slice", "docs"), many).mapInArrow(work, _STEP), DIRECTIONS + 1, many), "cooccurrence")
 
 
 def farthest(rows: np.ndarray, many: int) -> list[int]:
@@ -382,7 +423,8 @@ class Fit:
     def infer(self, vectors: DataFrame, steps: int = 30) -> DataFrame:
         """``K, document, topic, gamma`` of any documents, for all models in one scan of them; the prior mean is that of an average document."""
         slices = packed(vectors)
-        rows = slices.join(_sent(needed_blocks(slices), self.blocks), "slice")
+        many = (slices.agg(F.max("slice")).head()[0] or 0) + 1
+        rows = _met(_dealt(slices, many), needed_blocks(slices), self.blocks, _small(self.blocks))
         ks, width, at = self.ks, self.width, self.places
         means = {k: self.effects[k][0] for k in ks}
 
@@ -391,11 +433,11 @@ class Fit:
                 for part, docs, blocks in zip(batch.column("slice").to_pylist(), batch.column("docs"), batch.column("blocks")):
                     own, eta = Slice(docs.values), []
                     beta = own.gathered(blocks, width)
-                    for _, _, dense in own.chunks():
+                    for _, _, counts in own.chunks():
                         parts = []
                         for k in ks:
-                            mean = np.repeat(means[k][None, :], len(dense), axis=0)
-                            parts.append(uphill(dense, beta[:, at[k] : at[k] + k], mean.copy(), mean, steps)[0])
+                            mean = np.repeat(means[k][None, :], counts.many, axis=0)
+                            parts.append(uphill(counts, beta[:, at[k] : at[k] + k], mean, mean, steps)[0])
                         eta.append(np.concatenate(parts, axis=1))
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.concatenate(eta).tobytes()], pa.binary())], ["slice", "eta"])
 
@@ -403,8 +445,23 @@ class Fit:
         return self._proportions(slices.join(found, "slice"))
 
 
-def _sent(needed: DataFrame, blocks: DataFrame) -> DataFrame:
-    return needed.join(blocks, "key").groupBy("slice").agg(F.collect_list(F.struct("key", "payload")).alias("blocks"))
+def _dealt(slices: DataFrame, many: int) -> DataFrame:
+    """Slices in as many partitions as the session has for shuffles: the work is in fitting, not in the bytes by which partitions are merged."""
+    usual = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return slices.repartition(max(1, min(many, usual), -(-many // TOGETHER)))
+
+
+def _small(blocks: DataFrame) -> bool:
+    return blocks.select("key").limit(WHOLE + 1).count() <= WHOLE
+
+
+def _met(rows: DataFrame, needed: DataFrame, blocks: DataFrame, whole: bool) -> DataFrame:
+    """``rows``, which have a column ``slice``, with the blocks of topics: a small table whole, so that rows stay where they are."""
+    listed = F.collect_list(F.struct("key", "payload")).alias("blocks")
+    if whole:
+        # one row, read by each task; without an exchange, plans of passes kept on one another stay small
+        return rows.crossJoin(written(blocks.agg(listed), "topics").coalesce(1).hint("shuffle_replicate_nl"))
+    return rows.join(needed.join(blocks, "key").groupBy("slice").agg(listed), "slice")
 
 
 def fit(
@@ -426,47 +483,72 @@ def fit(
     width = sum(ks)
     at = np.concatenate(([0], np.cumsum(ks))).astype(int)
     tables, sums = _stage(spectral_start(slices, many, ks))
-    blocks = added(tables["block"], width, 2, sums[:width] if len(sums) else np.ones(width))
-    eta, prior = None, np.zeros((p, width))
+    blocks = written(added(tables["block"], width, 2, sums[:width] if len(sums) else np.ones(width)), "topics")
+    prior, whole = np.zeros((p, width)), _small(blocks)
     bounds: dict[int, list[float]] = {k: [] for k in ks}
 
+    schema = f"{_STEP}, docs {slices.schema['docs'].dataType.simpleString()}"
+
     def one_pass(prior):
         def work(batches):
+            # sums of the blocks that all slices of a task share, up to what the whole table may hold
+            held, first = {}, None
             for batch in batches:
-                for part, docs, blocks, held in zip(*(batch.column(c) for c in ("slice", "docs", "blocks", "eta"))):
+                for row, (part, docs, blocks, before) in enumerate(zip(*(batch.column(c) for c in ("slice", "docs", "blocks", "eta")))):
                     own = Slice(docs.values)
                     beta, mean = own.gathered(blocks, width), own.x @ prior
-                    eta = np.frombuffer(held.as_buffer(), float).reshape(-1, width).copy() if held.is_valid else mean.copy()
+                    eta = np.frombuffer(before.as_buffer(), float).reshape(-1, width).copy() if before.is_valid else mean.copy()
                     stats, value = np.zeros_like(beta), np.zeros(len(ks))
-                    for a, b, dense in own.chunks():
+                    for a, b, counts in own.chunks():
                         for m in range(len(ks)):
                             cols = slice(at[m], at[m + 1])
-                            eta[a:b, cols], theta, share, worth = uphill(dense, beta[:, cols], eta[a:b, cols], mean[a:b, cols], steps)
-                            stats[:, cols] += beta[:, cols] * ((dense / share).T @ theta)
+                            eta[a:b, cols], theta, share, worth = uphill(counts, beta[:, cols], eta[a:b, cols], mean[a:b, cols], steps)
+                            stats[:, cols] += beta[:, cols] * (counts.spread(counts.n / share).T @ theta)
                             value[m] += worth.sum()
                     sums = np.concatenate([stats.sum(axis=0), value, (own.x.T @ own.x).ravel(), (own.x.T @ eta).ravel()])
                     part = part.as_py()
-                    found = [("eta", part, part, eta.tobytes(), None), ("sums", part, part, None, sums.tolist())]
-                    yield _rows(found + [("block", key, part, payload, None) for key, payload in own.by_block(stats)])
+                    first = part if first is None else first
+                    yield with_docs([("eta", part, part, eta.tobytes(), None)], batch.column("docs").slice(row, 1))
+                    found = [("sums", part, part, None, sums.tolist())]
+                    for key, payload in own.by_block(stats):
+                        if key in held or len(held) < WHOLE:
+                            held[key] = held.get(key, 0) + np.frombuffer(payload)
+                        else:
+                            found.append(("block", key, part, payload, None))
+                    yield with_docs(found, pa.nulls(len(found), batch.column("docs").type))
+            if held:
+                found = [("block", key, first, total.tobytes(), None) for key, total in held.items()]
+                yield with_docs(found, pa.nulls(len(found), batch.column("docs").type))
 
         return work
 
-    for _ in range(max_iter):
-        rows = slices.join(_sent(needed, blocks), "slice")
-        rows = rows.join(eta, "slice", "left") if eta is not None else rows.withColumn("eta", F.lit(None).cast("binary"))
-        rows = rows.select(F.col("slice").cast("long").alias("slice"), "docs", "blocks", "eta")
-        tables, sums = _stage(rows.mapInArrow(one_pass(prior), _STEP))
+    def with_docs(found, docs):
+        rows = _rows(found)
+        return pa.RecordBatch.from_arrays([*rows.columns, docs], [*rows.schema.names, "docs"])
+
+    state, kept = _dealt(slices.select(F.col("slice").cast("long").alias("slice"), "docs", F.lit(None).cast("binary").alias("eta")), many), None
+    for passes in range(max_iter):
+        # documents and positions stay in the executors, in memory or on their disks; only sums by block are shuffled
+        step = _met(state, needed, blocks, whole).select("slice", "docs", "blocks", "eta").mapInArrow(one_pass(prior), schema).persist(StorageLevel.MEMORY_AND_DISK)
+        sums = _totals(step)
+        state = step.where(F.col("kind") == "eta").select(F.col("key").alias("slice"), "docs", F.col("payload").alias("eta"))
+        if not whole or passes % KEPT == KEPT - 1:
+            state = cut_lineage(state)
+        if kept is not None:
+            kept.unpersist()
+        kept = step
         if not len(sums):
             break
         for m, k in enumerate(ks):
             bounds[k].append(float(sums[width + m]))
         rest = sums[width + len(ks) :]
         prior = np.linalg.lstsq(rest[: p * p].reshape(p, p), rest[p * p :].reshape(p, width), rcond=None)[0]
-        blocks = added(tables["block"], width, max(many, 2), sums[:width])
-        eta = tables["eta"].select(F.col("key").alias("slice"), F.col("payload").alias("eta"))
+        blocks = added(step.where(F.col("kind") == "block"), width, max(many, 2), sums[:width])
+        blocks = blocks if whole else written(blocks, "topics")
         if all(len(b) > 1 and b[-1] - b[-2] <= tolerance * abs(b[-2]) for b in bounds.values()):
             break
     blocks = written(blocks, "topics")
-    if eta is None:
-        eta = vectors.sparkSession.createDataFrame([], "slice long, eta binary")
+    eta = written(state.where(F.col("eta").isNotNull()).select("slice", "eta"), "eta")
+    if kept is not None:
+        kept.unpersist()
     return Fit(ks, slices, blocks, eta, bounds, {k: prior[:, a : a + k] for k, a in zip(ks, at)}, kind)

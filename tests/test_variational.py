@@ -135,3 +135,17 @@ def test_small_and_odd_corpora(spark):
     assert len(docs) == 6 and all(r["s"] == pytest.approx(1) for r in docs)
     none = tp.fit_topics(one.limit(0), (2,), max_iter=5)
     assert none[2].bounds == [] and tp.every_topic_docs(none).count() == 0
+
+
+def test_passes_leave_documents_where_they_are(spark, corpus, monkeypatch):
+    """Only the start is written by slice; a pass writes topics, and sums of a partition's slices come as one table for each block."""
+    _, vectors, _ = corpus
+    staged, parts = [], []
+    stage, added = va._stage, va.added
+    monkeypatch.setattr(va, "_stage", lambda df: staged.append(df) or stage(df))
+    monkeypatch.setattr(va, "added", lambda df, *more: parts.append(df.count()) or added(df, *more))
+    monkeypatch.setattr(va, "SLICE_CELLS", 400)
+    fit = va.fit(vectors, (K,), max_iter=3)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert fit.slices.count() > usual and len(staged) == 1
+    assert all(n <= max(usual, -(-fit.slices.count() // va.TOGETHER)) for n in parts[2:])
