@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,9 @@ from .common import column_of, slices, written
 #: Pairs of the broadcast table at most.
 PAIRS = 1 << 18
 #: Units that a worker remembers at most; half of them are given up at a time, unless they were used since.
-UNITS = 300_000
+UNITS = 600_000
+#: New units that are aligned at once, and how many of them are encoded as one text.
+LOT, TOGETHER = 20_000, 64
 #: Links of a group that are listed one by one; those of larger groups are counted by their different tokens.
 LISTED = 1 << 14
 _coders: dict[tuple[str, str], Coders] = {}
@@ -40,12 +43,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class Known:
+    """What was found for units, by number: the groups' names, and in arrays the figures and the links of all behind each other."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        #: Tokens of A and B, and groups; -1 for a unit whose bytes a tokenizer does not give back.
+        self.figures = np.zeros((0, 3), np.int32)
+        self.ends, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, units: list[str], names: list[str], figures: np.ndarray, ends: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.number.update(zip(units, range(len(self.names), len(self.names) + len(units))))
+        self.names += names
+        self.figures = np.concatenate((self.figures, figures.astype(np.int32)))
+        self.ends = np.concatenate((self.ends, ends + self.ends[-1]))
+        self.pairs, self.times = np.concatenate((self.pairs, pairs)), np.concatenate((self.times, times))
+
+    def links(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs and times of the chosen units in their order, and where each unit's end."""
+        first = self.ends[chosen]
+        size = self.ends[chosen + 1] - first
+        upto = np.cumsum(size)
+        place = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first - upto + size, size)
+        return self.pairs[place], self.times[place], upto
+
+    def take(self, other: Known, units: list[str]) -> None:
+        """Add what another one has of these units."""
+        chosen = np.array([other.number[u] for u in units], np.int64)
+        pairs, times, ends = other.links(chosen)
+        self.add(units, [other.names[i] for i in chosen.tolist()], other.figures[chosen], ends, pairs, times)
+
+
 class Coders:
     """Two tokenizers: a byte-level BPE file of the tokenizers library (A) and a sentencepiece model (B) that marks blanks.
 
     Neither joins a visible character with a blank behind it, so a text is the sum of its units (a blank
     and what follows up to the next single blank), and a group never crosses from one to the next. Units met for the first time
-    are aligned, many behind each other; what was found is remembered.
+    are aligned, many behind each other; what was found is remembered. For the same reason many units are encoded as one text, which
+    spares most of what a call costs; if its bytes do not come back, its units are encoded in smaller lots, and in the end alone.
     """
 
     _cut = re.compile(r"(?<=\S)(?= \S)")
@@ -68,53 +104,80 @@ class Coders:
         self.a_sizes = np.array([len(x) for x in self.a_bytes])
         self.b_sizes = np.array([len(x) for x in self.b_bytes])
         self.a_names, self.b_names = [str(i) for i in range(len(self.a_bytes))], [str(i) for i in range(len(self.b_bytes))]
-        self.units: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
+        self.known, self.older = Known(), Known()
 
     def whole(self, a: list[int], b: list[int], text: str) -> bool:
         raw = text.encode()
         return b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
 
-    def _learn(self, new: list[str]) -> None:
+    def _encoded(self, new: list[str], together: int) -> tuple[list[str], list[int], list[int], list[str]]:
+        """Units whose bytes both give back, in some order, the ids of A and of B for all of them, and the other units."""
+        inner = [u for u in new if not (u[1:2].isspace() or u[-1].isspace())]  # these can stand behind each other
+        lots = [inner[at : at + together] for at in range(0, len(inner), together)] + [[u] for u in new if u[1:2].isspace() or u[-1].isspace()]
+        order, ids_a, ids_b, failed = [], [], [], []
+        while lots:
+            joined, again = ["".join(lot) for lot in lots], []
+            first = self.a.encode_batch_fast(joined, add_special_tokens=False)
+            second = self.b.encode([j[1:] for j in joined], num_threads=1)
+            for lot, text, a, b in zip(lots, joined, (e.ids for e in first), second):
+                if self.whole(a, b, text):
+                    order += lot
+                    ids_a += a
+                    ids_b += b
+                elif len(lot) == 1:
+                    failed += lot
+                else:
+                    size = max(1, len(lot) // 8)
+                    again += [lot[at : at + size] for at in range(0, len(lot), size)]
+            lots = again
+        return order, ids_a, ids_b, failed
+
+    def _learn(self, new: list[str], together: int | None = None) -> None:
         """Encode units and align them together, as one pair of long arrays of ends; a unit begins and ends with a group."""
-        first = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
-        second = self.b.encode([u[1:] for u in new], num_threads=1)
-        kept = []
-        for u, a, b in zip(new, first, second):
-            if self.whole(a, b, u):
-                kept.append((u, a, b))
-            else:
-                self.units[u] = None
-        ids_a, ids_b = (np.array([i for k in kept for i in k[side]], np.int64) for side in (1, 2))
-        upto_a, upto_b = meet(np.cumsum(self.a_sizes[ids_a]).tolist(), np.cumsum(self.b_sizes[ids_b]).tolist())
+        order, ids_a, ids_b, failed = self._encoded(new, together or TOGETHER)
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends = np.cumsum([len(u.encode()) for u in order], dtype=np.int64)
+        ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        if (ends_a[last_a] != ends).any() or (ends_b[last_b] != ends).any():  # a token goes on beyond its unit
+            if together == 1:
+                raise ValueError("tokens of a unit do not end with it")
+            return self._learn(new, 1)
+        upto_a, upto_b = meet(ends_a.tolist(), ends_b.tolist())
         names = _named(self, ids_a, ids_b, upto_a, upto_b)
         upto_a, upto_b = np.array(upto_a, np.int64), np.array(upto_b, np.int64)
         pairs, times, upto_link = linked(ids_a, ids_b, upto_a, upto_b)
-        last = np.searchsorted(upto_a, np.cumsum([len(k[1]) for k in kept])) + 1  # behind a unit's last group
-        at_link = np.concatenate(([0], upto_link))
-        before = 0
-        for (u, a, b), behind in zip(kept, last.tolist()):
-            links = slice(at_link[before], at_link[behind])
-            self.units[u] = (len(a), len(b), behind - before, ";".join(names[before:behind]), pairs[links].tobytes(), times[links].tobytes())
-            before = behind
-
-    def aligned(self, texts: list[str]) -> list[list[tuple] | None]:
-        """What is known of the units of each text behind a blank; none for an empty text, or one whose bytes either tokenizer does not give back."""
+        last = np.searchsorted(upto_a, last_a + 1) + 1  # behind a unit's last group
+        figures = np.diff(np.stack([last_a + 1, last_b + 1, last], axis=1), axis=0, prepend=np.zeros((1, 3), np.int64))
+        cuts = [0, *last.tolist()]
+        self.known.add(order, [";".join(names[i:j]) for i, j in zip(cuts, cuts[1:])], figures, np.concatenate(([0], upto_link))[last], pairs, times)
+        none = np.zeros(0, np.int64)
+        self.known.add(failed, [""] * len(failed), np.full((len(failed), 3), -1), np.zeros(len(failed), np.int64), none, none)
+
+    def aligned(self, texts: list[str]) -> Iterator[tuple | None]:
+        """For each text behind a blank ``n_a, n_b, n_groups``, the names of its groups by unit, and its links with their times.
+
+        None for an empty text, or one whose bytes either tokenizer does not give back.
+        """
         split = [self._cut.split(" " + t) if t else [] for t in texts]
         needed = set().union(*split)
-        if len(self.units) + len(needed) > UNITS // 2:
-            self.units, self.older = {}, self.units  # units in use come back from the older half
-        new = []
-        for u in needed:
-            if u not in self.units:
-                if u in self.older:
-                    self.units[u] = self.older[u]
-                else:
-                    new.append(u)
-        for at in range(0, len(new), 5000):
-            self._learn(new[at : at + 5000])
-        found = [[self.units[u] for u in units] for units in split]
-        return [None if not f or None in f else f for f in found]
+        if len(self.known.names) + len(needed) > UNITS // 2:
+            self.known, self.older = Known(), self.known  # units in use come back from the older half
+        known = self.known.number
+        new = [u for u in needed if u not in known]
+        self.known.take(self.older, [u for u in new if u in self.older.number])
+        new = [u for u in new if u not in known]
+        for at in range(0, len(new), LOT):
+            self._learn(new[at : at + LOT])
+        names = self.known.names
+        for units in split:
+            chosen = [known[u] for u in units]
+            at = np.array(chosen, np.int64)
+            figures = self.known.figures[at]
+            if not units or (figures[:, 0] < 0).any():
+                yield None
+            else:
+                yield *figures.sum(axis=0, dtype=np.int64).tolist(), [names[i] for i in chosen], *self.known.links(at)[:2]
 
 
 def coders(byte_path: str, piece_path: str) -> Coders:
@@ -220,18 +283,17 @@ def aligned(
         machine = coders(byte_path, piece_path)
         for part in slices(batches, limit=1 << 20):
             rows, a, b, times, ends = [], [], [], [], [0]
-            for units in machine.aligned([t or "" for t in column_of(part, "text").to_pylist()]):
-                if units is None:
+            for found in machine.aligned([t or "" for t in column_of(part, "text").to_pylist()]):
+                if found is None:
                     rows.append((0, 0, 0, 0, ""))
                     ends.append(ends[-1])
                     continue
-                n_a, n_b, n_groups, names, pairs, many = zip(*units)
+                n_a, n_b, n_groups, names, pairs, many = found
                 names = ";".join(names)
                 names = hashlib.sha256(names.encode()).hexdigest() if digest else names
-                many = np.frombuffer(b"".join(many), np.int64)
-                rows.append((sum(n_a), sum(n_b), sum(n_groups), int(many.sum()), names))
+                rows.append((n_a, n_b, n_groups, int(many.sum()), names))
                 if links:
-                    pairs, place = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_inverse=True)
+                    pairs, place = np.unique(pairs, return_inverse=True)
                     a.append((pairs >> 32).astype(np.int32))
                     b.append((pairs & 0xFFFFFFFF).astype(np.int32))
                     times.append(np.bincount(place, many, len(pairs)).astype(np.int64))

@@ -101,6 +101,36 @@ def test_scores(spark, monkeypatch, most):
     assert alignment.alignment_scores(df.limit(0), *PATHS).count() == 0
 
 
+@pytest.mark.parametrize("units", [600_000, 50, 0])
+def test_units_are_encoded_together(monkeypatch, units):
+    monkeypatch.setattr(alignment, "UNITS", units)
+    machine = alignment.Coders(*PATHS)
+    sent = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    machine.a = Counted(machine.a)
+    texts = [" ".join(f"w{i}x{k}" for i in range(100)) for k in range(20)]
+    found = [(f[0], f[1], f[2], ";".join(f[3])) for f in machine.aligned(texts)]
+    assert 0 < len(sent) <= 2000 / 32  # 2,000 different units
+    rows = plain(list(enumerate(texts)))
+    assert found == [(r[1], r[2], r[3], r[5]) for r in sorted(rows)]
+    # a unit that does not come back is found among many, and takes no other with it; what is known is used again
+    del sent[:]
+    mixed = [*texts[:2], texts[2] + " x▁y", *HARD, texts[19]]
+    rows = {r[0]: r for r in plain(list(enumerate(mixed)))}
+    for again in range(2):
+        for i, f in enumerate(machine.aligned([t or "" for t in mixed])):
+            assert (rows[i][1:4], rows[i][5]) == ((f[0], f[1], f[2]), ";".join(f[3])) if f else rows[i][1:] == (0, 0, 0, 0, "", 0, 0)
+    assert not machine.older.names or units < 600_000
+
+
 def test_whole_table(spark, folder):
     from forumgauge.llm import queries
 
