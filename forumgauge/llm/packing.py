@@ -27,7 +27,7 @@ CAPACITY = 2048
 SALTS = 256
 #: Fillings looked at around one largest length before the best so far is taken.
 FILLINGS = 4000
-#: Units whose ids a worker keeps; beyond, it starts afresh.
+#: Units whose ids a task keeps; beyond, it starts afresh.
 UNITS = 800_000
 _encoders: dict[str, Encoder] = {}
 
@@ -112,24 +112,27 @@ def pieces(
     def work(batches):
         machine = encoder(tokenizer, ranks, pattern)
         end = np.array([end_id], "<u4").tobytes()
-        for part in slices(batches):
-            encoded = machine.encode([t or "" for t in column_of(part, "text").to_pylist()])
-            row, found, held = [], [], []
-            for i, ids in enumerate(encoded):
-                ids += end
-                for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    row.append(i)
-                    found.append((k, start, length, zlib.crc32(own)))
-                    if with_ids:
-                        held.append(np.frombuffer(own, "<u4").astype(np.int32))
-            values = np.array(found, np.int64).reshape(-1, 4)
-            out = [column_of(part, "id").take(pa.array(row, pa.int64())), pa.array(values[:, 0].astype(np.int32))]
-            out += [pa.array(np.ascontiguousarray(values[:, k])) for k in (1, 2, 3)]
-            names = ["id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                out.append(pa.array(held, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, names + ["ids"] * with_ids)
+        try:
+            for part in slices(batches):
+                encoded = machine.encode([t or "" for t in column_of(part, "text").to_pylist()])
+                row, found, held = [], [], []
+                for i, ids in enumerate(encoded):
+                    ids += end
+                    for k, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
+                        own = ids[4 * start : 4 * (start + length)]
+                        row.append(i)
+                        found.append((k, start, length, zlib.crc32(own)))
+                        if with_ids:
+                            held.append(np.frombuffer(own, "<u4").astype(np.int32))
+                values = np.array(found, np.int64).reshape(-1, 4)
+                out = [column_of(part, "id").take(pa.array(row, pa.int64())), pa.array(values[:, 0].astype(np.int32))]
+                out += [pa.array(np.ascontiguousarray(values[:, k])) for k in (1, 2, 3)]
+                names = ["id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    out.append(pa.array(held, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, names + ["ids"] * with_ids)
+        finally:
+            machine.units.clear()  # the worker goes on with other tasks, also of other operators, beside the executor's memory
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -20,6 +20,8 @@ from .common import column_of, slices, span_hashes, utf8, word_spans
 #: Positive and unlabelled documents that are fitted, at most so many of each.
 SAMPLE = 20_000
 BINS = 24
+#: Bytes of text whose figures are made at once: a worker holds some dozen numbers for each, and keeps its tables of powers.
+AT_ONCE = 1 << 17
 THRESHOLD = 0.3
 _CLASS = np.zeros(256, np.uint8)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\v\f", b"\n", b".,;:?'\"()-", b"!"), 1):
@@ -89,6 +91,13 @@ def figures(texts: pa.Array) -> np.ndarray:
     return out
 
 
+def figures_by_slice(texts: pa.Array) -> np.ndarray:
+    """Figures of any number of texts, in memory for ``AT_ONCE`` bytes of them."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    found = [figures(column_of(part, "text")) for part in slices([batch], limit=AT_ONCE)]
+    return np.concatenate(found) if found else np.zeros((0, len(FIGURES)))
+
+
 class Model:
     """Weights of the bins of every figure."""
 
@@ -163,9 +172,7 @@ def scores(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        found = [model.score(figures(column_of(part, "text"))) for part in slices([batch])]
-        return pa.array(np.concatenate(found) if found else np.zeros(0))
+        return pa.array(model.score(figures_by_slice(texts)))
 
     return score(text)
 
@@ -178,9 +185,7 @@ def training_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, s
 
     @F.arrow_udf("array<double>")
     def rows(texts: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        found = [figures(column_of(part, "text")) for part in slices([batch])]
-        return pa.array(list(np.concatenate(found)) if found else [], pa.list_(pa.float64()))
+        return pa.array(list(figures_by_slice(texts)), pa.list_(pa.float64()))
 
     found = [r[1] for r in sorted(held.select("id", rows("text").alias("f")).collect())]  # at most `sample` rows
     return np.array(found).reshape(-1, len(FIGURES))
