@@ -350,3 +350,35 @@ def test_distance_by_words_is_the_edit_distance(spark):
     plain = F.expr("levenshtein(a, b, m)") >= 0
     counts = both.select(plain.alias("plain"), (lines._within(F.col("a"), F.col("b"), F.col("m")) == plain).alias("same")).groupBy("plain", "same").count().collect()
     assert all(r["same"] for r in counts) and {r["plain"] for r in counts} == {True, False}
+
+
+def test_quality_figures_in_small_slices(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([None, "", "A few words.\nand a line! " * 40, *[f"number {i} " * 60 for i in range(600)]])
+    whole, held, plain = quality.figures(texts), [], quality.figures
+    monkeypatch.setattr(quality, "figures", lambda part: held.append(sum(len(t or "") for t in part.to_pylist())) or plain(part))
+    assert (quality.figures_by_slice(texts) == whole).all()
+    assert max(held) <= 1 << 17 and len(held) > 2
+    assert quality.figures_by_slice(texts.slice(0, 0)).shape == (0, len(quality.FIGURES))
+
+
+def test_packing_leaves_no_units_in_workers(spark):
+    from pyspark.sql import functions as F
+
+    from forumgauge.llm.queries import packing_options
+
+    docs = spark.createDataFrame([(i, f"some words {i} x{i}y") for i in range(40)], "doc_id long, text string").repartition(8)
+    assert packing.pieces(docs, **packing_options()).count() == 40
+    held = F.udf(lambda i: sum(len(e.units) for e in packing._encoders.values()) + 1, "long")
+    assert spark.range(8).repartition(8, "id").select(held("id").alias("n")).agg(F.max("n")).head()[0] == 1
+
+
+def test_keys_of_lines_go_to_the_later_comparison_once(spark):
+    hits = spark.createDataFrame([(k, h, 0) for k in (1, 2) for h in (10, 11, 12, 13) if (k, h) != (2, 13)], "key long, h long, marks long")
+    found = spark.createDataFrame([(10, 0, [1, 2]), (11, 0, [1, 2]), (12, 0, [1]), (13, 0, [1])], "h long, marks long, index array<long>")
+    settled = spark.createDataFrame([(11,), (12,)], "h long")
+    pairs = lines._near(hits, found, settled)
+    assert {tuple(r) for r in pairs.collect()} == {(10, 11), (10, 12), (10, 13), (11, 13), (12, 13)}  # but for 11 and 12
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(index") == 1
