@@ -178,10 +178,15 @@ class Tables:
         return self.term_counts.groupBy(F.col("source").alias("document"), "term").agg(F.sum("n").alias("n"))
 
     @cached_property
-    def document_terms(self) -> DataFrame:
-        """Document-term table of single documents."""
+    def document_counts(self) -> DataFrame:
+        """Document-term table of single documents, for a plan that reads it once and may drop terms before they are counted."""
         words = tokenize_words(self.texts("documents").select(F.col("doc_id").alias("document"), "text"), output="term")
-        return written(doc_term_counts(words), "document-terms")
+        return doc_term_counts(words)
+
+    @cached_property
+    def document_terms(self) -> DataFrame:
+        """The same table, written."""
+        return written(self.document_counts, "document-terms")
 
     @cached_property
     def subtitle_terms(self) -> DataFrame:

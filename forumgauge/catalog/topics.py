@@ -89,7 +89,7 @@ SELECT p.topic, round(sum(ln((coalesce(dij.n, 0) + 1)::DOUBLE / dj.n)), 6) AS se
 FROM p JOIN dj ON dj.topic = p.topic AND dj.term = p.tj LEFT JOIN dij ON dij.topic = p.topic AND dij.ti = p.ti AND dij.tj = p.tj GROUP BY p.topic""",
        "beta document_terms")
 def _(t):
-    return rounded(op.semantic_coherence(t.beta, t.document_terms), "semantic_coherence")
+    return rounded(op.semantic_coherence(t.beta, t.document_counts), "semantic_coherence")
 
 
 @query("exclusivity", """
@@ -409,13 +409,13 @@ ex AS (SELECT "K", topic, sum(1 / (0.7 / fe + 0.3 / fb)) AS e FROM r WHERE rn <=
 SELECT coh."K", coh.topic, round(c, 6) AS semantic_coherence, round(e, 6) AS exclusivity FROM coh JOIN ex ON coh."K" = ex."K" AND coh.topic = ex.topic""",
        "source_terms document_terms")
 def _(t):
-    counts, per_k = t.source_terms, {}
+    counts, per_k = written(t.source_terms, "source-terms"), {}
     for k in op.TOPIC_NUMBERS:
-        topic = F.substring("document", 4, 10).cast("int") % k + 1
-        own = counts.groupBy(topic.alias("topic"), "term").agg(F.sum("n").cast("double").alias("n"))
-        totals = own.groupBy("topic").agg(F.sum("n").alias("total"))
+        topic = (F.substring("document", 4, 10).cast("int") % k + 1).alias("topic")
+        own = counts.groupBy(topic, "term").agg(F.sum("n").cast("double").alias("n"))
+        totals = counts.groupBy(topic).agg(F.sum("n").cast("double").alias("total"))
         per_k[k] = own.join(totals, "topic").select("topic", "term", (F.col("n") / F.col("total")).alias("beta"))
-    return rounded(op.coherence_vs_exclusivity(per_k, t.document_terms), "semantic_coherence", "exclusivity")
+    return rounded(op.coherence_vs_exclusivity(per_k, t.document_counts), "semantic_coherence", "exclusivity")
 
 
 def _comment_corpus(t):

@@ -13,10 +13,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import attach, first_rows, single
+from ..functions.keys import first_rows, join_null_safe, single
 from ..session import written
 from . import variational
 from .reshape import pivot_longer
@@ -93,24 +93,55 @@ def top_terms(beta: DataFrame, n: int = 10, output: str = "terms") -> DataFrame:
 
 
 def _leading(beta: DataFrame, m: int) -> DataFrame:
-    """Exactly ``m`` terms per topic with their rank from 1."""
-    return first_rows(beta, ["topic"], [F.desc("beta"), F.col("term")], m, "rank")
+    """Exactly ``m`` terms per topic with their rank from 1.
+
+    Terms are dealt to more parts than there are places; the ``m``-th of a topic's best of each part is no better than its
+    ``m``-th term, so only the few rows that reach it are sorted.
+    """
+    parts = beta.groupBy("topic", F.pmod(F.xxhash64("term"), F.lit(16 * m)).alias("part")).agg(F.max("beta").alias("top"))
+    cut = parts.groupBy("topic").agg(F.get(F.sort_array(F.collect_list("top"), asc=False), m - 1).alias("__cut"))
+    near = join_null_safe(beta, written(cut, "cuts"), ["topic"], "inner")
+    near = near.where(F.col("__cut").isNull() | (F.col("beta") >= F.col("__cut"))).drop("__cut")
+    return first_rows(near, ["topic"], [F.desc("beta"), F.col("term")], m, "rank")
 
 
 def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataFrame:
     """Sum over pairs of leading terms of ln((documents with both + 1) / documents with
     the more probable one), per topic.
 
-    Each document contributes one bit mask (several beyond 62 terms) of the leading terms
-    it contains. Documents with the same mask are counted together, and pairs are read off
-    the masks, so no pairs are formed per document.
+    Each document contributes one row of bits, one for each term that leads any topic (several words beyond 62 terms).
+    The bit mask of a topic's leading terms is read off that row where it stands; documents with the same mask
+    are counted together, and pairs are read off the masks, so neither topics nor pairs multiply what is shuffled.
     """
-    leading = written(_leading(beta, m).select("topic", "term", "rank"), "leading")
-    at = F.col("rank") - 1
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at % MASK)
-    words = [F.bit_or(F.when(F.floor(at / MASK) == w, bit).otherwise(0)).alias(f"w{w}") for w in range(-(-m // MASK))]
-    present = counts.join(leading, "term").groupBy("document", "topic").agg(*words)
-    masks = present.groupBy("topic", F.array(*[f"w{w}" for w in range(len(words))]).alias("mask")).agg(F.count("*").alias("n"))
+    return _coherence(written(_leading(beta, m).select("topic", "term", "rank"), "leading"), counts, m)
+
+
+def _coherence(leading: DataFrame, counts: DataFrame, m: int) -> DataFrame:
+    """``semantic_coherence`` of ``leading`` terms (``topic, term, rank``)."""
+    # at most m terms per topic, so one task numbers them
+    terms = leading.where(F.col("term").isNotNull()).select("term").distinct()
+    places = written(terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place")), "places")
+    where = [F.floor(F.col("place") / MASK).cast("int"), (F.col("place") % MASK).cast("int")]
+    lists = F.sort_array(F.collect_list(F.struct("rank", where[0].alias("word"), where[1].alias("bit"))))
+    each = written(leading.join(places, "term", "left").groupBy("topic").agg(lists["word"].alias("word"), lists["bit"].alias("bit")), "places")
+    wide = range(max(1, -(-places.count() // MASK)))
+    # other terms are dropped before the counts are shuffled, if they are not counted yet
+    cells = counts.select("document", "term").join(places.select("term"), "term", "left_semi").join(places, "term").select("document", where[0].alias("word"), where[1].alias("bit"))
+    # cells of a document come from everywhere, so they are moved as they are, not as rows of all bits
+    cells = cells.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document")
+    one_bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    held = cells.groupBy("document").agg(*[F.bit_or(F.when(F.col("word") == w, one_bit).otherwise(0)).alias(f"w{w}") for w in wide])
+
+    def own(r):
+        found = F.call_function("shiftright", F.get("held", F.get("word", r)), F.get("bit", r)).bitwiseAND(F.lit(1).cast("bigint"))
+        return F.call_function("shiftleft", F.coalesce(found, F.lit(0).cast("bigint")), F.lit(r % MASK))
+
+    either = lambda x, y: x.bitwiseOR(y)
+    parts = [f"m{p}" for p in range(-(-m // MASK))]
+    words = [reduce(either, [own(r) for r in range(p * MASK, min(m, (p + 1) * MASK))]).alias(name) for p, name in enumerate(parts)]
+    present = held.select(F.array(*[f"w{w}" for w in wide]).alias("held")).crossJoin(each).select("topic", *words)
+    masks = present.groupBy("topic", *parts).agg(F.count("*").alias("n"))
+    masks = masks.select("topic", F.array(*parts).alias("mask"), "n")
     pairs = F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(2, m + 1) for j in range(1, i)
     ])).alias("pair")
@@ -133,6 +164,16 @@ def semantic_coherence(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataF
     return sized.select("topic").join(scored, "topic", "left")  # no leading term in any document: null
 
 
+def _rated(beta: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """``beta`` with ``excl``, a topic's share of the term's sum over topics; a window holds a term's rows, at most one for each topic.
+
+    The hash comes first because numbers are sorted faster than words.
+    """
+    # rounded, so that equal ratios stay equal whatever the order of summation
+    share = F.try_divide("beta", F.sum("beta").over(Window.partitionBy(F.xxhash64("term"), "term", *within)))
+    return written(beta.withColumn("excl", F.round(share, 12)), "rated")
+
+
 def exclusivity(beta: DataFrame, m: int = 10, weight: float = 0.7) -> DataFrame:
     """Sum over the leading terms of the weighted harmonic mean of two ranks: how
     exclusive the term is to the topic, and how frequent it is in the topic.
@@ -141,21 +182,21 @@ def exclusivity(beta: DataFrame, m: int = 10, weight: float = 0.7) -> DataFrame:
     the leading terms matter, so terms are counted between the leading terms' values
     instead of being sorted.
     """
-    rated = attach(beta, ["term"], __sum=F.sum("beta"))
-    # rounded, so that equal ratios stay equal whatever the order of summation
-    rated = rated.withColumn("excl", F.round(F.try_divide("beta", "__sum"), 12))
+    rated = _rated(beta)
     # m rows per topic that three plans read; finding them is a pass over the whole table
-    leading = written(_leading(rated, m).select("topic", "term", "beta", "excl"), "leading")
-    marks = leading.groupBy("topic").agg(
-        F.collect_list("beta").alias("by_beta"), F.collect_list("excl").alias("by_excl")
-    )
+    return _exclusive(rated, written(_leading(rated, m).select("topic", "term", "beta", "excl"), "leading"), m, weight)
+
+
+def _exclusive(rated: DataFrame, leading: DataFrame, m: int, weight: float = 0.7) -> DataFrame:
+    """``exclusivity`` of ``leading`` terms (``topic, term, beta, excl``) among all ``rated`` ones."""
+    marks = leading.groupBy("topic").agg(F.collect_list("beta").alias("by_beta"), F.collect_list("excl").alias("by_excl"))
     above = lambda marks_, v: F.size(F.filter(marks_, lambda t: t >= v))
-    # one entry per topic, so the terms need no join on the few topics
-    entry = F.struct("topic", F.struct("by_beta", "by_excl"))
-    known = single(marks.agg(F.map_from_entries(F.collect_list(entry)).alias("m")))
-    placed = rated.where(F.col("topic").isNotNull()).withColumn("__m", F.try_element_at(known, F.col("topic"))).withColumns({
-        "beta_at": above(F.col("__m.by_beta"), F.col("beta")), "excl_at": above(F.col("__m.by_excl"), F.col("excl")),
-    })
+    # nearly all terms are below or above all marks, which two comparisons tell
+    ends = {f"{f.__name__}_{c}": f(f"by_{c}") for c in ("beta", "excl") for f in (F.array_min, F.array_max)}
+    at = lambda c: (
+        F.when(F.col(c) <= F.col(f"array_min_{c}"), F.size(f"by_{c}")).when(F.col(c) > F.col(f"array_max_{c}"), 0).otherwise(above(F.col(f"by_{c}"), F.col(c))))
+    # one small row per topic, which each task holds
+    placed = rated.join(marks.withColumns(ends), "topic").select("topic", at("beta").alias("beta_at"), at("excl").alias("excl_at"))
     between = placed.groupBy("topic", "beta_at", "excl_at").agg(F.count("*").alias("n"))
     own = leading.join(marks, "topic").select(
         "topic", "term",
@@ -288,14 +329,13 @@ def model_bound(model: TopicModel, spark: SparkSession) -> DataFrame:
 def coherence_and_exclusivity(beta: DataFrame, counts: DataFrame, m: int = 10) -> DataFrame:
     """``(K, topic, semantic_coherence, exclusivity)`` from ``(K, topic, term, beta)``: all K in one scan of the counts.
 
-    Topics of different K are told apart by a number of both; for exclusivity, which compares topics
-    of the same K, terms are as well.
+    Topics of different K are told apart by a number of both; for exclusivity terms are compared within the
+    same K. Both figures are of the same leading terms, which are found once.
     """
     apart = F.col("K").cast("long") * (1 << 20) + F.col("topic")
-    each = written(beta.select("K", apart.alias("topic"), "term", "beta"), "beta")
-    coherence = semantic_coherence(each.drop("K"), counts, m)
-    own = each.select("topic", F.concat_ws(" ", F.col("K").cast("string"), "term").alias("term"), "beta")
-    joined = coherence.join(exclusivity(own, m), "topic")
+    rated = _rated(beta.select("K", apart.alias("topic"), "term", "beta"), ["K"]).drop("K")
+    leading = written(_leading(rated, m), "leading")
+    joined = _coherence(leading.select("topic", "term", "rank"), counts, m).join(_exclusive(rated, leading, m), "topic")
     return joined.select(
         F.shiftright("topic", 20).cast("int").alias("K"), F.col("topic").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("topic"),
         "semantic_coherence", "exclusivity")

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,44 @@ def test_coherence_beyond_one_mask(spark):
     assert tp.semantic_coherence(beta, counts, 70).first()["semantic_coherence"] == pytest.approx(want)
 
 
+def test_coherence_of_many_topics_by_hand(spark):
+    # 90 leading terms, shared by topics; a missing term, a row that is there twice, documents with several rows of a term
+    lead = {t: [f"t{(7 * t + 3 * i) % 90:02}" for i in range(30)] for t in range(1, 7)}
+    rows = [(t, w, 1 / (i + 2)) for t, ws in lead.items() for i, w in enumerate(ws)] + [(7, None, .6), (7, "t01", .4), (8, "t05", .5), (8, "t05", .5)]
+    beta = spark.createDataFrame(rows, "topic int, term string, beta double")
+    held = {f"t{i:02}": {d for d in range(40) if (i * d) % 5 < 2 or d % 9 == i % 9} for i in range(90)}
+    cells = [(d, w, 1) for w, ds in held.items() for d in ds for _ in range(1 + d % 2)] + [(50, "other", 1)]
+    counts = spark.createDataFrame(cells, "document int, term string, n int")
+    got = {r["topic"]: r["semantic_coherence"] for r in tp.semantic_coherence(beta, counts, 30).collect()}
+    for t, ws in lead.items():
+        want = sum(math.log((len(held[a] & held[b]) + 1) / len(held[b])) for i, a in enumerate(ws) for b in ws[:i])
+        assert got[t] == pytest.approx(want)
+    assert got[7] is None and got[8] == pytest.approx(math.log((len(held["t05"]) + 1) / len(held["t05"])))
+
+
+def test_coherence_drops_terms_first_and_multiplies_no_document(spark):
+    beta = spark.createDataFrame([(t, f"t{i}", 1 / (i + 2)) for t in range(5) for i in range(5)], "topic int, term string, beta double")
+    tokens = spark.range(200).repartition(4).select(F.col("id").alias("document"), F.explode(F.array(*[F.concat(F.lit("t"), (F.col("id") * j % 50).cast("string")) for j in range(8)])).alias("term"))
+    plan = tp.semantic_coherence(beta, dt.doc_term_counts(tokens), 5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(document#\d+L?, topic#", plan)
+    # the leading terms meet the tokens below (later in the tree than) the shuffle of their counts
+    assert re.search(r"hashpartitioning\(document#\d+L?, term#", plan).start() < plan.index("LeftSemi")
+
+
+def test_exclusivity_by_hand(spark):
+    values = {(t, f"w{i}"): ((i * 7 + t * 11) % 13 + 1) / 100 if i % 4 != t else 0.01 * (i % 3 + 1) for t in range(1, 5) for i in range(60) if (i + t) % 6}
+    beta = spark.createDataFrame([(t, w, v) for (t, w), v in values.items()], "topic int, term string, beta double")
+    sums = {}
+    for (_, w), v in values.items():
+        sums[w] = sums.get(w, 0) + v
+    got = {r["topic"]: r["exclusivity"] for r in tp.exclusivity(beta).collect()}
+    for t in range(1, 5):
+        own = {w: (v, round(v / sums[w], 12)) for (u, w), v in values.items() if u == t}
+        share = lambda i, x: sum(r[i] <= x for r in own.values()) / len(own)
+        lead = sorted(own, key=lambda w: (-own[w][0], w))[:10]
+        assert got[t] == pytest.approx(sum(1 / (0.7 / share(1, own[w][1]) + 0.3 / share(0, own[w][0])) for w in lead))
+
+
 def test_heldout_tokens_without_a_model_are_counted(spark):
     beta = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.5)], "topic int, term string, beta double")
     gamma = spark.createDataFrame([("d", 1, 1.0), ("e", 1, 1.0)], "document string, topic int, gamma double")
