@@ -285,8 +285,13 @@ training AS (SELECT * FROM trimmed WHERE ('0x' || substr(md5('42-' || document |
 ks AS (SELECT unnest([10, 15, 20, 25, 30]) AS "K")"""
 
 
-def _models(t, sparsity=0.94):
-    counts = written(dt.trim_terms(t.subtitle_terms, sparsity).select("document", "term", "n"))
+def _trimmed(t, sparsity=0.94):
+    # documents, terms and the trimmed table are three reads of the counts, for which texts are taken apart once
+    return written(dt.trim_terms(written(t.subtitle_terms, "counts"), sparsity).select("document", "term", "n"))
+
+
+def _models(t):
+    counts = _trimmed(t)
     training, heldout = (written(part) for part in op.heldout_split(counts))
     vocab = written(dt.vocabulary(training))
     return training, heldout, vocab, op.fit_topics(dt.term_vectors(training, vocab), max_iter=ITERATIONS, tolerance=TOLERANCE)
@@ -358,7 +363,7 @@ def _(t):
 SELECT "K", topic, true AS is_finite FROM (SELECT "K", CAST(unnest(range(1, "K" + 1)) AS INT) AS topic FROM (SELECT unnest([10, 15]) AS "K"))""")
 def _(t):
     # year and month of a subtitle's day move the prior mean of its topics within the fit
-    counts = written(dt.trim_terms(t.subtitle_terms, 0.94).select("document", "term", "n"))
+    counts = _trimmed(t)
     vocab = written(dt.vocabulary(counts))
     day = F.date_add(F.lit("2023-11-01").cast("date"), (F.col("document") % 700).cast("int"))
     covariates = counts.select("document").distinct().select("document", F.year(day).alias("year"), F.month(day).alias("month"))

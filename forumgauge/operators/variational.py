@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +53,23 @@ class Counts:
         self.at, self.n, self.many, self.terms = at, n, many, terms
         self.rows = at // max(1, terms)
         self.cells = np.arange(len(at)) if cells is None else cells
+        self.full = self.product = None
 
     def per_document(self, values: np.ndarray) -> np.ndarray:
         return np.bincount(self.rows, values, self.many)
 
     def spread(self, values: np.ndarray) -> np.ndarray:
-        """Documents x terms with ``values`` in the filled cells."""
-        out = np.zeros(self.many * self.terms)
-        out[self.at] = values
-        return out.reshape(self.many, self.terms)
+        """Documents x terms with ``values`` in the filled cells, in the same memory for each call."""
+        if self.full is None:
+            self.full = np.zeros(self.many * self.terms)
+        self.full[self.at] = values
+        return self.full.reshape(self.many, self.terms)
+
+    def mixed(self, theta: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        """The filled cells of the product of proportions and topics."""
+        if self.product is None:
+            self.product = np.empty((self.many, self.terms))
+        return np.matmul(theta, beta.T, out=self.product).ravel()[self.at]
 
     def of(self, chosen: np.ndarray) -> Counts:
         """The counts of the chosen documents alone."""
@@ -78,15 +86,39 @@ def _list_column(rows: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Slice:
-    """The documents of a row: term places, counts and covariates, as arrays."""
+    """The documents of a row: term places, counts and covariates, as arrays. Places of a document are in order, each one once."""
 
     def __init__(self, docs: pa.Array):
-        index, self.ends = _list_column(docs, "idx")
-        self.n = _list_column(docs, "n")[0].astype(float)
+        index, ends = _list_column(docs, "idx")
+        n = _list_column(docs, "n")[0].astype(float)
         self.many = len(docs)
-        self.terms, self.at = np.unique(index, return_inverse=True)
+        self.terms, at = np.unique(index, return_inverse=True)
+        places, own = np.unique(np.repeat(np.arange(self.many), np.diff(ends)) * len(self.terms) + at, return_inverse=True)
+        n = np.bincount(own, n, len(places))
+        places, self.n = places[n != 0], n[n != 0]
+        rows, self.at = np.divmod(places, max(1, len(self.terms)))
+        self.ends = np.searchsorted(rows, np.arange(self.many + 1))
         self.x = _list_column(docs, "x")[0].reshape(self.many, -1)
 
+    def payload(self) -> bytes:
+        """All of it as bytes, which pass between Spark and Python as they are."""
+        sizes = np.array([self.many, len(self.terms), len(self.n)], np.int64)
+        parts = [sizes, self.terms.astype(np.int64), self.ends.astype(np.int64), self.n, self.x.ravel(), self.at.astype(np.int32)]
+        return b"".join(part.tobytes() for part in parts)
+
+    @classmethod
+    def of(cls, payload: pa.Buffer) -> Slice:
+        own = cls.__new__(cls)
+        own.many, terms, cells = np.frombuffer(payload, np.int64, 3).tolist()
+        own.terms = np.frombuffer(payload, np.int64, terms, 24)
+        own.ends = np.frombuffer(payload, np.int64, own.many + 1, 24 + 8 * terms)
+        after = 24 + 8 * (terms + own.many + 1)
+        own.n = np.frombuffer(payload, float, cells, after)
+        last = payload.size - 4 * cells
+        own.x = np.frombuffer(payload, float, (last - after) // 8 - cells, after + 8 * cells).reshape(own.many, -1)
+        own.at = np.frombuffer(payload, np.int32, cells, last)
+        return own
+
     def chunks(self):
         """``first, last`` document and the counts of as many documents as fit."""
         terms = len(self.terms)
@@ -95,9 +127,7 @@ class Slice:
             b = min(self.many, a + step)
             cells = slice(self.ends[a], self.ends[b])
             places = np.repeat(np.arange(b - a), np.diff(self.ends[a : b + 1])) * terms + self.at[cells]
-            full = np.bincount(places, self.n[cells], (b - a) * terms)
-            at = np.flatnonzero(full)
-            yield a, b, Counts(at, full[at], b - a, terms)
+            yield a, b, Counts(places, self.n[cells], b - a, terms)
 
     def gathered(self, blocks: pa.Array, width: int) -> np.ndarray:
         """The rows of its terms from blocks of term rows."""
@@ -129,7 +159,7 @@ def uphill(counts: Counts, beta: np.ndarray, eta: np.ndarray, mean: np.ndarray,
 
     def judged(own, eta, mean):
         theta = softmax(eta)
-        share = np.maximum((theta @ beta.T).ravel()[own.at], 1e-300)
+        share = np.maximum(own.mixed(theta, beta), 1e-300)
         return theta, share, own.per_document(own.n * np.log(share)) - ((eta - mean) ** 2).sum(axis=1) / (2 * VARIANCE)
 
     eta = eta.copy()
@@ -140,16 +170,23 @@ def uphill(counts: Counts, beta: np.ndarray, eta: np.ndarray, mean: np.ndarray,
         # the curvature of the bound is diagonal less one outer product
         u, v = inverse * gradient, inverse * theta
         move = u + v * (total * (theta * u).sum(axis=1, keepdims=True) / np.maximum(1 - total * (theta * v).sum(axis=1, keepdims=True), 1e-12))
+        tried = eta + move
+        new = judged(counts, tried, mean)
+        better = new[2] >= value
+        if better.all():
+            eta, (theta, share, value) = tried, new
+            continue
         left, own = np.arange(counts.many), counts
-        for _ in range(8):
-            tried = eta[left] + move[left]
-            new = judged(own, tried, mean[left])
-            better = new[2] >= value[left]
+        for again in range(8):
+            if again:
+                tried = eta[left] + move[left]
+                new = judged(own, tried, mean[left])
+                better = new[2] >= value[left]
             cells = better[own.rows]
             eta[left[better]], theta[left[better]], share[own.cells[cells]], value[left[better]] = tried[better], new[0][better], new[1][cells], new[2][better]
-            left, own = left[~better], own.of(~better)
-            if not len(left):
+            if better.all():
                 break
+            left, own = left[~better], own.of(~better)
             move[left] /= 2
     return eta, theta, share, value
 
@@ -445,10 +482,14 @@ class Fit:
         return self._proportions(slices.join(found, "slice"))
 
 
-def _dealt(slices: DataFrame, many: int) -> DataFrame:
-    """Slices in as many partitions as the session has for shuffles: the work is in fitting, not in the bytes by which partitions are merged."""
+def _partitions(slices: DataFrame, many: int) -> int:
+    """As many as the session has for shuffles: the work is in fitting, not in the bytes by which partitions are merged."""
     usual = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return slices.repartition(max(1, min(many, usual), -(-many // TOGETHER)))
+    return max(1, min(many, usual), -(-many // TOGETHER))
+
+
+def _dealt(slices: DataFrame, many: int) -> DataFrame:
+    return slices.repartition(_partitions(slices, many))
 
 
 def _small(blocks: DataFrame) -> bool:
@@ -487,15 +528,20 @@ def fit(
     prior, whole = np.zeros((p, width)), _small(blocks)
     bounds: dict[int, list[float]] = {k: [] for k in ks}
 
-    schema = f"{_STEP}, docs {slices.schema['docs'].dataType.simpleString()}"
+    schema = f"{_STEP}, docs binary"
+
+    def compact(batches):
+        for batch in batches:
+            for part, docs in zip(batch.column("slice").to_pylist(), batch.column("docs")):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([Slice(docs.values).payload()], pa.binary())], ["slice", "docs"])
 
     def one_pass(prior):
         def work(batches):
-            # sums of the blocks that all slices of a task share, up to what the whole table may hold
-            held, first = {}, None
+            # sums of the blocks that all slices of a task share, up to what the whole table may hold, and of what the driver sees
+            held, first, total = {}, None, 0.0
             for batch in batches:
                 for row, (part, docs, blocks, before) in enumerate(zip(*(batch.column(c) for c in ("slice", "docs", "blocks", "eta")))):
-                    own = Slice(docs.values)
+                    own = Slice.of(docs.as_buffer())
                     beta, mean = own.gathered(blocks, width), own.x @ prior
                     eta = np.frombuffer(before.as_buffer(), float).reshape(-1, width).copy() if before.is_valid else mean.copy()
                     stats, value = np.zeros_like(beta), np.zeros(len(ks))
@@ -505,20 +551,22 @@ def fit(
                             eta[a:b, cols], theta, share, worth = uphill(counts, beta[:, cols], eta[a:b, cols], mean[a:b, cols], steps)
                             stats[:, cols] += beta[:, cols] * (counts.spread(counts.n / share).T @ theta)
                             value[m] += worth.sum()
-                    sums = np.concatenate([stats.sum(axis=0), value, (own.x.T @ own.x).ravel(), (own.x.T @ eta).ravel()])
+                    total = total + np.concatenate([stats.sum(axis=0), value, (own.x.T @ own.x).ravel(), (own.x.T @ eta).ravel()])
                     part = part.as_py()
-                    first = part if first is None else first
+                    # a whole table is all held, so its parts are those of tasks
+                    first = (TaskContext.get().partitionId() if whole else part) if first is None else first
                     yield with_docs([("eta", part, part, eta.tobytes(), None)], batch.column("docs").slice(row, 1))
-                    found = [("sums", part, part, None, sums.tolist())]
+                    found = []
                     for key, payload in own.by_block(stats):
                         if key in held or len(held) < WHOLE:
                             held[key] = held.get(key, 0) + np.frombuffer(payload)
                         else:
                             found.append(("block", key, part, payload, None))
-                    yield with_docs(found, pa.nulls(len(found), batch.column("docs").type))
-            if held:
-                found = [("block", key, first, total.tobytes(), None) for key, total in held.items()]
-                yield with_docs(found, pa.nulls(len(found), batch.column("docs").type))
+                    if found:
+                        yield with_docs(found, pa.nulls(len(found), pa.binary()))
+            if first is not None:
+                found = [("sums", first, first, None, total.tolist())] + [("block", key, first, sums.tobytes(), None) for key, sums in held.items()]
+                yield with_docs(found, pa.nulls(len(found), pa.binary()))
 
         return work
 
@@ -526,7 +574,9 @@ def fit(
         rows = _rows(found)
         return pa.RecordBatch.from_arrays([*rows.columns, docs], [*rows.schema.names, "docs"])
 
-    state, kept = _dealt(slices.select(F.col("slice").cast("long").alias("slice"), "docs", F.lit(None).cast("binary").alias("eta")), many), None
+    dealt = _dealt(slices.select(F.col("slice").cast("long").alias("slice"), "docs"), many)
+    parts = _partitions(slices, many) if whole else many
+    state, kept = dealt.mapInArrow(compact, "slice long, docs binary").withColumn("eta", F.lit(None).cast("binary")), None
     for passes in range(max_iter):
         # documents and positions stay in the executors, in memory or on their disks; only sums by block are shuffled
         step = _met(state, needed, blocks, whole).select("slice", "docs", "blocks", "eta").mapInArrow(one_pass(prior), schema).persist(StorageLevel.MEMORY_AND_DISK)
@@ -543,7 +593,7 @@ def fit(
             bounds[k].append(float(sums[width + m]))
         rest = sums[width + len(ks) :]
         prior = np.linalg.lstsq(rest[: p * p].reshape(p, p), rest[p * p :].reshape(p, width), rcond=None)[0]
-        blocks = added(step.where(F.col("kind") == "block"), width, max(many, 2), sums[:width])
+        blocks = added(step.where(F.col("kind") == "block"), width, max(parts, 2), sums[:width])
         blocks = blocks if whole else written(blocks, "topics")
         if all(len(b) > 1 and b[-1] - b[-2] <= tolerance * abs(b[-2]) for b in bounds.values()):
             break

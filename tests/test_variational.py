@@ -1,9 +1,13 @@
 """Topic fits on planted corpora."""
 
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from forumgauge.catalog.topics import _trimmed
 from forumgauge.operators import topics as tp
 from forumgauge.operators import variational as va
 
@@ -149,3 +153,32 @@ def test_passes_leave_documents_where_they_are(spark, corpus, monkeypatch):
     usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert fit.slices.count() > usual and len(staged) == 1
     assert all(n <= max(usual, -(-fit.slices.count() // va.TOGETHER)) for n in parts[2:])
+
+
+def test_documents_travel_as_one_row_of_bytes(spark):
+    rows = [([4, 9, 30], [1.0, 2.0, 5.0], [1.0, 0.5]), ([9, 4, 9], [1.0, 3.0, 2.0], [1.0, -1.0]), ([7, 30], [0.0, 4.0], [1.0, 0.0])]
+    kind = pa.struct([("idx", pa.list_(pa.int64())), ("n", pa.list_(pa.float64())), ("x", pa.list_(pa.float64()))])
+    docs = pa.array([{"idx": i, "n": n, "x": x} for i, n, x in rows], kind)
+    whole = va.Slice(docs)
+    for own in (whole, va.Slice.of(pa.py_buffer(whole.payload()))):
+        assert own.terms.tolist() == [4, 7, 9, 30] and own.x.tolist() == [r[2] for r in rows]
+        (a, b, counts), = own.chunks()
+        # repeated places are added, empty ones are no cells, and memory that is used again keeps nothing
+        for factor in (1, 2):
+            assert counts.spread(counts.n * factor).tolist() == (factor * np.array([[1, 0, 2, 5], [3, 0, 3, 0], [0, 0, 0, 4]])).tolist()
+        assert (a, b, len(counts.n)) == (0, 3, 6)
+
+
+def test_texts_are_taken_apart_once_for_the_trimmed_terms(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(d, f"t{w}", 1 + (d + w) % 3) for d in range(40) for w in range(6) if w < 2 or d == w]
+    terms = spark.createDataFrame(rows, "document long, term string, n long").repartition(3).mapInArrow(counting, "document long, term string, n long")
+    kept = {(r["document"], r["term"], r["n"]) for r in _trimmed(SimpleNamespace(subtitle_terms=terms)).collect()}
+    assert kept == {r for r in rows if r[1] in ("t0", "t1")}
+    assert read.value == len(rows)
