@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordering
+from ..functions import text as tx
 from ..functions.keys import single
 from ..functions.wordlists import OFFENSE
 from ..session import written
-from .text import tokenize_words
+from .text import lemmatize, tokenize_words
 from .windows import top_n_per_group
 
 
@@ -23,20 +26,51 @@ def doc_term_counts(tokens: DataFrame, document: str = "document", term: str = "
     return tokens.groupBy(document, term).agg(F.count("*").alias("n"))
 
 
-def trim_terms(counts: DataFrame, sparsity: float, document: str = "document", term: str = "term") -> DataFrame:
+def trim_terms(
+    counts: DataFrame, sparsity: float, document: str = "document", term: str = "term", documents: DataFrame | None = None,
+) -> DataFrame:
     """Keep terms found in at least ``(1 - sparsity)`` of the documents.
 
     This also bounds the vocabulary: at most (mean distinct terms per document) /
-    (1 - sparsity) terms can pass.
+    (1 - sparsity) terms can pass. ``documents`` is one row with the number of documents, if it is not that of ``counts``.
     """
-    documents = counts.agg(F.count_distinct(document).alias("n"))
-    frequent = (
-        counts.groupBy(term).agg(F.count("*").alias("df"))
-        .where(F.col("df") >= F.lit(1 - sparsity) * single(documents)).select(term)
-    )
+    if documents is None:
+        documents = counts.agg(F.count_distinct(document).alias("n"))
+    frequent = _in_share(counts.groupBy(term).agg(F.count("*").alias("df")), sparsity, documents).select(term)
     return counts.join(frequent, term, "left_semi")
 
 
+def _in_share(frequencies: DataFrame, sparsity: float, documents: DataFrame) -> DataFrame:
+    return frequencies.where(F.col("df") >= F.lit(1 - sparsity) * single(documents))
+
+
+def frequent_counts(
+    texts: DataFrame, sparsity: float, chosen: Callable[[DataFrame], DataFrame], dictionary: DataFrame | None = None,
+) -> DataFrame:
+    """``(document, term, n)`` of texts ``(document, text)``: words that ``chosen`` keeps, of lemmas, trimmed as by ``trim_terms``.
+
+    Words that can not pass are dropped before they are counted by document, so that what is shuffled and written is of the
+    size of the trimmed table: a word is in at least as many texts as documents, and texts are counted without moving
+    their words. The words left are counted and trimmed by documents as ever.
+    """
+    words = tokenize_words(texts, "text", output="term")
+    once = texts.select("document", F.explode(F.array_distinct(tx.words(F.col("text")))).alias("term"))
+    documents = written(chosen(once).agg(F.count_distinct("document").alias("n")), "documents")
+    forms = chosen(once.groupBy("term").agg(F.count("*").alias("df"))).withColumn("word", F.col("term"))
+    if dictionary is not None:
+        forms = written(lemmatize(forms, dictionary, "term"), "forms")
+        lemmas = _in_share(forms.groupBy("term").agg(F.sum("df").alias("df")), sparsity, documents)
+        passing = forms.join(written(lemmas.select("term"), "lemmas"), "term", "left_semi")
+    else:
+        passing = _in_share(forms, sparsity, documents)
+    # a written table, whose size tells Spark whether to drop the other words where they are read
+    passing = written(passing.select(F.col("word").alias("term")).distinct(), "words")
+    counts = doc_term_counts(words).join(passing, "term", "left_semi")
+    if dictionary is not None:
+        counts = lemmatize(counts, dictionary, "term", count="n")
+    return trim_terms(written(counts.select("document", "term", "n"), "counts"), sparsity, documents=documents)
+
+
 def vocabulary(counts: DataFrame, term: str = "term") -> DataFrame:
     """``(term, idx)``, indexed from 0 in alphabetical order."""
     numbered = ordering.position(counts.select(term).distinct(), [F.col(term).asc()], "idx")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import first_rows, join_null_safe, single
-from ..session import written
+from ..session import swept, written
 from . import variational
 from .reshape import pivot_longer
 from .windows import top_n_per_group
@@ -71,6 +71,11 @@ def every_topic_docs(models: Mapping[int, TopicModel], vectors: DataFrame | None
     return fit.docs() if vectors is None else fit.infer(vectors)
 
 
+def every_topic_mixtures(models: Mapping[int, TopicModel]) -> DataFrame:
+    """``(document, values)``: the proportions of the fitted documents for all models in one array, by K and topic."""
+    return next(iter(models.values())).fit.mixtures()
+
+
 def topic_terms(model: TopicModel, vocab: DataFrame) -> DataFrame:
     """``(topic, term, beta)`` with every term of the vocabulary in every topic."""
     return model.fit.terms(vocab).where(F.col("K") == model.k).select("topic", "term", "beta")
@@ -219,50 +224,94 @@ def heldout_split(counts: DataFrame, share: float = 0.25, seed: int = 42):
     return counts.where(u >= share), counts.where(u < share)
 
 
-def _topics_of(beta: DataFrame) -> list:
-    return [r[0] for r in beta.select("topic").distinct().orderBy("topic").collect()]  # one row per topic
+def _models_of(beta: DataFrame) -> list[tuple]:
+    """``(K, topics)`` of each model in a table of topics; K is None in a table of one model without that column."""
+    if "K" not in beta.columns:
+        return [(None, [r[0] for r in beta.select("topic").distinct().orderBy("topic").collect()])]  # one row per topic
+    held: dict = {}
+    for k, topic in beta.select("K", "topic").distinct().orderBy("K", "topic").collect():
+        held.setdefault(k, []).append(topic)
+    return list(held.items())
 
 
-def _by_topic(df: DataFrame, key: str, value: str, topics: Sequence) -> DataFrame:
-    """``(key, values)``: the values in the order of ``topics``, 0 where there is none."""
-    held = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("topic", value))).alias("values"))
-    each = F.array(*[F.lit(t) for t in topics])
+def _by_topic(df: DataFrame, key: str, value: str, models: Sequence[tuple]) -> DataFrame:
+    """``(key, values)``: the values in the order of the topics of all models, 0 where there is none; a table that has ``values`` is such a one."""
+    if "values" in df.columns:
+        return df.select(key, "values")
+    name = F.struct("K", "topic") if "K" in df.columns else F.col("topic")
+    held = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(name.alias("name"), value))).alias("values"))
+    each = F.array(*[F.lit(t) if k is None else F.struct(F.lit(k).alias("K"), F.lit(t).alias("topic")) for k, topics in models for t in topics])
     return held.select(key, F.transform(each, lambda t: F.coalesce(F.try_element_at("values", t), F.lit(0.0))).alias("values"))
 
 
-def _mixed(g: str, b: str):
-    """The sum of the products of two arrays in the same order."""
-    return F.aggregate(F.zip_with(g, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+def _parts_of(models: Sequence[tuple]) -> list[tuple[int, int]]:
+    """Where each model's topics begin in ``values``, and how many they are."""
+    ends = np.cumsum([len(topics) for _, topics in models]).tolist()
+    return [(end - len(topics), len(topics)) for end, (_, topics) in zip(ends, models)]
+
+
+def _per_model(models: Sequence[tuple], row: DataFrame, **figures: Sequence) -> DataFrame:
+    """One row of figures (a list of them for each model) as a row for each model, named by K if the models are."""
+    if models[0][0] is None:
+        return row.select(*[f[0].alias(n) for n, f in figures.items()])
+    rows = [F.struct(F.lit(k).alias("K"), *[f[i].alias(n) for n, f in figures.items()]) for i, (k, _) in enumerate(models)]
+    return row.select(F.inline(F.array(*rows)))
 
 
-def _fitted(counts: DataFrame, gamma: DataFrame, beta: DataFrame) -> DataFrame:
-    """``counts`` with ``q``, the modelled probability of the term in the document."""
-    topics = _topics_of(beta)
-    mixture = _by_topic(gamma, "document", "gamma", topics).withColumnRenamed("values", "g")
-    weights = _by_topic(beta, "term", "beta", topics).withColumnRenamed("values", "b")
-    joined = counts.join(weights, "term", "left").join(mixture, "document", "left")
-    return joined.select("document", "term", "n", F.coalesce(_mixed("g", "b"), F.lit(0.0)).alias("q"))
+def _weights(terms: DataFrame) -> DataFrame:
+    """A written table of terms, to be sent to the rows it is joined to if it is as small as topics that a fit sends to its slices."""
+    few = variational.WHOLE * variational.BLOCK
+    return F.broadcast(terms) if terms.limit(few + 1).count() <= few else terms
+
+
+def _mixed(g: str, b: str, part: tuple[int, int]):
+    """The sum of the products of a model's part of two arrays in the same order."""
+    own = lambda c: F.slice(c, part[0] + 1, part[1])
+    return F.aggregate(F.zip_with(own(g), own(b), lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+
+
+def _fitted(counts: DataFrame, gamma: DataFrame, beta: DataFrame, models: Sequence[tuple]) -> DataFrame:
+    """``counts`` with ``q``, the modelled probabilities of the term in the document, one for each model.
+
+    Cells meet the proportions before the topics, so that no topics travel with them.
+    """
+    mixture = _by_topic(gamma, "document", "gamma", models).withColumnRenamed("values", "g")
+    weights = _weights(written(_by_topic(beta, "term", "beta", models).withColumnRenamed("values", "b")))
+    joined = counts.select("document", "term", "n").join(mixture, "document", "left").join(weights, "term", "left")
+    return joined.select("document", "term", "n", F.array(*[F.coalesce(_mixed("g", "b", p), F.lit(0.0)) for p in _parts_of(models)]).alias("q"))
 
 
 def heldout_likelihood(heldout: DataFrame, gamma: DataFrame, beta: DataFrame) -> DataFrame:
     """One row: mean over documents of the log-likelihood per held-out token, and the tokens
     used and skipped. A token is skipped if the model gives it no probability: its term or
-    its document is unknown to the model."""
-    used = F.col("q") > 0
-    per_doc = _fitted(heldout, gamma, beta).groupBy("document").agg(
-        F.sum(F.when(used, F.col("n") * F.ln("q"))).alias("s"),
-        F.coalesce(F.sum(F.when(used, F.col("n"))), F.lit(0)).alias("used"),
-        F.coalesce(F.sum(F.when(~used, F.col("n"))), F.lit(0)).alias("skipped"),
-    )
-    return per_doc.agg(
-        F.avg(F.try_divide("s", "used")).alias("heldout_likelihood"),
-        F.coalesce(F.sum("used"), F.lit(0)).alias("tokens_used"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("tokens_skipped"),
-    )
+    its document is unknown to the model.
 
-
-def _dense_cells(documents: DataFrame, terms: DataFrame, tolerance: float, block: int) -> DataFrame:
-    """One row: sum of mq / (1 - q) and the number of cells with mq above the tolerance,
-    over all documents and terms.
+    For several models, ``beta`` has a column K and ``gamma`` is ``(document, values)`` (see ``every_topic_mixtures``):
+    a row for each K, from one scan of the cells.
+    """
+    models = _models_of(beta)
+    if not models:
+        return heldout.sparkSession.createDataFrame([], "K int, heldout_likelihood double, tokens_used bigint, tokens_skipped bigint")
+    many, sums = range(len(models)), []
+    for i in many:
+        q = F.get("q", F.lit(i))
+        sums += [
+            F.sum(F.when(q > 0, F.col("n") * F.ln(q))).alias(f"s{i}"),
+            F.coalesce(F.sum(F.when(q > 0, F.col("n"))), F.lit(0)).alias(f"used{i}"),
+            F.coalesce(F.sum(F.when(~(q > 0), F.col("n"))), F.lit(0)).alias(f"skipped{i}"),
+        ]
+    per_doc = _fitted(heldout, gamma, beta, models).groupBy("document").agg(*sums)
+    total = per_doc.agg(*[c for i in many for c in (
+        F.avg(F.try_divide(f"s{i}", f"used{i}")).alias(f"mean{i}"),
+        F.coalesce(F.sum(f"used{i}"), F.lit(0)).alias(f"used{i}"), F.coalesce(F.sum(f"skipped{i}"), F.lit(0)).alias(f"skipped{i}"))])
+    return _per_model(
+        models, total, heldout_likelihood=[F.col(f"mean{i}") for i in many], tokens_used=[F.col(f"used{i}") for i in many],
+        tokens_skipped=[F.col(f"skipped{i}") for i in many])
+
+
+def _dense_cells(documents: DataFrame, terms: DataFrame, parts: Sequence[tuple[int, int]], tolerance: float, block: int) -> DataFrame:
+    """One row: for each model the sum of mq / (1 - q) and the number of cells with mq above the tolerance,
+    over all documents and terms (``dense0, cells0, ...``).
 
     A blocked matrix product: documents and terms are hashed into blocks of bounded
     size, and each pair of blocks is one group that multiplies two small matrices.
@@ -273,48 +322,59 @@ def _dense_cells(documents: DataFrame, terms: DataFrame, tolerance: float, block
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     left = documents.select("m", "values", bucket("document", rows).alias("r"), every(columns).alias("c"))
     right = terms.select("values", every(rows).alias("r"), bucket("term", columns).alias("c"))
+    names = [f"{name}{i}" for i in range(len(parts)) for name in ("dense", "cells")]
 
     def multiply(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        if docs.empty or words.empty:
-            return pd.DataFrame({"dense": [0.0], "cells": [0]})
-        q = np.stack(docs["values"]) @ np.stack(words["values"]).T
-        mq = docs["m"].to_numpy(dtype=float)[:, None] * q
-        ratio = np.divide(mq, 1 - q, out=np.zeros_like(mq), where=q < 1)
-        return pd.DataFrame({"dense": [ratio.sum()], "cells": [int((mq > tolerance).sum())]})
+        found = [0.0, 0] * len(parts)
+        if not docs.empty and not words.empty:
+            theta, beta, m = np.stack(docs["values"]), np.stack(words["values"]), docs["m"].to_numpy(dtype=float)[:, None]
+            for i, (a, k) in enumerate(parts):
+                q = theta[:, a : a + k] @ beta[:, a : a + k].T
+                mq = m * q
+                ratio = np.divide(mq, 1 - q, out=np.zeros_like(mq), where=q < 1)
+                found[2 * i : 2 * i + 2] = ratio.sum(), int((mq > tolerance).sum())
+        return pd.DataFrame([found], columns=names)
 
     grouped = left.groupBy("r", "c").cogroup(right.groupBy("r", "c"))
-    parts = grouped.applyInPandas(multiply, "dense double, cells bigint")
-    return parts.agg(F.sum("dense").alias("dense"), F.sum("cells").alias("cells"))
+    schema = ", ".join(f"dense{i} double, cells{i} bigint" for i in range(len(parts)))
+    return grouped.applyInPandas(multiply, schema).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def residual_dispersion(
     counts: DataFrame, gamma: DataFrame, beta: DataFrame, tolerance: float = 0.01, block: int = 2048
 ) -> DataFrame:
-    """One row: dispersion of the residuals, near 1 for enough topics.
+    """One row: dispersion of the residuals, near 1 for enough topics; for several models a row for each K, as in ``heldout_likelihood``.
 
     Sum of (x - mq)^2 / (mq(1 - q)) over all cells, divided by (cells with mq above the
     tolerance) - terms - documents * (topics - 1). Cells with x = 0 are not stored:
     expanding the square splits the sum into a part over stored cells and a part that
     depends on a document only through its mixture and length.
     """
-    topics = _topics_of(beta)
+    models = _models_of(beta)
+    if not models:
+        return counts.sparkSession.createDataFrame([], "K int, residual_dispersion double")
+    parts = _parts_of(models)
     # both tables enter several plans and the block counts, so they are written once
-    terms = written(_by_topic(beta, "term", "beta", topics))
-    known = counts.join(terms.select("term"), "term", "left_semi")
-    lengths = known.groupBy("document").agg(F.sum("n").alias("m"))
-    documents = written(_by_topic(gamma, "document", "gamma", topics).join(lengths, "document"))
-    cells = (
-        known.join(documents.withColumnRenamed("values", "g"), "document").join(terms, "term")
-        .select("n", "m", _mixed("g", "values").alias("q"))
-        .where((F.col("q") > 0) & (F.col("q") < 1))
-    )
-    mq = F.col("m") * F.col("q")
-    stored = cells.agg(F.sum((F.col("n") * F.col("n") - 2 * F.col("n") * mq) / (mq * (1 - F.col("q")))).alias("s"))
-    freedom = F.col("cells") - single(terms.agg(F.count("*").alias("v"))) - single(
-        documents.agg(F.count("*").alias("d"))
-    ) * (len(topics) - 1)
-    dense = _dense_cells(documents, terms, tolerance, block)
-    return dense.select(F.try_divide(F.col("dense") + single(stored), freedom).alias("residual_dispersion"))
+    terms = written(_by_topic(beta, "term", "beta", models))
+    weights = _weights(terms)
+    # a document's cells go with its proportions, which are shuffled once and not again for the cells
+    known = counts.join(weights.select("term"), "term", "left_semi").groupBy("document").agg(
+        F.sum("n").alias("m"), F.collect_list(F.struct("term", "n")).alias("cells"))
+    documents = written(_by_topic(gamma, "document", "gamma", models).join(known, "document"))
+    swept(counts.sparkSession)
+    cells = documents.select("m", F.col("values").alias("g"), F.explode("cells").alias("c")).select("m", "g", "c.term", "c.n").join(weights, "term")
+    cells = cells.select("n", "m", F.array(*[_mixed("g", "values", p) for p in parts]).alias("q"))
+    size = lambda df: single(df.agg(F.count("*").alias("n")))
+    sums, found = [], []
+    for i, (_, k) in enumerate(parts):
+        q = F.get("q", F.lit(i))
+        mq = F.col("m") * q
+        sums.append(F.sum(F.when((q > 0) & (q < 1), (F.col("n") * F.col("n") - 2 * F.col("n") * mq) / (mq * (1 - q)))).alias(f"s{i}"))
+        freedom = F.col(f"cells{i}") - size(terms) - size(documents) * (k - 1)
+        found.append(F.try_divide(F.col(f"dense{i}") + F.col(f"s{i}"), freedom))
+    dense = _dense_cells(documents, terms, parts, tolerance, block)
+    # one row of sums each
+    return _per_model(models, dense.crossJoin(cells.agg(*sums)), residual_dispersion=found)
 
 
 def model_bound(model: TopicModel, spark: SparkSession) -> DataFrame:
@@ -346,22 +406,18 @@ def k_diagnostics(
 ) -> DataFrame:
     """``(K, metric, value)``: five figures for each number of topics.
 
-    Topics and proportions of all K are written once, each in one scan.
+    Topics and proportions of all K are written once, each in one scan, and cells meet those of all K at once.
     """
     metrics = ["exclusivity", "lower_bound", "residuals", "semantic_coherence", "heldout_likelihood"]
     spark = counts.sparkSession
-    betas, gammas = written(every_topic_terms(models, vocab), "beta"), written(every_topic_docs(models), "gamma")
+    betas, mixtures = written(every_topic_terms(models, vocab), "beta"), written(every_topic_mixtures(models), "gamma")
+    swept(spark)  # what the fit has shuffled and written on its way
     per_topic = coherence_and_exclusivity(betas, counts, m)
     means = written(per_topic.groupBy("K").agg(F.avg("exclusivity").alias("exclusivity"), F.avg("semantic_coherence").alias("semantic_coherence")))
-    rows = []
-    for k, model in models.items():
-        beta, gamma = (t.where(F.col("K") == k).drop("K") for t in (betas, gammas))
-        row = model_bound(model, spark).select("K", F.col("lbound").alias("lower_bound"))
-        rows.append(row.withColumns({
-            "residuals": single(residual_dispersion(counts, gamma, beta)),
-            "heldout_likelihood": single(heldout_likelihood(heldout, gamma, beta).select("heldout_likelihood")),
-        }))
-    wide = reduce(DataFrame.unionByName, rows).join(means, "K", "left")
+    bounds = reduce(DataFrame.unionByName, [model_bound(model, spark).select("K", F.col("lbound").alias("lower_bound")) for model in models.values()])
+    residuals = residual_dispersion(counts, mixtures, betas).withColumnRenamed("residual_dispersion", "residuals")
+    likelihoods = heldout_likelihood(heldout, mixtures, betas).select("K", "heldout_likelihood")
+    wide = reduce(lambda rows, more: rows.join(more, "K", "left"), [residuals, likelihoods, means], bounds)
     return pivot_longer(wide.select("K", *metrics), ["K"], metrics)
 
 

@@ -24,7 +24,7 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, scratch_path, written
+from ..session import cut_lineage, scratch_path, swept, written
 
 #: Stored cells of a slice of documents, terms of a block, and tables that one task adds up.
 SLICE_CELLS = 50_000
@@ -441,7 +441,15 @@ class Fit:
 
     def docs(self) -> DataFrame:
         """``K, document, topic, gamma`` of the fitted documents for all models in one scan."""
-        return self._proportions(self.slices.join(self.positions, "slice"))
+        return self._long(self._proportions(self.slices.join(self.positions, "slice")))
+
+    def mixtures(self) -> DataFrame:
+        """``document, values``: the same, all models side by side in one array, in order of K."""
+        by_k = F.concat(*[F.slice("theta", self.places[k] + 1, k) for k in sorted(self.ks)])
+        return self._proportions(self.slices.join(self.positions, "slice")).select("document", by_k.alias("values"))
+
+    def _long(self, rows: DataFrame) -> DataFrame:
+        return self._unfolded(rows, "theta", ["document"], "gamma")
 
     def _proportions(self, rows: DataFrame) -> DataFrame:
         ks, width, at = self.ks, self.width, self.places
@@ -454,8 +462,7 @@ class Fit:
                     values = pa.ListArray.from_arrays(pa.array(np.arange(len(theta) + 1, dtype=np.int32) * width), pa.array(theta.ravel()))
                     yield pa.RecordBatch.from_arrays([pc.struct_field(docs.values, ["document"]), values], ["document", "theta"])
 
-        found = rows.select("docs", "eta").mapInArrow(work, f"document {self.documents}, theta array<double>")
-        return self._unfolded(found, "theta", ["document"], "gamma")
+        return rows.select("docs", "eta").mapInArrow(work, f"document {self.documents}, theta array<double>")
 
     def infer(self, vectors: DataFrame, steps: int = 30) -> DataFrame:
         """``K, document, topic, gamma`` of any documents, for all models in one scan of them; the prior mean is that of an average document."""
@@ -479,7 +486,7 @@ class Fit:
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.concatenate(eta).tobytes()], pa.binary())], ["slice", "eta"])
 
         found = written(rows.select(F.col("slice").cast("long").alias("slice"), "docs", "blocks").mapInArrow(work, "slice long, eta binary"), "eta")
-        return self._proportions(slices.join(found, "slice"))
+        return self._long(self._proportions(slices.join(found, "slice")))
 
 
 def _partitions(slices: DataFrame, many: int) -> int:
@@ -587,6 +594,8 @@ def fit(
         if kept is not None:
             kept.unpersist()
         kept = step
+        if passes and passes % KEPT == 0:
+            swept(slices.sparkSession)  # this pass needs the last documents and positions written, and none before
         if not len(sums):
             break
         for m, k in enumerate(ks):

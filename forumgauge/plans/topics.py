@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import relate
-from ..operators.terms import doc_term_counts, term_vectors, trim_terms, vocabulary
-from ..operators.text import lemmatize, remove_numbers, remove_stopwords, tokenize_words
+from ..operators.terms import frequent_counts, term_vectors, vocabulary
+from ..operators.text import remove_numbers, remove_stopwords
 from ..operators.topics import (
     TOPIC_NUMBERS, TopicModel, fit_topics, heldout_split, k_diagnostics, top_terms, topic_docs, topic_terms,
 )
@@ -33,15 +33,12 @@ def prepare(
 ) -> Corpus:
     """Counts of words, without stop words and numbers, of lemmas, of frequent terms.
 
-    Words are counted before anything is joined to them. The counts before trimming, which
-    may be as large as the corpus, are shuffled but never written.
+    Only counts of words that may pass are shuffled by document and written; what comes before is counted text by text.
     """
-    words = tokenize_words(texts.select(F.col(document).alias("document"), F.col(text).alias("text")), "text", output="term")
-    counts = doc_term_counts(words)
-    counts = remove_numbers(remove_stopwords(counts, stopwords, ["term"]), "term")
-    if dictionary is not None:
-        counts = lemmatize(counts, dictionary, "term", count="n")
-    training, heldout = heldout_split(written(trim_terms(counts, sparsity).select("document", "term", "n")))
+    chosen = lambda words: remove_numbers(remove_stopwords(words, stopwords, ["term"]), "term")
+    source = texts.select(F.col(document).alias("document"), F.col(text).alias("text"))
+    counts = frequent_counts(source, sparsity, chosen, dictionary)
+    training, heldout = heldout_split(written(counts.select("document", "term", "n")))
     training, heldout = written(training), written(heldout)
     vocab = written(vocabulary(training))
     return Corpus(training, heldout, vocab, written(term_vectors(training, vocab)))

@@ -8,6 +8,7 @@ from forumgauge.operators import relate
 from forumgauge.operators import terms as dt
 from forumgauge.operators import topics as tp
 from forumgauge.plans.topics import compare_topic_numbers, prepare, topics_and_toxicity
+from forumgauge.session import written
 
 
 @pytest.fixture(scope="module")
@@ -211,3 +212,48 @@ def test_heldout_likelihood_uses_the_whole_model(spark, folder):
     assert (whole.tokens_used, whole.tokens_skipped) == (held, 0)
     trained = queries["heldout_likelihood_of_training"](spark, folder).head()
     assert trained.tokens_used + trained.tokens_skipped == held and 0 < trained.tokens_skipped
+
+
+def plain_counts(rows, stop, sparsity, lemmas=None):
+    """Counts by document of words, without stop words and numbers, of lemmas, of terms in a share of the documents."""
+    n = {}
+    for d, text in rows:
+        for w in re.findall(r"\w+", (text or "").lower()):
+            if w not in stop and not w.isdigit():
+                for lemma in (lemmas or {}).get(w, [w]):
+                    n[d, lemma] = n.get((d, lemma), 0) + 1
+    documents = len({d for d, _ in n} - {None})
+    df = {t: sum(1 for _, u in n if u == t) for _, t in n}
+    return {k: v for k, v in n.items() if df[k[1]] >= (1 - sparsity) * documents}
+
+
+@pytest.mark.parametrize("lemmas", [None, {"cats": ["cat"], "dogs": ["dog", "pet"], "rare2": ["rare"]}])
+def test_words_that_can_not_pass_are_dropped_before_they_are_counted(spark, monkeypatch, lemmas):
+    tables = {}
+    monkeypatch.setattr(dt, "written", lambda df, label="table": tables.setdefault(label, written(df, label)))
+    rows = [(i % 30, f"the cat{'s' * (i % 2)} and 12 dog{'s' * (i % 3 == 0)} often often own{i} own{i}x" + " some" * (i % 4 == 0)) for i in range(60)]
+    rows += [(None, "the cat rare1"), (None, "cats rare2"), (90, None), (91, "the 12"), (92, "rare rare2"), (7, "often twice twice twice")]
+    df = spark.createDataFrame(rows, "own int, body string")
+    dictionary = spark.createDataFrame([(w, x) for w, xs in lemmas.items() for x in xs], "word string, lemma string") if lemmas else None
+    got = prepare(df, ["the", "and"], dictionary, sparsity=0.7, document="own", text="body")
+    cells = {(r["document"], r["term"]): r["n"] for r in got.training.unionByName(got.heldout).collect()}
+    want = plain_counts(rows, {"the", "and"}, 0.7, lemmas)
+    assert cells == want and len(want) > 60
+    held = {r["term"] for r in tables["counts"].select("term").distinct().collect()}
+    assert held >= {t for _, t in want} and not any(t.startswith(("own", "rare")) for t in held)
+
+
+def test_several_models_are_judged_in_one_scan(spark):
+    topics = {2: {1: {"a": .5, "b": .3, "c": .2}, 2: {"a": .1, "b": .1, "c": .8}}, 1: {1: {"a": .2, "b": .5, "c": .3}}}
+    shares = {2: {1: (.3, .7), 2: (.6, .4), 3: (.5, .5)}, 1: {1: (1.,), 2: (1.,), 3: (1.,)}}
+    counts = spark.createDataFrame([(1, "a", 3), (1, "c", 4), (2, "b", 5), (2, "zz", 1), (3, "a", 1), (4, "a", 2), (None, "a", 1)], "document int, term string, n int")
+    beta = spark.createDataFrame([(k, t, w, v) for k, ts in topics.items() for t, ws in ts.items() for w, v in ws.items()], "K int, topic int, term string, beta double")
+    mixed = spark.createDataFrame([(d, [*shares[1][d], *shares[2][d]]) for d in (1, 2, 3)], "document int, values array<double>")
+    dispersion = {r["K"]: r["residual_dispersion"] for r in tp.residual_dispersion(counts, mixed, beta).collect()}
+    likelihood = {r["K"]: tuple(r)[1:] for r in tp.heldout_likelihood(counts, mixed, beta).collect()}
+    for k in topics:
+        gamma = spark.createDataFrame([(d, i + 1, g) for d, gs in shares[k].items() for i, g in enumerate(gs)], "document int, topic int, gamma double")
+        alone = beta.where(F.col("K") == k).drop("K")
+        assert dispersion[k] == pytest.approx(tp.residual_dispersion(counts, gamma, alone).first()[0])
+        assert likelihood[k] == pytest.approx(tuple(tp.heldout_likelihood(counts, gamma, alone).first()))
+    assert tp.residual_dispersion(counts, mixed, beta.limit(0)).count() == tp.heldout_likelihood(counts, mixed, beta.limit(0)).count() == 0

@@ -182,3 +182,20 @@ def test_texts_are_taken_apart_once_for_the_trimmed_terms(spark):
     kept = {(r["document"], r["term"], r["n"]) for r in _trimmed(SimpleNamespace(subtitle_terms=terms)).collect()}
     assert kept == {r for r in rows if r[1] in ("t0", "t1")}
     assert read.value == len(rows)
+
+
+def test_documents_written_before_the_last_passes_are_deleted(spark, corpus):
+    import glob
+    import time
+
+    tp.fit_topics(corpus[1], (2,), max_iter=1)
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(glob.glob(f"{folder}/rdd-*"))
+    tp.fit_topics(corpus[1], (2,), max_iter=6 * va.KEPT + 1, tolerance=-1.0)
+    left = 9
+    for _ in range(50):  # Spark deletes them beside the work
+        left = len(set(glob.glob(f"{folder}/rdd-*")) - before)
+        if left <= 2:
+            break
+        time.sleep(0.1)
+    assert left <= 2
