@@ -594,8 +594,6 @@ def fit(
         if kept is not None:
             kept.unpersist()
         kept = step
-        if passes and passes % KEPT == 0:
-            swept(slices.sparkSession)  # this pass needs the last documents and positions written, and none before
         if not len(sums):
             break
         for m, k in enumerate(ks):
@@ -604,6 +602,8 @@ def fit(
         prior = np.linalg.lstsq(rest[: p * p].reshape(p, p), rest[p * p :].reshape(p, width), rcond=None)[0]
         blocks = added(step.where(F.col("kind") == "block"), width, max(parts, 2), sums[:width])
         blocks = blocks if whole else written(blocks, "topics")
+        if passes and passes % KEPT == 0:
+            swept(slices.sparkSession)  # from here on the last documents and positions written are needed, and none before
         if all(len(b) > 1 and b[-1] - b[-2] <= tolerance * abs(b[-2]) for b in bounds.values()):
             break
     blocks = written(blocks, "topics")
